@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinway.llm.common import table
 from veinway.llm.exact_dedup import exact_dedup
+from veinway.llm.near_dedup import near_components
 from veinway.llm.packing import pack
 from veinway.llm.sharding import shard_by_bytes
 
@@ -28,8 +29,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup)
+    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
