@@ -4,8 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veinway.llm.bpe import round_trip
 from veinway.llm.common import table
 from veinway.llm.exact_dedup import exact_dedup
+from veinway.llm.fingerprints import fingerprints
 from veinway.llm.near_dedup import near_components
 from veinway.llm.packing import pack
 from veinway.llm.sharding import shard_by_bytes
@@ -33,8 +35,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup)
+    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
