@@ -11,6 +11,7 @@ from veinway.llm.fingerprints import fingerprints
 from veinway.llm.near_dedup import near_components
 from veinway.llm.packing import pack
 from veinway.llm.sharding import shard_by_bytes
+from veinway.llm.toxicity import toxicity_scores
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,8 +46,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe)
+    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
