@@ -10,6 +10,7 @@ from veinway.llm.exact_dedup import exact_dedup
 from veinway.llm.fingerprints import fingerprints
 from veinway.llm.near_dedup import near_components
 from veinway.llm.packing import pack
+from veinway.llm.quality import quality_scores
 from veinway.llm.sharding import shard_by_bytes
 from veinway.llm.toxicity import toxicity_scores
 
@@ -50,8 +51,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity)
+    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity, op8_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
