@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinway.llm.tokens import CUT
+from veinway.llm.tokens import PIECES
 
 
 class State:
@@ -146,13 +146,12 @@ class ByteBpe:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; it is cut before single spaces between other characters, where every match of the pattern ends."""
-        pieces, known = CUT.split(text), self.known
-        out = [self._piece(pieces[0])]
-        for piece in pieces[1:]:
+        """Ids of a text; it is cut where white space follows another character: every match of the pattern ends there."""
+        out, known = [], self.known
+        for piece in PIECES.findall(text):
             ids = known.get(piece)
             if ids is None:
-                ids = self._piece(f" {piece}")
+                ids = self._piece(piece)
                 if len(piece) <= self.longest:
                     if len(known) >= self.remember:
                         known.clear()

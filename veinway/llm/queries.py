@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veinway.llm.bpe import round_trip
 from veinway.llm.common import table
@@ -11,6 +12,7 @@ from veinway.llm.fingerprints import fingerprints
 from veinway.llm.near_dedup import near_components
 from veinway.llm.packing import pack
 from veinway.llm.quality import quality_scores
+from veinway.llm.secret_scan import scan
 from veinway.llm.sharding import shard_by_bytes
 from veinway.llm.toxicity import toxicity_scores
 
@@ -55,8 +57,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), "start", "length", "occurrences", "probability", "is_secret"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity, op8_quality)
+    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity, op8_quality, op3_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,8 +1,8 @@
-"""Whole texts to token ids with a `tokenizers` file, fast enough for large corpora.
+"""Whole texts to token ids with a byte-level `tokenizers` file, fast enough for large corpora.
 
-Byte-level pre-tokenisation always cuts before a space that stands between two characters that are
-not white space. Texts are split there, each piece is encoded once by the library and remembered,
-and a text's ids are the joined pieces: the same ids as for the whole text at once.
+Byte-level pre-tokenisation always cuts where white space follows another character, and between a
+letter or digit and a full stop or comma. Texts are cut there, each piece is encoded once by the
+library and remembered, and a text's ids are the joined pieces: the same ids as for the whole text.
 """
 
 import re
@@ -10,39 +10,63 @@ from functools import lru_cache
 
 import numpy as np
 
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Unicode's White_Space characters, as a character class.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space with the word after it, or white space at the end.
+PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class PieceEncoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, remember: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 400_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.remember, self.longest = remember, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 20_000):
+            found = self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)
+            out += [np.array(x.ids, "<u4").tobytes() for x in found]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Makes every piece known; when the memory is full, only what the last two fillings held is kept."""
+        known, older = self.known, self.older
+        if len(known) > self.remember:
+            known, older = self.known, self.older = {}, known
+        back = new & older.keys()
+        for x in back:
+            known[x] = older[x]
+        cores: dict[str, str] = {}
+        for x in new - back:
+            core = x.rstrip(".,")
+            cores[x] = core if core != x and core[-1:].isalnum() else x
+        ends = {x[len(core) :] for x, core in cores.items()} - {""}
+        fresh = list((set(cores.values()) | ends) - known.keys())
+        known.update(zip(fresh, self._ids(fresh), strict=True))
+        for x, core in cores.items():
+            if x != core:
+                known[x] = known[core] + known[x[len(core) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [CUT.split(t) for t in texts]
-        heads = self._ids([p[0] for p in pieces])
-        known, odd = self.known, {}
-        new = list({x for p in pieces for x in p[1:] if x not in known})
-        if len(known) + len(new) > self.remember:
-            known.clear()
-            new = list({x for p in pieces for x in p[1:]})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for x, ids in zip(part, self._ids([f" {x}" for x in part]), strict=True):
-                (known if len(x) <= self.longest else odd)[x] = ids
-        if odd:
-            return [h + b"".join([known[x] if x in known else odd[x] for x in p[1:]]) for h, p in zip(heads, pieces, strict=True)]
-        return [h + b"".join([known[x] for x in p[1:]]) for h, p in zip(heads, pieces, strict=True)]
+        pieces = [PIECES.findall(t) for t in texts]
+        every = set().union(*pieces)
+        known = self.known
+        if len(known) > self.remember:
+            self._learn(every)
+            known = self.known
+        elif new := every - known.keys():
+            self._learn(new)
+        out = [b"".join([known[x] for x in p]) for p in pieces]
+        for x in [x for x in every if len(x) > self.longest]:
+            known.pop(x, None)
+        return out
 
 
 @lru_cache(maxsize=2)
