@@ -14,6 +14,7 @@ from veinway.llm.packing import pack
 from veinway.llm.quality import quality_scores
 from veinway.llm.secret_scan import scan
 from veinway.llm.sharding import shard_by_bytes
+from veinway.llm.token_files import token_files
 from veinway.llm.toxicity import toxicity_scores
 
 
@@ -63,8 +64,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity, op8_quality, op3_secret_scan)
+    f.__name__: f for f in (op1_sharding, op2_packing, op7_exact_dedup, op10_near_dedup, op6_fingerprints, op9_byte_bpe, op4_toxicity, op8_quality, op3_secret_scan, op5_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
