@@ -35,14 +35,32 @@ def exact_dedup(docs: DataFrame, support: float = 0.001) -> DataFrame:
     return hot.select(*columns).unionAll(cold.select(*columns))
 
 
+def deduplicated(docs: DataFrame, support: float = 0.001) -> DataFrame:
+    """The documents without exact copies, in their own columns: of equal texts the row with the smallest doc_id.
+
+    Rows that repeat doc_id and text leave one row; which of them is decided by a hash of the other columns.
+    """
+    _, _, winners = split_by_weight(docs, support)
+    full = docs.withColumn("_sha", _digest())
+    won = winners.select(F.col("text_sha256").alias("_sha"), F.col("best.doc_id").alias("_best"))
+    hot = full.join(F.broadcast(won), "_sha").filter(F.col("doc_id").eqNullSafe(F.col("_best"))).dropDuplicates(["_sha"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("_sha").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*others) if others else F.lit(0))
+    cold = full.join(F.broadcast(won), "_sha", "left_anti").withColumn("_at", F.row_number().over(order)).filter("_at = 1")
+    return hot.select(*docs.columns).unionAll(cold.select(*docs.columns))
+
+
+def _digest():
+    return F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256)
+
+
 def _rank():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
 
 
 def split_by_weight(docs: DataFrame, support: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all rows with digest and tag, rows of digests that are not frequent, the frequent digests)."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " ")
-    rows = pinned(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("tag")))
+    rows = pinned(docs.select("doc_id", _digest().alias("text_sha256"), F.monotonically_increasing_id().alias("tag")))
     n = rows.count()
     found = rows.stat.freqItems(["text_sha256"], support)
     candidates = found.select(F.explode("text_sha256_freqItems").alias("text_sha256")).distinct()
