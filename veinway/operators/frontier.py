@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinway.lineage import pinned
+from veinway.operators.upserts import swapped
 
 
 def live(edges: DataFrame, as_of: Column, least_confidence: float, days: int) -> DataFrame:
@@ -44,7 +45,7 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
 def both_ways(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Forward and reverse walks that never mix; a node that both reach keeps the lesser depth, forward first."""
-    back = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    back = swapped(edges)
     found = walk(edges, seeds, max_depth).withColumn("direction", F.lit("forward")).unionByName(
         walk(back, seeds, max_depth).withColumn("direction", F.lit("reverse"))
     )
@@ -53,4 +54,4 @@ def both_ways(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    return edges.unionByName(swapped(edges))

@@ -22,8 +22,10 @@ def pruned(edges: DataFrame, as_of: Column, days: int) -> DataFrame:
     return edges.withColumn("is_pruned", F.col("last_seen") < as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-def reverse_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+def swapped(edges: DataFrame) -> DataFrame:
+    """The edges turned round: src and dst change places, all else stays."""
+    other = {"src": "dst", "dst": "src"}
+    return edges.select(*[F.col(other.get(c, c)).alias(c) for c in edges.columns])
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

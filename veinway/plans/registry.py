@@ -1,8 +1,23 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with their SQL. Callers may add their own with `query`."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, and SQL with the same result."""
+
+    def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
