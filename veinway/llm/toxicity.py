@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their first four and five letters. Those that labels associate
-with a class form the vocabulary; its document frequencies are counted over all documents. The
+Terms are lower-cased words and their first four and five letters. Those that are much commoner
+in examples of label 1 form the vocabulary, so that most harmless texts have few terms or none; its document frequencies are counted over all documents. The
 labelled examples are held in an inverted index cut into blocks: for each term and block the
 largest weight bounds every score in the block, so that blocks which cannot hold one of the k
 nearest are left out and the k nearest are exact.
@@ -118,7 +118,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_terms: int = 2048, k: int = 15,
-    least_chi2: float = 25.0, evidence: bool = False,
+    least_chi2: float = 25.0, least_lift: float = 3.0, evidence: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with evidence also the nearest examples.
 
@@ -130,7 +130,7 @@ def toxicity_scores(
     """
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
-    vocabulary = _vocabulary(sample, most_terms, least_chi2)
+    vocabulary = _vocabulary(sample, most_terms, least_chi2, least_lift)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,8 +194,8 @@ def _sampled(rows: DataFrame, sample: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sample.select("doc_id", "label").distinct()), "doc_id")
 
 
-def _vocabulary(sample: DataFrame, most: int, least_chi2: float) -> dict[str, int]:
-    """The terms with the largest chi-square against the labels of the sample, most of all `most`."""
+def _vocabulary(sample: DataFrame, most: int, least_chi2: float, least_lift: float) -> dict[str, int]:
+    """Terms whose share of label-1 examples is `least_lift` times that of the others, by chi-square, `most` at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -214,7 +214,7 @@ def _vocabulary(sample: DataFrame, most: int, least_chi2: float) -> dict[str, in
     best = (
         sample.select("text", "label").mapInPandas(count, "term string, no long, yes long")
         .groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-        .withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a + b >= 5))
+        .withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a + b >= 5) & (a / yes >= least_lift * b / no))
         .orderBy(F.desc("chi2"), "term").limit(most).select("term").collect()
     )
     return {r.term: i for i, r in enumerate(best)}
