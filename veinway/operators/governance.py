@@ -23,8 +23,12 @@ GENESIS = "0" * 64
 
 def pii_findings(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, kind, value, occurrences, confidence) of each distinct finding; cards must pass the Luhn check, private addresses count half."""
-    values = lambda kind: F.regexp_extract_all(F.col(text), F.lit(f"({PII_PATTERNS[kind]})"), F.lit(1))
-    every = F.concat(*[F.transform(values(k), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in PII_PATTERNS])
+
+    def of(kind: str) -> Column:
+        values = F.regexp_extract_all(F.col(text), F.lit(f"({PII_PATTERNS[kind]})"), F.lit(1))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    every = F.concat(*map(of, PII_PATTERNS))
     found = df.select(F.col(id_column), F.explode(every).alias("f")).select(id_column, "f.kind", "f.value")
     private = F.col("value").rlike(r"^(10\.|192\.168\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
     kept = found.filter((F.col("kind") != "card") | F.expr("luhn_check(value)"))
