@@ -23,94 +23,120 @@ from veinway.llm.tokens import PIECES
 
 
 class State:
-    """context: the token emitted last, or -1; pending: bytes read since; last: for each live position its last token."""
+    """context: the token emitted last, or -1; live: for each position where a token may still begin
+    (trie node of the bytes read since, tokens from the context to it, the last of them); end: all tokens if input ends here."""
 
-    __slots__ = ("arrows", "context", "end", "last", "live", "pending")
+    __slots__ = ("arrows", "context", "end", "live", "pending")
 
-    def __init__(self, context: int, pending: bytes, last: dict[int, int], live: tuple[int, ...], end: tuple[int, ...]):
-        self.context, self.pending, self.last, self.live, self.end = context, pending, last, live, end
+    def __init__(self, context: int, pending: bytes, live: list[tuple[int, tuple[int, ...], int]], end: tuple[int, ...]):
+        self.context, self.pending, self.live, self.end = context, pending, live, end
         self.arrows: dict[int, tuple[tuple[int, ...], State]] = {}
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
         self.ranks, self.most_states = ranks, most_states
         self.token = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.prefixes = {b[:i] for b in ranks for i in range(1, len(b) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.children: dict[int, int] = {}  # trie of all tokens: node << 8 | byte -> node
+        self.ends = [-1]  # the token that a node ends
+        for b, i in ranks.items():
+            node = 0
+            for byte in b:
+                after = self.children.get(node << 8 | byte)
+                if after is None:
+                    after = self.children[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                node = after
+            self.ends[node] = i
+        self.spines: dict[int, tuple[list[tuple[bytes, int, float]], list[tuple[bytes, int, float]]]] = {}
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.start = self.state(-1, b"", {0: -1}, (0,))
+        self.start = State(-1, b"", [(0, (), -1)], ())
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges themselves, lowest rank first: for pairs of tokens only."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+    def merges(self, piece: bytes) -> list[tuple[bytes, bytes]]:
+        """The merges that byte-pair encoding makes in a token, lowest rank and leftmost first."""
+        parts, made = [piece[i : i + 1] for i in range(len(piece))], []
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+            rank, best = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
                 break
+            made.append((parts[best], parts[best + 1]))
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        return made if len(parts) == 1 else [(b"", b"")]
+
+    def edges_of(self, token: int) -> tuple[list, list]:
+        """What stands at the token's left and right end while it is merged: (part, rank, rank of what it goes into)."""
+        if token not in self.spines:
+            piece = self.token[token]
+            made = self.merges(piece)
+            out = []
+            for side in (0, 1):
+                part, spine = piece, []
+                above = float("inf")
+                while True:
+                    rank = -1 if len(part) == 1 else self.ranks[part]
+                    spine.append((part, rank, above))
+                    split = next((m for m in made if m[0] + m[1] == part), None) if len(part) > 1 else None
+                    if split is None:
+                        break
+                    part, above = split[side], rank
+                out.append(spine)
+            self.spines[token] = (out[0], out[1]) if made != [(b"", b"")] else ([], [])
+        return self.spines[token]
 
     def follows(self, before: int, token: int) -> bool:
-        """Whether the two tokens stand next to each other in some encoding."""
-        if before < 0:
-            if token not in self.whole:
-                self.whole[token] = self.merged(self.token[token]) == [token]
-            return self.whole[token]
-        key = (before, token)
-        if key not in self.pairs:
-            if len(self.pairs) > 1_000_000:
+        """Whether the two tokens stand next to each other in some encoding; before -1 the token stands alone.
+
+        They do unless a part at the right end of the first and one at the left end of the second
+        are there at the same time and their merge comes before either goes into a larger part.
+        """
+        key = (before + 1) << 24 | token
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            self.pairs[key] = self.follows(-1, token) and self.merged(self.token[before] + self.token[token]) == [before, token]
-        return self.pairs[key]
-
-    def chain(self, last: dict[int, int], at: int) -> list[int]:
-        """The tokens from the emitted ones up to a position."""
-        out = []
-        while at:
-            out.append(last[at])
-            at -= len(self.token[last[at]])
-        return out[::-1]
-
-    def state(self, context: int, pending: bytes, last: dict[int, int], live: tuple[int, ...]) -> State:
-        key = (context, pending)
-        if key not in self.states:
-            end = tuple(self.chain(last, len(pending))) if len(pending) in last else ()
-            self.states[key] = State(context, pending, last, live, end)
-        return self.states[key]
+            left = self.edges_of(token)[0]
+            found = bool(left)
+            if found and before >= 0:
+                ranks = self.ranks
+                for a, rank_a, above_a in self.edges_of(before)[1]:
+                    for b, rank_b, above_b in left:
+                        rank = ranks.get(a + b)
+                        if rank is not None and max(rank, rank_a) < above_a and max(rank, rank_b) <= above_b and rank_a < above_b and rank_b < above_a:
+                            found = False
+            self.pairs[key] = found
+        return found
 
     def arrow(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
         """What is emitted on reading a byte, and the state after it."""
-        read = state.pending + bytes([byte])
-        n, last = len(read), dict(state.last)
-        for j in state.live:
-            token = self.ranks.get(read[j:])
-            if token is not None and self.follows(last[j], token):
-                last[n] = token
-                break
-        live = [j for j in state.live if read[j:] in self.prefixes]
-        if n in last:
-            live.append(n)
-        chains = [self.chain(last, j) for j in live]
+        live, end, children, ends = [], None, self.children, self.ends
+        for node, tokens, last in state.live:
+            node = children.get(node << 8 | byte)
+            if node is not None:
+                token = ends[node]
+                if token >= 0 and end is None and self.follows(last, token):
+                    end = (*tokens, token)
+                live.append((node, tokens, last))
+        if end is not None:
+            live.append((0, end, end[-1]))
+        least = live[0][1]
         sure = 0
-        while all(len(c) > sure and c[sure] == chains[0][sure] for c in chains):
-            sure += 1
-        out = tuple(chains[0][:sure])
-        if not out:
-            return out, self.state(state.context, read, last, tuple(live))
-        gone = sum(len(self.token[t]) for t in out)
-        kept = {0: out[-1]}
-        for j in live:
-            at = j
-            while at > gone:
-                kept[at - gone] = last[at]
-                at -= len(self.token[last[at]])
-        return out, self.state(out[-1], read[gone:], kept, tuple(j - gone for j in live))
+        for sure, token in enumerate((*least, None)):  # noqa: B007
+            if token is None or any(len(t) <= sure or t[sure] != token for _, t, _ in live):
+                break
+        out, context, pending = least[:sure], state.context, state.pending + bytes((byte,))
+        if out:
+            context = out[-1]
+            pending = pending[sum(len(self.token[t]) for t in out) :]
+            live = [(node, tokens[sure:], last) for node, tokens, last in live]
+            end = end and end[sure:]
+        after = self.states.get((context, pending))
+        if after is None:
+            after = self.states[context, pending] = State(context, pending, live, end or ())
+        return out, after
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -121,8 +147,6 @@ class Transducer:
             arrow = state.arrows.get(byte)
             if arrow is None:
                 arrow = state.arrows[byte] = self.arrow(state, byte)
-                if len(self.states) > self.most_states:
-                    self.states.clear()
             if arrow[0]:
                 out += arrow[0]
             state = arrow[1]
@@ -133,13 +157,14 @@ class Transducer:
 class ByteBpe:
     """Whole texts to ids and back. Words that were met are remembered, up to a bound."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 200_000, longest: int = 48):
+    def __init__(self, path: str, pattern: str, remember: int = 250_000, longest: int = 48):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.bytes_of = [self.transducer.token[i] for i in range(max(ranks.values()) + 1)]
         self.remember, self.longest = remember, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         ids = [i for m in self.pattern.findall(piece) for i in self.transducer.encode(m.encode("utf-8"))]
@@ -151,10 +176,17 @@ class ByteBpe:
         for piece in PIECES.findall(text):
             ids = known.get(piece)
             if ids is None:
-                ids = self._piece(piece)
+                ids = self.older.get(piece)
+                if ids is None:
+                    core = piece.rstrip(".,")
+                    if core != piece and core[-1:].isalnum():  # the pattern cuts here too
+                        ids = (known.get(core) or self._piece(core)) + self._piece(piece[len(core) :])
+                    else:
+                        ids = self._piece(piece)
                 if len(piece) <= self.longest:
                     if len(known) >= self.remember:
-                        known.clear()
+                        self.known, self.older = {}, known
+                        known = self.known
                     known[piece] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), "<u4")
