@@ -7,6 +7,7 @@ library and remembered, and a text's ids are the joined pieces: the same ids as
 
 import re
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
@@ -30,9 +31,11 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(pieces), 20_000):
-            found = self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)
-            out += [np.array(x.ids, "<u4").tobytes() for x in found]
+        for at in range(0, len(pieces), 5_000):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces[at : at + 5_000], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = [0, *accumulate(4 * len(x) for x in found)]
+            out += [flat[a:b] for a, b in pairwise(ends)]
         return out
 
     def _learn(self, new: set[str]) -> None:
@@ -44,15 +47,17 @@ class PieceEncoder:
         for x in back:
             known[x] = older[x]
         cores: dict[str, str] = {}
-        for x in new - back:
+        whole = new - back
+        for x in [x for x in whole if x[-1] in ".,"]:
             core = x.rstrip(".,")
-            cores[x] = core if core != x and core[-1:].isalnum() else x
-        ends = {x[len(core) :] for x, core in cores.items()} - {""}
-        fresh = list((set(cores.values()) | ends) - known.keys())
+            if core[-1:].isalnum():
+                cores[x] = core
+        whole -= cores.keys()
+        whole.update(cores.values(), {x[len(core) :] for x, core in cores.items()})
+        fresh = list(whole - known.keys())
         known.update(zip(fresh, self._ids(fresh), strict=True))
         for x, core in cores.items():
-            if x != core:
-                known[x] = known[core] + known[x[len(core) :]]
+            known[x] = known[core] + known[x[len(core) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [PIECES.findall(t) for t in texts]
@@ -63,7 +68,7 @@ class PieceEncoder:
             known = self.known
         elif new := every - known.keys():
             self._learn(new)
-        out = [b"".join([known[x] for x in p]) for p in pieces]
+        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
         for x in [x for x in every if len(x) > self.longest]:
             known.pop(x, None)
         return out
@@ -72,7 +77,9 @@ class PieceEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder a Python worker."""
+    import gc
     import os
 
+    gc.set_threshold(200_000, 50, 100)  # many long-lived strings, no cycles
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return PieceEncoder(path)
