@@ -40,8 +40,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    ids = rejected.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    ids = rejected.select("doc_id").distinct()
+    return docs.alias("d").join(ids.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti")
 
 
 STAGES = [

@@ -1,0 +1,339 @@
+"""Each operator on small fixtures: brute force, round trips, nulls, empties, ties, repeated rows and other columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from veinway.llm import bpe, components, exact_dedup, fingerprints, near_dedup, packing, quality, range_coder, secret_scan, sharding, token_files, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+ODD = [None, "", " ", "one", "One  two\tthree", "é漢字🙂 x", "a" * 5000, "x y " * 3000, "<|endoftext|> don't", "tie", "tie", "\x1c\x85\xa0 z"]
+
+
+def frame(spark, texts, ids=None):
+    rows = [(ids[i] if ids else i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a repeated row, a null id, and columns whose names the operators use themselves."""
+    docs = frame(spark, [*ODD, "last", "nobody"], [*range(len(ODD)), len(ODD), None])
+    again = docs.filter(f"doc_id = {len(ODD)}")
+    return docs.unionAll(again).withColumns({"size": F.lit(1), "bundle": F.lit("b"), "tag": F.lit(None).cast("int"), "v": F.lit(0), "part": F.lit(7), "label": F.lit(1), "_sha": F.lit("s")}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(rng, n, size=300):
+    return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+
+
+def encoded():
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_differencing_is_tight():
+    rng = random.Random(1)
+    sizes = [rng.randrange(1, 10_000) for _ in range(3000)]
+    shard = sharding.differencing(sizes, 16)
+    sums = [sum(s for s, k in zip(sizes, shard, strict=True) if k == i) for i in range(16)]
+    assert max(sums) - min(sums) <= 2
+    assert sharding.differencing([], 4) == [] and sorted(sharding.differencing([5, 5, 5, 5], 4)) == [0, 1, 2, 3]
+
+
+def test_sharding(spark, odd, empty):
+    got = sharding.shard_by_bytes(odd, 4).collect()
+    assert len(got) == len(ODD) + 3 and sharding.shard_by_bytes(empty).count() == 0
+    by_text = {}
+    for r, t in ((r, t) for r in got for t in [ODD[r.doc_id] if r.doc_id is not None and r.doc_id < len(ODD) else None]):
+        if t:
+            assert r.size == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode())
+            by_text.setdefault(t, set()).add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values())
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_plan_respects_all_capacities():
+    rng = random.Random(2)
+    counts = {n: rng.randrange(1, 30) for n in rng.sample(range(1, 101), 60)}
+    for rule in ("norm", "dot"):
+        runs = packing.plan(counts, (100, 4, 12000), (1.0, 0.3, 0.3), rule)
+        bins: dict[int, list] = {}
+        seen = {n: 0 for n in counts}
+        for n, rank, many, first, offset in runs.tolist():
+            seen[n] += many
+            for i in range(many):
+                bins.setdefault(first + i, []).append((offset, n))
+        assert {n: c for n, c in seen.items() if c} == counts
+        for parts in bins.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+            assert sum(n for _, n in parts) <= 100 and len(parts) <= 4 and sum(n * n for _, n in parts) <= 12000
+    with pytest.raises(ValueError):
+        packing.plan({11: 1}, (10, 10, 1000), (1, 1, 1))
+
+
+def test_packing(spark, odd, empty):
+    ids_of = encoded()
+    got = packing.pack(odd, JSON).collect()
+    assert packing.pack(empty, JSON).count() == 0
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(ODD):
+        ids = [*ids_of(t), 0]
+        parts = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [r.start for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))] and sum(r.length for r in parts) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in parts)
+        assert all(r.length == 2048 for r in parts[1:])
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(bins) == -(-sum(r.length for r in got) // 2048)
+
+
+def test_piece_encoder_is_the_library(spark):
+    rng, ids_of = random.Random(3), encoded()
+    marks = "abc te\n\t\r '’éß漢字🙂0123.,!-_<|>\x1c\x85\xa0 ​　²½٣"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(25))) for _ in range(2000)] + [t or "" for t in ODD]
+    enc = tokens.PieceEncoder(JSON, remember=500)
+    for at in range(0, len(texts), 100):
+        for t, got in zip(texts[at : at + 100], enc.encode(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids_of(t)
+
+
+def test_secret_scan(spark, odd, empty):
+    key = "AKIA" + "Q3ZT7JX2LM5KPW4R"
+    digest = hashlib.sha1(b"x").hexdigest()
+    docs = frame(spark, [f"word {key} word", f'it token = "{digest}" and {key}', f"commit {digest} done", "card 4111111111111111 thing", None, "", "superlongharmlessword12 and chapter_index_0012"])
+    got = {(r.doc_id, r.candidate): r for r in secret_scan.scan(docs).collect()}
+    assert {k for k, r in got.items() if r.is_secret} == {(0, key), (1, digest), (1, key)}
+    assert got[0, key].start == 5 and got[1, digest].start == 12
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}
+    assert clean[0] == "word [SECRET] word" and clean[2] == f"commit {digest} done" and clean[4] is None
+    assert secret_scan.scan(empty).count() == 0 and secret_scan.scan(odd).filter("is_secret").count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secret_scan.labelled_findings(spark, 4000)
+    model = secret_scan.forest(rows.filter("id % 5 <> 0"))
+    scored = model.transform(secret_scan.with_features(rows.filter("id % 5 = 0")))
+    assert scored.filter("label = prediction").count() >= 0.97 * scored.count()
+
+
+def labelled(spark, rng, bad):
+    texts, toxic = [], []
+    for i in range(600):
+        t = words(rng, rng.randrange(5, 60))
+        toxic.append(int(i % 5 == 0))
+        texts.append(t + (f" {rng.choice(bad)}" * 2 if toxic[-1] else ""))
+    return frame(spark, texts), spark.createDataFrame([(i, 1 - y, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int"), toxic
+
+
+def test_toxicity_on_held_out(spark, odd, empty):
+    docs, labels, toxic = labelled(spark, random.Random(4), ["vile", "nasty", "awful"])
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels, evidence=True).collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.predicted == toxic[r.doc_id] for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in got.values())
+    assert all(zlib.crc32(str(e.doc_id).encode()) % 5 for r in got.values() for e in r.evidence)
+    assert toxicity.toxicity_scores(empty, labels).count() == 0
+    assert toxicity.toxicity_scores(odd, labels.limit(0)).filter("score > 1e-6").count() == 0
+    assert toxicity.toxicity_scores(odd, labels).count() == len(ODD) + 3
+
+
+def test_block_max_index_is_exact():
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(700):
+        ids = np.unique(rng.integers(0, 200, 12)).astype(np.int32)
+        rows.append((ids, toxicity.weighted(ids, np.ones(len(ids)), np.ones(200))))
+    index, dense = toxicity.BlockMaxIndex(rows, 200, block=16), np.zeros((700, 200), np.float32)
+    for i, (ids, w) in enumerate(rows):
+        dense[i, ids] = w
+    for i in range(0, 700, 37):
+        at, sims = index.nearest(*rows[i], 10, without=i)
+        want = dense @ dense[i]
+        want[i] = 0
+        assert np.allclose(np.sort(want)[::-1][:10], sims, atol=1e-5) and np.allclose(want[at], sims, atol=1e-5)
+
+
+def test_quality_on_held_out(spark, odd, empty):
+    rng = random.Random(6)
+    good = [words(rng, 40) + "." for _ in range(300)]
+    junk = [" | ".join(words(rng, 1) for _ in range(30)) + " !!" for _ in range(150)]
+    docs = frame(spark, good + junk)
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(450)], "doc_id long, quality int, toxic int")
+    held = quality.quality_scores(docs, labels).filter("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id < 300) for r in held) >= 0.97 * len(held)
+    assert quality.quality_scores(empty, labels).count() == 0
+    assert quality.quality_scores(odd, labels).filter("score BETWEEN 0 AND 1").count() == len(ODD) + 3
+
+
+def test_range_coder_round_trip():
+    rng = np.random.default_rng(7)
+    many = [np.zeros(0, np.uint32), np.array([65535], np.uint32), np.zeros(5000, np.uint32), rng.integers(0, 65536, 4097).astype(np.uint32), np.tile(np.arange(50, dtype=np.uint32), 100)]
+    coded = range_coder.pack_ids(many)
+    assert all((a == b).all() for a, b in zip(range_coder.unpack_ids(coded), many, strict=True))
+    assert len(coded[2]) < 1000 and len(coded[4]) < 5000
+    broken = bytearray(coded[3])
+    broken[200] ^= 1
+    with pytest.raises(ValueError):
+        range_coder.unpack_ids([bytes(broken)])
+
+
+def test_token_files(spark, odd, empty):
+    ids_of = encoded()
+    got = token_files.token_files(odd, JSON).collect()
+    assert token_files.token_files(empty, JSON).count() == 0
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [r.doc_id for r in got] == [None, *range(len(ODD)), len(ODD), len(ODD)]
+    for r in got:
+        if r.doc_id is not None and r.doc_id < len(ODD):
+            ids = np.array([*ids_of(ODD[r.doc_id]), 0], "<u4")
+            assert r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids.tobytes())
+
+
+def test_fingerprints(spark, odd, empty):
+    rng = random.Random(8)
+    texts = [words(rng, rng.randrange(30, 200)) for _ in range(40)] + ["", None, "z"]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(frame(spark, texts).repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        signer, phrases = fingerprints.Signer(), set()
+        fingerprints.parse(edited, phrases)
+        assert got[i].edited_fingerprint == signer.sign(phrases).hex()
+        a, b = got[i].fingerprint, got[(i + 1) % len(texts)].fingerprint
+        assert got[i].near_next == sum(a[4 * k : 4 * k + 4] == b[4 * k : 4 * k + 4] for k in range(128)) / 128
+    assert all(got[i].near_edited > got[i].near_next for i in range(39))
+    assert fingerprints.fingerprints(empty).count() == 0 and fingerprints.fingerprints(odd).count() == len(ODD) + 3
+
+
+def test_exact_dedup(spark, odd, empty):
+    docs = frame(spark, ["a b", "a\t b", "A b", None, "", " "] + ["hot"] * 50, [5, 3, 1, 8, 7, 6] + list(range(100, 150)))
+    for support in (0.001, 0.1):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, support).collect()}
+        assert got[5] == (3, 2, False) and got[3] == (3, 2, True) and got[1] == (1, 1, True)
+        assert got[8] == (7, 2, False) and got[6] == (6, 1, True) and got[149] == (100, 50, False)
+        left = exact_dedup.deduplicated(docs, support)
+        assert sorted(r.doc_id for r in left.collect()) == [1, 3, 6, 7, 100] and left.columns == docs.columns
+    kept = exact_dedup.exact_dedup(odd).filter("kept")
+    assert kept.count() == exact_dedup.deduplicated(odd).count() == kept.select("text_sha256").distinct().count()
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def brute(texts, k, percent):
+    sets = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    up = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(up, a), root(up, b)))
+                up[y] = x
+    return [(i, len(sets[i]), root(up, i)) for i in range(len(texts))]
+
+
+def root(up, x):
+    while up[x] != x:
+        x = up[x]
+    return x
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_components_against_brute_force(spark, odd, empty, k):
+    rng = random.Random(9)
+    texts = [None, "", "one", "ONE", "one two"]
+    for _ in range(30):
+        base = words(rng, rng.randrange(40, 200), 2000).split()
+        for _ in range(rng.randrange(1, 12)):
+            copy = base[:]
+            for _ in range(rng.randrange(0, max(1, len(base) // 12))):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy).title() if rng.random() < 0.2 else " ".join(copy))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_components(frame(spark, texts).repartition(5), k, 80).collect())
+    assert got == brute(texts, k, 80)
+    if k == 5:
+        assert near_dedup.near_components(empty).count() == 0 and near_dedup.near_components(odd).count() == len(ODD) + 3
+
+
+def test_near_components_of_a_large_family(spark, monkeypatch):
+    """Blocks of a family that is larger than a block meet each other."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(10)
+    base, texts = words(rng, 100, 5000).split(), []
+    for _ in range(60):
+        copy = base[:]
+        for i in rng.sample(range(100), 6):
+            copy[i] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_components(frame(spark, texts), 2, 80).collect())
+    assert got == brute(texts, 2, 80)
+
+
+def test_components(spark):
+    rng = random.Random(11)
+    edges = [(f"{rng.randrange(300):04}", f"{rng.randrange(300):04}") for _ in range(200)] + [(f"x{i:03}", f"x{i + 1:03}") for i in range(100)]
+    up: dict = {}
+    for a, b in edges:
+        if a != b:
+            x, y = find(up, a), find(up, b)
+            up[max(x, y)] = min(x, y)
+    got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a string, b string").repartition(7)).collect()}
+    assert got == {v: find(up, v) for v in list(up)}
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def find(up, x):
+    up.setdefault(x, x)
+    while up[x] != x:
+        x = up[x]
+    return x
+
+
+def test_bpe_is_tiktoken(spark, odd, empty):
+    import tiktoken
+
+    mine = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, remember=200)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=mine.transducer.ranks, special_tokens={})
+    rng = random.Random(12)
+    marks = "abct e\n\t\r '’éß漢字🙂0123.,!-_<|>\x1c\x85\xa0 ​　\x00"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(3000)] + [t or "" for t in ODD] + ["ab" * 3000 + "!" * 999]
+    for t in texts:
+        ids = mine.encode(t).tolist()
+        assert ids == theirs.encode_ordinary(t) and "".join(mine.decode_stream(ids)) == t
+    assert list(mine.decode_stream(mine.encode("é").tolist()[:0])) == [] and "".join(mine.decode_stream([theirs.encode_ordinary("漢")[0]])) == "�"
+    got = {r.doc_id: r for r in bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(ODD):
+        ids = theirs.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    back = bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert sorted((r.text for r in back.collect())) == sorted((r.text or "") for r in odd.collect())

@@ -1,5 +1,8 @@
-"""Connected components of a graph of edges, by alternating large-star and small-star steps."""
+"""Connected components of a graph of edges, by contraction inside tasks and meetings at vertices."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,49 +12,53 @@ from veinway.llm.common import pinned
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, root) for every vertex of edges (a, b); root is the least vertex of its component.
 
-    Each step moves edges towards smaller vertices, so that after about log2(n) rounds every
-    vertex hangs at its root. A vertex with very many neighbours is spread over tasks by the
-    join's skew handling: its minimum is aggregated before the shuffle. Null vertices and
-    loops are ignored; no edges give no rows.
+    In a round every task joins the edges it holds and labels their vertices with the least vertex
+    they reach there. The labels of a vertex, one from a task at most however many neighbours it
+    has, then meet in one task, which ties them to the least. Rounds end when nothing changes.
+    Null vertices and loops are ignored; no edges give no rows.
     """
-    edges = pinned(_tidy(edges.select("a", "b")))
-    state = _state(edges)
+    kinds = ", ".join(f"{c} {edges.schema['a'].dataType.simpleString()}" for c in ("a", "b"))
+    edges = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    before = None
     for _ in range(most_rounds):
-        edges = pinned(_star(edges, larger=True))
-        edges = pinned(_star(edges, larger=False))
-        state, before = _state(edges), state
+        edges = pinned(edges.mapInPandas(_label, kinds).repartition(F.col("a")).mapInPandas(_meet, kinds))
+        state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == before:
             break
+        before = state
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("b").alias("v")).distinct()
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).unionAll(
-        roots.select("v", F.col("v").alias("root"))
-    )
-
-
-def _tidy(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the larger vertex a to the smaller b."""
-    return (
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-
-
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """larger: every larger neighbour of u goes to the least of u and its neighbours; else the smaller ones and u do."""
-    if larger:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = pinned(both.groupBy("a").agg(F.min("b").alias("m"))).withColumn("m", F.least("a", "m"))
-        moved = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = pinned(edges.groupBy("a").agg(F.min("b").alias("m")))
-        moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
-            least.select("a", F.col("m").alias("b"))
-        )
-    return _tidy(moved)
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+
+def _label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(vertex, least vertex that it reaches over this task's edges), roots included."""
+    up: dict = {}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"a": list(up), "b": [find(v) for v in up]}, dtype=object)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every vertex with its least label, and its other labels with that label."""
+    labels: dict = {}
+    for batch in batches:
+        for v, label in zip(batch["a"], batch["b"], strict=True):
+            labels.setdefault(v, set()).add(label)
+    out = {(v, min(found)) for v, found in labels.items()}
+    for found in labels.values():
+        least = min(found)
+        out.update((label, least) for label in found)
+    pairs = sorted(out)
+    yield pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, dtype=object)

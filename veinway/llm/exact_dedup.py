@@ -41,13 +41,13 @@ def deduplicated(docs: DataFrame, support: float = 0.001) -> DataFrame:
     Rows that repeat doc_id and text leave one row; which of them is decided by a hash of the other columns.
     """
     _, _, winners = split_by_weight(docs, support)
-    full = docs.withColumn("_sha", _digest())
-    won = winners.select(F.col("text_sha256").alias("_sha"), F.col("best.doc_id").alias("_best"))
-    hot = full.join(F.broadcast(won), "_sha").filter(F.col("doc_id").eqNullSafe(F.col("_best"))).dropDuplicates(["_sha"])
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("_sha").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*others) if others else F.lit(0))
-    cold = full.join(F.broadcast(won), "_sha", "left_anti").withColumn("_at", F.row_number().over(order)).filter("_at = 1")
-    return hot.select(*docs.columns).unionAll(cold.select(*docs.columns))
+    full = docs.select(F.struct("*").alias("row"), "doc_id", _digest().alias("sha"), F.xxhash64(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]).alias("tie"))
+    won = winners.select(F.col("text_sha256").alias("sha"), F.col("best.doc_id").alias("best"))
+    order = Window.partitionBy("sha").orderBy(F.col("doc_id").asc_nulls_last(), "tie")
+    hot = full.join(F.broadcast(won), "sha").filter(F.col("doc_id").eqNullSafe(F.col("best"))).drop("best")
+    cold = full.join(F.broadcast(won), "sha", "left_anti")
+    first = hot.unionByName(cold).withColumn("at", F.row_number().over(order)).filter("at = 1")
+    return first.select("row.*")
 
 
 def _digest():

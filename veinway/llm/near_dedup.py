@@ -1,9 +1,9 @@
 """Near-duplicate components by circulant MinHash, banding and exact Jaccard verification.
 
 Documents with equal shingle sets form one class. Signatures of the classes are cut into bands,
-classes with an equal band share a bucket. In each bucket signatures are compared, block against
-block, and only a spanning forest of plausible links is kept; the components of these links are
-small families. In each family full shingle sets are compared, again block against block, and a
+classes with an equal band share a bucket. Signatures are compared with that of the bucket's least
+member, and what this leaves apart block against block; only a spanning forest of plausible links
+is kept. The components of these links are small families. In each family full shingle sets are compared, again block against block, and a
 spanning forest of exact links gives the final components. Neither step writes all pairs of a
 group, and no block holds more than a fixed number of members.
 """
@@ -133,13 +133,14 @@ def _groups(batches: Iterator[pd.DataFrame], payload: str) -> Iterator[tuple[lis
         yield list(seen), list(seen.values())
 
 
-def _edges(groups: Iterator[tuple[list[bytes], np.ndarray]]) -> Iterator[pd.DataFrame]:
-    """Of each group's matrix of links a spanning forest, as edges."""
+def _edges(groups: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Of each group's matrix of links a spanning forest, as edges; a third item says which vertices are joined already."""
     a, b = [], []
-    for vertices, links in groups:
+    for vertices, links, *joined in groups:
+        of = joined[0].tolist() if joined else list(range(len(vertices)))
         forest = Forest(len(vertices))
         for i, j in np.argwhere(links).tolist():
-            if i < j and forest.join(i, j):
+            if i < j and forest.join(of[i], of[j]):
                 a.append(vertices[i])
                 b.append(vertices[j])
         if len(a) > 10_000:
@@ -149,36 +150,92 @@ def _edges(groups: Iterator[tuple[list[bytes], np.ndarray]]) -> Iterator[pd.Data
 
 
 def _plausible(known: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
-    """Edges between classes that share a bucket and whose signatures agree about as often as linked sets' do."""
+    """Edges between classes that share a bucket and whose signatures agree about as often as linked sets' do.
+
+    First every member of a bucket is compared with the bucket's least member. Buckets that this
+    leaves with more than one label are looked at again: members without the bucket's commonest
+    label are compared with all others, block against block.
+    """
     p = percent / 100
     least = max(0.0, p - 5.2 * (p * (1 - p) / size) ** 0.5)
     signed = known.join(classes.select("digest", "source"), "digest").filter(
         F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("text_md5") == F.col("source.text_md5"))
     )
-    keyed = signed.select(F.col("digest").alias("v"), F.posexplode("bands").alias("band", "key"))
-    at = [F.col("band"), F.col("key")]
+    keyed = signed.select(F.col("digest").alias("v"), F.explode("bands").alias("key"))
+    low = pinned(signed.select(F.col("digest").alias("v"), "low"))
     buckets = (
-        keyed.groupBy("band", "key")
+        keyed.groupBy("key")
         .agg(F.count("*").alias("n"), F.sum(F.hash("v").cast("long")).alias("s"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min("v").alias("first"))
         .filter("n > 1")
     )
     # buckets with the same members say the same: one of them is enough
-    buckets = pinned(buckets.groupBy("n", "s", "x", "first").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n"))
-    members = keyed.join(buckets, ["band", "key"]).select("band", "key", "n", "v")
-    members = members.join(signed.select(F.col("digest").alias("v"), "low"), "v")
+    buckets = pinned(buckets.groupBy("n", "s", "x", "first").agg(F.min("key").alias("key")).select("key", "n", "first"))
+    members = pinned(keyed.join(buckets, "key").select("key", "n", "first", "v"))
+
+    pairs = members.filter(F.col("v") != F.col("first")).select("v", "first").distinct()
+    pairs = pairs.join(low, "v").withColumnRenamed("low", "a_low").join(low.select(F.col("v").alias("first"), F.col("low").alias("b_low")), "first")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), size) for c in ("a_low", "b_low"))
+            yield batch[["v", "first"]][(x == y).mean(1) >= least].rename(columns={"v": "a", "first": "b"})
+
+    stars = pinned(pairs.mapInPandas(alike, "a binary, b binary"))
+    # a label that linked members tend to share; it only saves comparisons, so two steps towards the least are enough
+    step = stars.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("up"))
+    roots = pinned(step.join(step.select(F.col("v").alias("up"), F.col("up").alias("top")), "up", "left").select("v", F.coalesce("top", "up").alias("root")))
+    rooted = pinned(
+        members.filter("n > 2").join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
+    )
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
+    mixed = pinned(
+        parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("major"))
+        .filter("k > 1").select("key", "n", F.col("major.root").alias("major"), (F.col("n") - F.col("major.m")).alias("minor"))
+    )
+    rest = rooted.join(mixed, "key").join(low, "v")
+    return stars.unionAll(_against_minor(rest).mapInPandas(_cross(least), "a binary, b binary"))
+
+
+def _against_minor(rest: DataFrame) -> DataFrame:
+    """Deals members of a bucket so that each one without the commonest label meets all others.
+
+    Blocks of the larger and of the minor part are paired, and blocks of the minor part with each other.
+    """
+    major_blocks = F.ceil((F.col("n") - F.col("minor")) / BLOCK).cast("int")
+    minor_blocks = F.ceil(F.col("minor") / BLOCK).cast("int")
+    own = F.xxhash64("v")
+    is_minor = F.col("root") != F.col("major")
+    mine = F.when(is_minor, F.pmod(own, minor_blocks)).otherwise(-1 - F.pmod(own, major_blocks)).cast("int")
+    others = F.when(is_minor, F.sequence(-major_blocks, minor_blocks - 1)).otherwise(F.sequence(F.lit(0), minor_blocks - 1))
+    return (
+        rest.withColumn("mine", mine).withColumn("other", F.explode(others))
+        .withColumn("g", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        .select("g", "v", F.concat("root", "low").alias("low"))
+        .repartition("g").sortWithinPartitions("g")
+    )
+
+
+def _cross(least: float):
+    """Plausible links between members with different labels, one for each two labels of a block."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links() -> Iterator[tuple[list[bytes], np.ndarray]]:
-            for vertices, low in _groups(batches, "low"):
-                s = np.frombuffer(b"".join(low), np.uint8).reshape(len(vertices), -1)
-                found = np.zeros((len(s), len(s)), bool)
+            for vertices, found in _groups(batches, "low"):
+                root = [x[:16] for x in found]
+                s = np.frombuffer(b"".join(x[16:] for x in found), np.uint8).reshape(len(vertices), -1)
+                _, of = np.unique(np.array(root, "S16"), return_inverse=True)
+                if of.max() == 0:
+                    continue
+                out = np.zeros((len(s), len(s)), bool)
                 for i in range(len(s) - 1):
-                    found[i, i + 1 :] = (s[i + 1 :] == s[i]).mean(1) >= least
-                yield vertices, found
+                    far = i + 1 + np.flatnonzero(of[i + 1 :] != of[i])
+                    if len(far):
+                        out[i, far] = (s[far] == s[i]).mean(1) >= least
+                yield vertices, out, of
 
         return _edges(links())
 
-    return _in_blocks(members, ["band", "key"], "v").select("g", "v", "low").mapInPandas(compare, "a binary, b binary")
+    return compare
 
 
 def _exact(docs: DataFrame, family: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:

@@ -151,13 +151,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 def redact(docs: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every confirmed secret replaced in the text; n_chars follows. All rows stay, in their columns."""
     secrets = (
-        found.filter("is_secret").groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.array_sort(F.collect_set(F.struct(-F.length("candidate"), "candidate"))).alias("_secrets"))
+        found.filter("is_secret").groupBy("doc_id")
+        .agg(F.array_sort(F.collect_set(F.struct(-F.length("candidate"), "candidate"))).alias("secrets"))
     )
-    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    cleaned = F.aggregate("_secrets", F.col("text"), lambda text, s: F.replace(text, s["candidate"], F.lit(mask)))
-    changed = F.col("_secrets").isNotNull()
-    text = F.when(changed, cleaned).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn(
-        "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    joined = docs.alias("d").join(secrets.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    cleaned = F.aggregate("s.secrets", F.col("d.text"), lambda text, s: F.replace(text, s["candidate"], F.lit(mask)))
+    changed = F.col("s.secrets").isNotNull()
+    columns = {c: F.col(f"d.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(changed, cleaned).otherwise(columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length(cleaned).cast("long")).otherwise(columns["n_chars"])
+    return joined.select(*[value.alias(c) for c, value in columns.items()])

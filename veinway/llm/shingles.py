@@ -67,7 +67,8 @@ class Circulant:
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:
         parts = signature.reshape(self.bands, self.rows).astype(np.uint64) + np.uint64(1)
-        return mixed((parts * self.factors).sum(1, dtype=np.uint64)).view(np.int64)
+        sums = (parts * self.factors).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64) * FOLD
+        return mixed(mixed(sums)).view(np.int64)
 
 
 def set_digest(elements: np.ndarray) -> bytes:

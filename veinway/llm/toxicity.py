@@ -164,7 +164,7 @@ def toxicity_scores(
     marks = np.array([key[1] for key, _ in held], np.float64)
     examples = [key[0] for key, _ in held]
     index = BlockMaxIndex(vectors, len(vocabulary))
-    if min(counts.get(0, 0), counts.get(1, 0)):
+    if len(set(marks)) == 2:
         share = np.array([counts[int(m)] / max(1, (marks == m).sum()) for m in marks])
         x = np.array([votes(marks, *index.nearest(i, w, k, without=p)) for p, (i, w) in enumerate(vectors)])
         beta = logistic(x, marks, share / share.mean())
