@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from veinway.functions import scores
-from veinway.operators import frontier, governance, graph, ownership, retrieval, text, upserts
+from veinway.operators import frontier, governance, graph, ownership, retrieval, text, upserts, versions
 from veinway.sources import ddl, files
 
 
@@ -100,3 +100,10 @@ def test_churn_and_shares(spark):
 def test_edges_keep_nulls_apart(spark):
     e = spark.createDataFrame([("T", "a", "b", None, None), ("T", "a", "b", 0.5, None)], "etype string, src string, dst string, confidence double, last_seen timestamp")
     assert rows(upserts.upsert_edges(e)) == [("T", "a", "b", 0.5, None)]
+
+
+def test_persona_and_kind_order(spark):
+    d = spark.createDataFrame([("the budget and the bug",), ("@pm fix the code",), (None,)], "t string")
+    assert [r.p for r in d.select(versions.persona(F.col("t")).alias("p")).collect()] == ["vp", "pm", "dev"]
+    row = spark.createDataFrame([("method",)], "k string").select(versions.kind_order(F.col("k")).alias("a"), versions.kind_order(F.lit("x")).alias("b")).first()
+    assert (row.a, row.b) == (4, 7)
