@@ -21,7 +21,7 @@ IS_WHITE = re.compile(f"[{WHITE}]").fullmatch
 class PieceEncoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 600_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
