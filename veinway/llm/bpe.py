@@ -37,15 +37,16 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
         self.ranks, self.most_states = ranks, most_states
         self.token = {i: b for b, i in ranks.items()}
-        self.children: dict[int, int] = {}  # trie of all tokens: node << 8 | byte -> node
+        self.children: list[dict[int, int]] = [{}]  # trie of all tokens: by node, byte -> node
         self.ends = [-1]  # the token that a node ends
         for b, i in ranks.items():
             node = 0
             for byte in b:
-                after = self.children.get(node << 8 | byte)
+                after = self.children[node].get(byte)
                 if after is None:
-                    after = self.children[node << 8 | byte] = len(self.ends)
+                    after = self.children[node][byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.children.append({})
                 node = after
             self.ends[node] = i
         self.spines: dict[int, tuple[list[tuple[bytes, int, float]], list[tuple[bytes, int, float]]]] = {}
@@ -114,7 +115,7 @@ class Transducer:
         """What is emitted on reading a byte, and the state after it."""
         live, end, children, ends = [], None, self.children, self.ends
         for node, tokens, last in state.live:
-            node = children.get(node << 8 | byte)
+            node = children[node].get(byte)
             if node is not None:
                 token = ends[node]
                 if token >= 0 and end is None and self.follows(last, token):
@@ -122,11 +123,10 @@ class Transducer:
                 live.append((node, tokens, last))
         if end is not None:
             live.append((0, end, end[-1]))
-        least = live[0][1]
-        sure = 0
-        for sure, token in enumerate((*least, None)):  # noqa: B007
-            if token is None or any(len(t) <= sure or t[sure] != token for _, t, _ in live):
-                break
+        ways = [tokens for _, tokens, _ in live]
+        least, most, sure = min(ways), max(ways), 0  # all ways begin as these two do
+        while sure < len(least) and sure < len(most) and least[sure] == most[sure]:
+            sure += 1
         out, context, pending = least[:sure], state.context, state.pending + bytes((byte,))
         if out:
             context = out[-1]
@@ -157,7 +157,7 @@ class Transducer:
 class ByteBpe:
     """Whole texts to ids and back. Words that were met are remembered, up to a bound."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, pattern: str, remember: int = 500_000, longest: int = 48):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
@@ -171,18 +171,14 @@ class ByteBpe:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; it is cut where white space follows another character: every match of the pattern ends there."""
+        """Ids of a text; it is cut where white space follows another character and between letters or digits and punctuation: every match of the pattern ends there."""
         out, known = [], self.known
         for piece in PIECES.findall(text):
             ids = known.get(piece)
             if ids is None:
                 ids = self.older.get(piece)
                 if ids is None:
-                    core = piece.rstrip(".,")
-                    if core != piece and core[-1:].isalnum():  # the pattern cuts here too
-                        ids = (known.get(core) or self._piece(core)) + self._piece(piece[len(core) :])
-                    else:
-                        ids = self._piece(piece)
+                    ids = self._piece(piece)
                 if len(piece) <= self.longest:
                     if len(known) >= self.remember:
                         self.known, self.older = {}, known
