@@ -337,3 +337,16 @@ def test_bpe_is_tiktoken(spark, odd, empty):
     assert bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     back = bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
     assert sorted((r.text for r in back.collect())) == sorted((r.text or "") for r in odd.collect())
+
+
+def test_toxicity_reads_whole_texts(spark):
+    """A text without a commoner word of label 1 has neighbours too, and one such word does not make a long clean text toxic."""
+    rng = random.Random(13)
+    docs, labels, _ = labelled(spark, rng, ["vile", "nasty", "awful"])
+    first = docs.filter("doc_id = 1").first().text
+    more = frame(spark, [first, words(rng, 400) + " vile"], [5000, 5001])
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs.unionAll(more), labels, evidence=True).collect()}
+    assert got[5000].evidence and max(e.cosine for r in got.values() if r.doc_id == 5001 for e in r.evidence) < 0.9
+    assert got[5001].predicted == 0
+    ids, counts = toxicity.TermReader().read("alpha Beta alpha")
+    assert len(ids) == 3 and sorted(counts.tolist()) == [1, 2, 2]

@@ -1,14 +1,15 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
-
-Terms are lower-cased words and their first four and five letters. Those that are much commoner
-in examples of label 1 form the vocabulary, so that most harmless texts have few terms or none; its document frequencies are counted over all documents. The
-labelled examples are held in an inverted index cut into blocks: for each term and block the
-largest weight bounds every score in the block, so that blocks which cannot hold one of the k
-nearest are left out and the k nearest are exact.
+"""Toxicity by nearest labelled examples under exact cosine of weighted TF-IDF vectors.
+
+Terms are all lower-cased words of a text and their first four and five letters, hashed to a fixed
+number of rows. Document frequencies are counted over all documents and vectors are normed over
+the whole text; no term is left out. Terms that are commoner in label 1 weigh more, none weighs
+less than its TF-IDF. The cosines with all labelled examples are exact: terms that many examples
+hold go through a matrix product, the others through their lists of examples. The largest cosine
+of each block of examples then leaves out blocks that cannot hold one of the k nearest.
 """
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from veinway.llm.common import held_out, pinned
 from veinway.llm.labelled import training_ids, with_texts
 
 WORD = re.compile(r"[^\W_]+")
+#: Rows that terms are hashed to; a task's counts of them leave it in slices.
+ROWS, SLICE, SALTS = 1 << 20, 1 << 14, 16
 
 
 def terms_of(word: str) -> list[str]:
@@ -28,11 +31,11 @@ def terms_of(word: str) -> list[str]:
 
 
 class TermReader:
-    """Term ids and counts of a text, for a given vocabulary."""
+    """Rows and counts of all terms of a text."""
 
-    def __init__(self, vocabulary: dict[str, int], remember: int = 300_000):
-        self.vocabulary, self.remember = vocabulary, remember
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, remember: int = 200_000):
+        self.remember = remember
+        self.known: dict[str, bytes] = {}
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         known, found = self.known, []
@@ -41,51 +44,70 @@ class TermReader:
             if ids is None:
                 if len(known) >= self.remember:
                     known.clear()
-                ids = known[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-            if ids:
-                found += ids
-        return np.unique(np.array(found, np.int32), return_counts=True)
+                ids = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % ROWS for t in terms_of(word)], np.int32).tobytes()
+                if len(word) <= 64:
+                    known[word] = ids
+            found.append(ids)
+        return np.unique(np.frombuffer(b"".join(found), np.int32), return_counts=True)
 
 
 class BlockMaxIndex:
-    """Exact k nearest examples by cosine, over blocks of examples with the greatest weight of each term."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
-        # rows that share their heaviest term stand together, which keeps the bounds of blocks apart
-        self.order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]) if len(rows[i][0]) else -1, i))
-        self.block = block
-        self.starts = np.cumsum([0] + [len(rows[i][0]) for i in self.order])
-        self.ids = np.concatenate([rows[i][0] for i in self.order] or [np.zeros(0, np.int32)])
-        self.weights = np.concatenate([rows[i][1] for i in self.order] or [np.zeros(0, np.float32)]).astype(np.float32)
-        n_blocks = -(-len(rows) // block)
-        self.most = np.zeros((n_terms, n_blocks), np.float32)
-        of = np.repeat(np.arange(len(rows)) // block, np.diff(self.starts))
-        np.maximum.at(self.most, (self.ids, of), self.weights)
-        self.order = np.array(self.order)
+    """Exact k nearest examples by cosine; the largest cosine of a block says whether it can hold one of them."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, common: int = 1024):
+        self.n, self.block = len(rows), block
+        ids = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)]).astype(np.int32)
+        weights = np.concatenate([np.zeros(0, np.float32), *(r[1] for r in rows)]).astype(np.float32)
+        of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+        times = np.bincount(ids, minlength=n_terms)
+        often = np.argsort(-times, kind="stable")[:common]
+        often = often[times[often] > 0]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), -(-len(rows) // block) * block), np.float32)
+        in_dense = self.column[ids] >= 0
+        self.dense[self.column[ids[in_dense]], of[in_dense]] = weights[in_dense]
+        ids, of, weights = ids[~in_dense], of[~in_dense], weights[~in_dense]
+        order = np.argsort(ids, kind="stable")
+        self.of, self.weights = of[order], weights[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n_terms))]).astype(np.int32)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest examples with a cosine above 0, the nearest first."""
-        if not len(ids) or not len(self.order):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bounds = weights @ self.most[ids]
-        full = np.zeros(len(self.most), np.float32)
-        full[ids] = weights
-        at, sims, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= least + 1e-7:
-                break
-            lo, hi = b * self.block, min((b + 1) * self.block, len(self.order))
-            s, e = self.starts[lo], self.starts[hi]
-            sums = np.concatenate([[0.0], np.cumsum(full[self.ids[s:e]] * self.weights[s:e], dtype=np.float64)])
-            found = (sums[self.starts[lo + 1 : hi + 1] - s] - sums[self.starts[lo:hi] - s]).astype(np.float32)
-            own = self.order[lo:hi]
-            keep = (found > 1e-6) & (own != without)
-            at, sims = np.concatenate([at, own[keep]]), np.concatenate([sims, found[keep]])
-            if len(sims) >= k:
-                top = np.lexsort((at, -sims))[:k]
-                at, sims, least = at[top], sims[top], float(sims[top[-1]])
-        top = np.lexsort((at, -sims))[:k]
-        return at[top], sims[top]
+        return next(self.nearest_of([(ids, weights)], k, [without]))
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None, together: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each text."""
+        for at in range(0, len(texts), together):
+            part = texts[at : at + together]
+            asked = np.zeros((len(part), len(self.dense)), np.float32)
+            for row, (ids, weights) in zip(asked, part, strict=True):
+                columns = self.column[ids]
+                row[columns[columns >= 0]] = weights[columns >= 0]
+            sums = asked @ self.dense
+            for i, (ids, weights) in enumerate(part):
+                self._add_rare(sums[i], ids, weights)
+                if without is not None and without[at + i] >= 0:
+                    sums[i, without[at + i]] = 0
+                yield self._best(sums[i], k)
+
+    def _add_rare(self, sums: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> None:
+        start, many = self.first[ids], self.first[ids + 1] - self.first[ids]
+        total = int(many.sum())
+        if total:
+            where = np.arange(total) + np.repeat(start - np.cumsum(many) + many, many)
+            sums += np.bincount(self.of[where], self.weights[where] * np.repeat(weights, many), len(sums)).astype(np.float32)
+
+    def _best(self, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        blocks = sums.reshape(-1, self.block)
+        most = blocks.max(1)
+        least = max(1e-6, float(np.partition(most, -k)[-k]) if len(most) > k else 0.0)  # k blocks hold a cosine as large
+        near = np.flatnonzero(most >= least)
+        at = (near[:, None] * self.block + np.arange(self.block)).ravel()
+        found = blocks[near].ravel()
+        at, found = at[found >= least], found[found >= least]
+        top = np.lexsort((at, -found))[:k]
+        return at[top], found[top]
 
 
 def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -93,6 +115,13 @@ def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
     return (w / max(float(np.sqrt((w * w).sum())), 1e-12)).astype(np.float32)
 
 
+def relevance(ids: list[np.ndarray], marks: np.ndarray, smooth: float = 5.0) -> np.ndarray:
+    """A factor of 1 or more for every term: log2(1 + lift), where lift says how much commoner it is in label 1."""
+    yes, no = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(x for x, m in zip(ids, marks, strict=True) if m == y)]), minlength=ROWS) for y in (1, 0))
+    lift = (yes + smooth) / (marks.sum() + smooth) / ((no + smooth) / ((1 - marks).sum() + smooth))
+    return np.log2(1 + np.maximum(1, lift))
+
+
 def votes(labels: np.ndarray, at: np.ndarray, sims: np.ndarray) -> list[float]:
     """Inputs of the calibration: the distance-weighted vote, the largest cosine, their product, whether there are neighbours."""
     if not len(at):
@@ -116,105 +145,106 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return beta
 
 
-def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, most_terms: int = 2048, k: int = 15,
-    least_chi2: float = 25.0, least_lift: float = 3.0, evidence: bool = False,
-) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, k: int = 15, evidence: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with evidence also the nearest examples.
 
     Labels come from at most `most_per_class` rows of each class outside the held-out fifth. The
-    score is the calibrated chance that the label is 1; empty and null texts and texts without a
-    term of the vocabulary have no neighbours and share one low score. Without labelled rows of
+    score is the calibrated chance that the label is 1; texts that share no term with an example,
+    empty and null ones among them, have no neighbours and share one score. Without labelled rows of
     both classes every score is the share of label 1 (0 without any). Rows that repeat a doc_id
     are scored each; null doc_ids are not held out. An empty table gives an empty result.
     """
+    scored = scored_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs, labels, most_per_class, k, evidence)
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        *(["evidence"] if evidence else []),
+    )
+
+
+def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, k: int = 15, evidence: bool = False) -> DataFrame:
+    """The first column of rows (a long, then text) with score and evidence; frequencies and examples are those of docs."""
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
-    vocabulary = _vocabulary(sample, most_terms, least_chi2, least_lift)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = TermReader(vocabulary)
+        reader = TermReader()
         for batch in batches:
             found = [reader.read(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64").array, "terms": [i.tobytes() for i, _ in found],
-                "times": [c.astype(np.int32).tobytes() for _, c in found],
-            })
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = pinned(read.mapInPandas(features, "doc_id long, terms binary, times binary"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch["terms"]), np.int32), minlength=len(vocabulary))
-        yield pd.DataFrame({"term": np.arange(len(total)), "n": total})
-
-    n_docs = rows.count()
-    frequency = np.zeros(len(vocabulary))
-    for r in rows.select("terms").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        frequency[r.term] = r.n
-    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+            yield batch[["doc_id", "label"]].assign(terms=[i.tobytes() for i, _ in found], times=[c.astype(np.int32).tobytes() for _, c in found])
 
+    idf = _idf(docs)
     held = sorted(
-        {(r.doc_id, r.label): (np.frombuffer(r.terms, np.int32), np.frombuffer(r.times, np.int32)) for r in _sampled(rows, sample).toLocalIterator()}.items()
-    )  # at most 2 * most_per_class rows
-    vectors = [(i, weighted(i, c, idf)) for _, (i, c) in held]
-    marks = np.array([key[1] for key, _ in held], np.float64)
-    examples = [key[0] for key, _ in held]
-    index = BlockMaxIndex(vectors, len(vocabulary))
-    if len(set(marks)) == 2:
+        (r.doc_id, r.label, bytes(r.terms), bytes(r.times))
+        for r in sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+        .mapInPandas(features, "doc_id long, label int, terms binary, times binary").toLocalIterator()
+    )  # at most 2 * most_per_class rows, unless doc_ids repeat
+    marks = np.array([r[1] for r in held], np.float64)
+    examples = [r[0] for r in held]
+    terms = [np.frombuffer(r[2], np.int32) for r in held]
+    both = len(set(marks)) == 2
+    factor = idf * relevance(terms, marks) if both else idf
+    vectors = [(i, weighted(i, np.frombuffer(r[3], np.int32), factor)) for i, r in zip(terms, held, strict=True)]
+    if both:
+        index = BlockMaxIndex(vectors, ROWS)
         share = np.array([counts[int(m)] / max(1, (marks == m).sum()) for m in marks])
-        x = np.array([votes(marks, *index.nearest(i, w, k, without=p)) for p, (i, w) in enumerate(vectors)])
+        x = np.array([votes(marks, *found) for found in index.nearest_of(vectors, k, list(range(len(vectors))))])
+        del index
         beta = logistic(x, marks, share / share.mean())
     else:
         beta = np.zeros(5)
         beta[-1] = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
+    shipped = docs.sparkSession.sparkContext.broadcast((vectors, factor))
+    key = rows.columns[0]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors, factor = shipped.value
+        index, reader = BlockMaxIndex(vectors, ROWS), TermReader()
         for batch in batches:
-            scores, near = [], []
-            for terms, times in zip(batch["terms"], batch["times"], strict=True):
-                i = np.frombuffer(terms, np.int32)
-                at, sims = index.nearest(i, weighted(i, np.frombuffer(times, np.int32), idf), k)
-                z = float(np.dot(votes(marks, at, sims), beta[:-1]) + beta[-1])
-                scores.append(1 / (1 + np.exp(-z)))
-                near.append([{"doc_id": examples[a], "label": int(marks[a]), "cosine": float(s)} for a, s in zip(at, sims, strict=True)] if evidence else [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "score": scores, "evidence": near})
-
-    scored = rows.mapInPandas(score, "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
-    return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        *(["evidence"] if evidence else []),
-    )
-
+            for start in range(0, len(batch), 512):
+                part = batch.iloc[start : start + 512]
+                texts = [(i, weighted(i, c, factor)) for i, c in map(reader.read, part["text"])]
+                scores, near = [], []
+                for at, sims in index.nearest_of(texts, k):
+                    z = float(np.dot(votes(marks, at, sims), beta[:-1]) + beta[-1])
+                    scores.append(1 / (1 + np.exp(-z)))
+                    near.append([{"doc_id": examples[a], "label": int(marks[a]), "cosine": float(s)} for a, s in zip(at, sims, strict=True)] if evidence else [])
+                yield pd.DataFrame({key: part[key].astype("Int64").array, "score": scores, "evidence": near})
 
-def _sampled(rows: DataFrame, sample: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(sample.select("doc_id", "label").distinct()), "doc_id")
+    return rows.mapInPandas(score, f"{key} long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
 
 
-def _vocabulary(sample: DataFrame, most: int, least_chi2: float, least_lift: float) -> dict[str, int]:
-    """Terms whose share of label-1 examples is `least_lift` times that of the others, by chi-square, `most` at most."""
+def _idf(docs: DataFrame) -> np.ndarray:
+    """The inverse document frequency of every row, from all documents; tables of fixed size are summed in two steps."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        reader, total, n = TermReader(), np.zeros(ROWS, np.int64), 0
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                seen[label].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": terms, "no": [seen[0][t] for t in terms], "yes": [seen[1][t] for t in terms]}).astype({"no": "int64", "yes": "int64"})
-
-    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    no, yes = float(n.get(0, 0)), float(n.get(1, 0))
-    if not no or not yes:
-        return {}
-    a, b = F.col("yes"), F.col("no")
-    chi2 = (no + yes) * F.pow(a * no - b * yes, 2) / (no * yes * (a + b) * F.greatest(F.lit(no + yes) - a - b, F.lit(1.0)))
-    best = (
-        sample.select("text", "label").mapInPandas(count, "term string, no long, yes long")
-        .groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-        .withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a + b >= 5) & (a / yes >= least_lift * b / no))
-        .orderBy(F.desc("chi2"), "term").limit(most).select("term").collect()
-    )
-    return {r.term: i for i, r in enumerate(best)}
+            n += len(batch)
+            for text in batch["text"]:
+                total[reader.read(text)[0]] += 1
+        salt = zlib.crc32(total.tobytes()) % SALTS
+        used = [i for i in range(ROWS // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
+        yield frame([(i, salt, total[i * SLICE : (i + 1) * SLICE].tobytes()) for i in used] + [(-1, salt, np.array([n], np.int64).tobytes())])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i, salt, x in zip(batch["slice"], batch["salt"], batch["sums"], strict=True):
+                key, part = (int(i), int(salt)), np.frombuffer(x, np.int64)
+                sums[key] = sums[key] + part if key in sums else part
+        yield frame([(i, salt, x.tobytes()) for (i, salt), x in sums.items()])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["slice", "salt", "sums"]).astype({"slice": "int32", "salt": "int32"})
+
+    kinds = "slice int, salt int, sums binary"
+    parts = docs.select("text").mapInPandas(count, kinds).repartition("slice", "salt").mapInPandas(add, kinds)
+    parts = parts.withColumn("salt", F.lit(0)).repartition("slice").mapInPandas(add, kinds)
+    frequency, n = np.zeros(ROWS), 0
+    for r in parts.toLocalIterator():
+        if r.slice < 0:
+            n = int(np.frombuffer(r.sums, np.int64)[0])
+        else:
+            frequency[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.sums, np.int64)
+    return np.log((1 + n) / (1 + frequency)) + 1
