@@ -350,3 +350,27 @@ def test_toxicity_reads_whole_texts(spark):
     assert got[5001].predicted == 0
     ids, counts = toxicity.TermReader().read("alpha Beta alpha")
     assert len(ids) == 3 and sorted(counts.tolist()) == [1, 2, 2]
+
+
+def test_components_give_each_vertex_once(spark):
+    """Also where the exchange keeps all its partitions."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        edges = [(f"x{i:03}", f"x{i + 1:03}") for i in range(60)]
+        got = components.components(spark.createDataFrame(edges, "a string, b string").repartition(7)).collect()
+        assert sorted(r.v for r in got) == [f"x{i:03}" for i in range(61)] and {r.root for r in got} == {"x000"}
+        base = words(random.Random(14), 60).split()
+        texts = [" ".join([*base[:i], f"e{i}", *base[i + 1 :]]) for i in range(12)] * 2
+        assert near_dedup.near_components(frame(spark, texts), 2, 80).count() == len(texts)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_quality_reads_words_to_their_end():
+    reader = quality.WordReader()
+    long = ",".join(f"w{i}" for i in range(500))
+    rows = np.frombuffer(reader.rows_of(long), np.uint16)
+    assert len(rows) == 999 + 2 and rows[998] == zlib.crc32(b"w499") % quality.ROWS
+    assert reader.read(f"a {long} b {long}")[0].tolist().count(rows[998]) >= 2 and set(reader.known) == {"a", "b"}
