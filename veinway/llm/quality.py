@@ -41,7 +41,7 @@ class WordReader:
 
     def rows_of(self, word: str) -> bytes:
         """A row for each run of letters or digits, for each mark, and for the way the word is written."""
-        parts = PARTS.findall(word.lower()[:200])
+        parts = PARTS.findall(word.lower())
         if word.isupper() and len(word) > 1:
             parts.append("<upper>")
         if any(c.isdigit() for c in word):
@@ -60,6 +60,9 @@ class WordReader:
         for w in new:
             known[w] = self.rows_of(w)
         rows = np.frombuffer(b"".join([known[w] for w in words]), np.uint16)
+        for w in new:
+            if len(w) > 64:  # read whole, but not remembered
+                del known[w]
         n, lines = max(1, len(words)), text.split("\n")
         letters = sum(map(len, words))
         form = [
