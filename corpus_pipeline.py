@@ -6,7 +6,6 @@ Each stage reads what its predecessor wrote. All but the last return the columns
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veinway.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
 from veinway.llm.common import shared_dir, table
@@ -15,8 +14,10 @@ from veinway.llm.queries import tokenizer_path
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity scores reject."""
-    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.filter("predicted = 1"))
+    keyed = docs.withColumn("_key", near_dedup.row_key())
+    scored = toxicity.scored_rows(keyed.select("_key", "text"), docs, table(spark, sf_dir, "labels"))
+    toxic = scored.filter("score >= 0.5").select("_key").distinct()
+    return keyed.join(toxic, "_key", "left_anti").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the smallest doc_id of each component of near-duplicates: five-word shingles, similarity 0.8."""
-    return _without(docs, near_dedup.near_components(docs, words=5, percent=80).filter("NOT kept"))
+    """Leaves one row of each component of near-duplicates, of the smallest doc_id: five-word shingles, similarity 0.8."""
+    return near_dedup.deduplicated(docs, words=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +40,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    ids = rejected.select("doc_id").distinct()
-    return docs.alias("d").join(ids.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti")
-
-
 STAGES = [
     ("toxicity", without_toxic),
     ("exact dedup", without_copies),

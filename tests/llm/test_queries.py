@@ -52,3 +52,21 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     assert 1002 in seen[1] and 1002 not in seen[2] and harmless <= seen[2].keys()
     assert "AKIA" not in seen[3][1003] and "[SECRET]" in seen[3][1003] and seen[3].keys() == seen[2].keys()
     assert at.select("doc_id").distinct().count() == len(seen[3])
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Rows that share a doc_id, or have none, are judged each; one row of a group of near copies stays."""
+    rng = random.Random(2)
+    text = lambda n=60: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    base = text()
+    near = base.replace(base.split()[30], "edited", 1)
+    clean, other = text(), text()
+    rows = [(None, base), (None, near), (None, clean), (7, other), (7, base.replace(base.split()[10], "changed", 1)), (8, clean + " more"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(7, other), (7, rows[4][1]), (8, rows[5][1]), (0, ""), (9, "")])
+    bad = [(i, text(20) + (" loathsome vermin" * 3 if i % 3 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame([*bad, (None, text(20) + " loathsome vermin" * 3), (None, clean), (1, text(20) + " loathsome vermin" * 3)], "doc_id long, text string")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).collect()]
+    assert (None, clean) in left and bad[1] in left and not any("vermin" in t for _, t in left)

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veinway.llm.common import pinned
 from veinway.llm.components import components
@@ -53,27 +54,57 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     A pair at exactly the threshold shares no band with a chance of about (1 - 0.8^7)^50, 1 in
     130,000; pairs that share one are never dropped by a cap.
     """
+    known, named = _named(docs, words, percent, bands, rows)
+    full = known.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(named, "digest")
+    empty = known.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return (
+        full.select("doc_id", "n_shingles", "component_id")
+        .unionAll(empty.select("doc_id", "n_shingles", "component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 50, rows: int = 7) -> DataFrame:
+    """One row of each component in the documents' own columns: that of the smallest doc_id, null only if all are null.
+
+    Rows of the component with that doc_id but other texts go too; of rows that repeat doc_id and
+    text one stays, decided by a hash of the other columns. Documents without words all stay.
+    """
+    known, named = _named(docs, words, percent, bands, rows)
+    best = named.groupBy("component").agg(F.min("best").alias("winner"))
+    full = known.filter("n_shingles > 0").select("doc_id", "text_md5", "digest").join(named, "digest").join(best, "component")
+    winner = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_md5") == F.col("winner.text_md5"))
+    decided = full.select(row_key("text_md5").alias("_key"), winner.alias("_won")).distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    first = Window.partitionBy("_key").orderBy(F.xxhash64(*others))
+    left = docs.withColumn("_key", row_key()).join(decided, "_key", "left").filter(F.coalesce("_won", F.lit(True)))
+    # rows without words have no decision and all stay
+    return left.withColumn("_at", F.row_number().over(first)).filter("_at = 1 OR _won IS NULL").select(*docs.columns)
+
+
+def row_key(text_md5: str | None = None) -> Column:
+    """A text's digest with the row's doc_id, null or not: equal only for rows that repeat both."""
+    digest = _md5() if text_md5 is None else F.col(text_md5)
+    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.hex(digest))
+
+
+def _named(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(signed documents, for each class of equal sets its component's id and digest, and the least row of the class)."""
     known = pinned(_signed(docs, words, bands, rows))
     classes = pinned(
         known.filter("n_shingles > 0").groupBy("digest").agg(
-            F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_md5")).alias("source")
+            F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_md5")).alias("source"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("best"),
         )
     )
     plausible = _plausible(known, classes, percent, bands * rows)
     family = pinned(components(plausible))
     linked = components(_exact(docs, family, classes, words, percent))
     least = linked.join(classes, linked.v == classes.digest).groupBy("root").agg(F.min("least_id").alias("component_id"))
-    grouped = pinned(linked.join(least, "root").select(F.col("v").alias("digest"), "component_id"))
-    named = pinned(classes.select("digest", "least_id").join(grouped, "digest", "left").select(
-        "digest", F.coalesce("component_id", "least_id").alias("component_id")
+    grouped = pinned(linked.join(least, "root").select(F.col("v").alias("digest"), F.col("root").alias("component"), "component_id"))
+    return known, pinned(classes.select("digest", "least_id", "best").join(grouped, "digest", "left").select(
+        "digest", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "digest").alias("component"), "best"
     ))
-    full = known.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(named, "digest")
-    empty = known.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return (
-        full.select("doc_id", "n_shingles", "component_id")
-        .unionAll(empty.select("doc_id", "n_shingles", "component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:

@@ -162,7 +162,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 60
 
 
 def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, k: int = 15, evidence: bool = False) -> DataFrame:
-    """The first column of rows (a long, then text) with score and evidence; frequencies and examples are those of docs."""
+    """The first column of rows (a key, then text) with score and evidence; frequencies and examples are those of docs."""
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -195,7 +195,7 @@ def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_cl
         beta = np.zeros(5)
         beta[-1] = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
     shipped = docs.sparkSession.sparkContext.broadcast((vectors, factor))
-    key = rows.columns[0]
+    key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, factor = shipped.value
@@ -209,9 +209,9 @@ def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_cl
                     z = float(np.dot(votes(marks, at, sims), beta[:-1]) + beta[-1])
                     scores.append(1 / (1 + np.exp(-z)))
                     near.append([{"doc_id": examples[a], "label": int(marks[a]), "cosine": float(s)} for a, s in zip(at, sims, strict=True)] if evidence else [])
-                yield pd.DataFrame({key: part[key].astype("Int64").array, "score": scores, "evidence": near})
+                yield pd.DataFrame({key: (part[key].astype("Int64") if kind == "bigint" else part[key]).array, "score": scores, "evidence": near})
 
-    return rows.mapInPandas(score, f"{key} long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+    return rows.mapInPandas(score, f"{key} {kind}, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
 
 
 def _idf(docs: DataFrame) -> np.ndarray:
