@@ -11,7 +11,7 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -19,26 +19,35 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinway.llm.tokens import PIECES
+from veinway.llm.common import kept
+from veinway.llm.tokens import PIECES, Pieces
+
+
+BYTES = [bytes((i,)) for i in range(256)]
 
 
 class State:
-    """context: the token emitted last, or -1; live: for each position where a token may still begin
-    (trie node of the bytes read since, tokens from the context to it, the last of them); end: all tokens if input ends here."""
+    """context: the token emitted last, or -1; node: the longest suffix of the bytes read that begins a token;
+    lasts: of every position from the context on, the last token of the encoding that ends there."""
 
-    __slots__ = ("arrows", "context", "end", "live", "pending")
+    __slots__ = ("arrows", "context", "end", "lasts", "node", "pending")
 
-    def __init__(self, context: int, pending: bytes, live: list[tuple[int, tuple[int, ...], int]], end: tuple[int, ...]):
-        self.context, self.pending, self.live, self.end = context, pending, live, end
+    def __init__(self, context: int, pending: bytes, node: int, lasts: tuple[int, ...]):
+        self.context, self.pending, self.node, self.lasts = context, pending, node, lasts
         self.arrows: dict[int, tuple[tuple[int, ...], State]] = {}
+        self.end: tuple[int, ...] | None = None
 
 
 class Transducer:
+    """Tokens are a trie whose nodes know their longest proper suffix in it, so that the positions
+    where a token may still begin are a node and its suffixes, and the tokens that end at a byte too."""
+
     def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
         self.ranks, self.most_states = ranks, most_states
         self.token = {i: b for b, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]  # trie of all tokens: by node, byte -> node
-        self.ends = [-1]  # the token that a node ends
+        self.size = {i: len(b) for i, b in self.token.items()}
+        self.children: list[dict[int, int]] = [{}]  # by node, byte -> node
+        self.ends, self.depth, self.parent, self.byte = [-1], [0], [0], [0]  # ends: the token that a node is
         for b, i in ranks.items():
             node = 0
             for byte in b:
@@ -46,16 +55,51 @@ class Transducer:
                 if after is None:
                     after = self.children[node][byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.parent.append(node)
+                    self.byte.append(byte)
                     self.children.append({})
                 node = after
             self.ends[node] = i
+        self.suffix: list[int] = [-1] * len(self.ends)
+        self.found: dict[int, tuple[list[tuple[int, int]], list[int]]] = {}
         self.spines: dict[int, tuple[list[tuple[bytes, int, float]], list[tuple[bytes, int, float]]]] = {}
         self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.start = State(-1, b"", [(0, (), -1)], ())
+        self.start = State(-1, b"", 0, (-1,))
+
+    def suffix_of(self, node: int) -> int:
+        """The node of the longest proper suffix that begins a token."""
+        if self.suffix[node] < 0:
+            above = self.parent[node]
+            self.suffix[node] = 0 if not above else self.step(self.suffix_of(above), self.byte[node])
+        return self.suffix[node]
+
+    def step(self, node: int, byte: int) -> int:
+        children = self.children
+        while True:
+            after = children[node].get(byte)
+            if after is not None:
+                return after
+            if not node:
+                return 0
+            node = self.suffix_of(node)
+
+    def endings(self, node: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """(tokens that end at a node with their sizes, the longest first; how far back tokens may still begin, the farthest first)."""
+        found = self.found.get(node)
+        if found is None:
+            tokens, back, at = [], [], node
+            while at:
+                if self.ends[at] >= 0:
+                    tokens.append((self.ends[at], self.depth[at]))
+                back.append(self.depth[at])
+                at = self.suffix_of(at)
+            found = self.found[node] = (tokens, back)
+        return found
 
     def merges(self, piece: bytes) -> list[tuple[bytes, bytes]]:
         """The merges that byte-pair encoding makes in a token, lowest rank and leftmost first."""
@@ -113,31 +157,46 @@ class Transducer:
 
     def arrow(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
         """What is emitted on reading a byte, and the state after it."""
-        live, end, children, ends = [], None, self.children, self.ends
-        for node, tokens, last in state.live:
-            node = children[node].get(byte)
-            if node is not None:
-                token = ends[node]
-                if token >= 0 and end is None and self.follows(last, token):
-                    end = (*tokens, token)
-                live.append((node, tokens, last))
-        if end is not None:
-            live.append((0, end, end[-1]))
-        ways = [tokens for _, tokens, _ in live]
-        least, most, sure = min(ways), max(ways), 0  # all ways begin as these two do
-        while sure < len(least) and sure < len(most) and least[sure] == most[sure]:
-            sure += 1
-        out, context, pending = least[:sure], state.context, state.pending + bytes((byte,))
-        if out:
-            context = out[-1]
-            pending = pending[sum(len(self.token[t]) for t in out) :]
-            live = [(node, tokens[sure:], last) for node, tokens, last in live]
-            end = end and end[sure:]
+        lasts, size = state.lasts, self.size
+        node, n = self.children[state.node].get(byte), len(lasts)
+        if node is None:
+            node = self.step(state.node, byte)
+        tokens, back = self.found.get(node) or self.endings(node)
+        for token, many in tokens:
+            if many == 1:  # exactly one token ends here, and all longer ones do not
+                break
+            ok = self.pairs.get((lasts[n - many] + 1) << 24 | token)
+            if ok or ok is None and self.follows(lasts[n - many], token):
+                break
+        lasts = (*lasts, token)
+        # all ways to places where a token may begin have in common what leads to the last place that they all pass
+        common = n
+        for many in back:
+            at = n - many
+            while common != at:
+                if common > at:
+                    common -= size[lasts[common]]
+                else:
+                    at -= size[lasts[at]]
+            if not common:
+                break
+        out, context, pending = (), state.context, state.pending + BYTES[byte]
+        if common:
+            out, context, pending = self._path(lasts, common), lasts[common], pending[common:]
+            lasts = lasts[common:]
         after = self.states.get((context, pending))
         if after is None:
-            after = self.states[context, pending] = State(context, pending, live, end or ())
+            after = self.states[context, pending] = State(context, pending, node, lasts)
         return out, after
 
+    def _path(self, lasts: tuple[int, ...], at: int) -> tuple[int, ...]:
+        """The tokens from the context to a position."""
+        out = []
+        while at:
+            out.append(lasts[at])
+            at -= self.size[lasts[at]]
+        return tuple(reversed(out))
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         if len(self.states) > self.most_states:
@@ -150,60 +209,59 @@ class Transducer:
             if arrow[0]:
                 out += arrow[0]
             state = arrow[1]
+        if state.end is None:
+            state.end = self._path(state.lasts, len(state.lasts) - 1)
         out += state.end
         return out
 
 
 class ByteBpe:
-    """Whole texts to ids and back. Words that were met are remembered, up to a bound."""
+    """Whole texts to ids and back. Pieces that were met are remembered, up to about `remember_mb`."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, pattern: str, remember_mb: int = 200, longest: int = 48):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.bytes_of = [self.transducer.token[i] for i in range(max(ranks.values()) + 1)]
-        self.remember, self.longest = remember, longest
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = Pieces(self._new, remember_mb, longest)
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        encode, matches = self.transducer.encode, self.pattern.findall
+        return {x: np.array([i for m in matches(x) for i in encode(m.encode("utf-8"))], "<u4").tobytes() for x in pieces}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [i for m in self.pattern.findall(piece) for i in self.transducer.encode(m.encode("utf-8"))]
-        return np.array(ids, "<u4").tobytes()
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit bytes.
+
+        Texts are cut where white space follows another character and between letters or digits and
+        punctuation: every match of the pattern ends there.
+        """
+        return self.pieces.joined([PIECES.findall(t) for t in texts])
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; it is cut where white space follows another character and between letters or digits and punctuation: every match of the pattern ends there."""
-        out, known = [], self.known
-        for piece in PIECES.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.older.get(piece)
-                if ids is None:
-                    ids = self._piece(piece)
-                if len(piece) <= self.longest:
-                    if len(known) >= self.remember:
-                        self.known, self.older = {}, known
-                        known = self.known
-                    known[piece] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as the ids come in; a character split over tokens waits for its last byte, bad bytes become U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            if text := machine.decode(self.bytes_of[i]):
+        return np.frombuffer(self.encode_all([text])[0], "<u4")
+
+    def decode_stream(self, ids: Iterable[int], errors: str = "replace", together: int = 1) -> Iterator[str]:
+        """Text as the ids come in, `together` at a time; a character split over tokens waits for its last byte.
+
+        The machine's state is the bytes of a character that is not complete. Bytes that are no
+        UTF-8 become U+FFFD, or what else `errors` says.
+        """
+        machine, bytes_of = codecs.getincrementaldecoder("utf-8")(errors), self.bytes_of.__getitem__
+        for some in batched(ids, together):
+            if text := machine.decode(b"".join(map(bytes_of, some))):
                 yield text
         if text := machine.decode(b"", True):
             yield text
 
+    def decode_bytes(self, ids: Iterable[int], together: int = 4096) -> Iterator[bytes]:
+        """The decoded bytes, through the same machine; bytes that are no UTF-8 come out as they were."""
+        for text in self.decode_stream(ids, "surrogateescape", together):
+            yield text.encode("utf-8", "surrogateescape")
+
 
-@lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One a Python worker."""
-    return ByteBpe(path, pattern)
+    return kept(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -214,7 +272,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "ids": [bpe.encode(t or "").astype(np.int32) for t in part["text"]]})
+                coded = bpe.encode_all([t or "" for t in part["text"]])
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "ids": [np.frombuffer(x, "<i4") for x in coded]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -225,14 +284,14 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:
-            texts = ["".join(bpe.decode_stream(ids if ids is not None else ())) for ids in batch["ids"]]
+            texts = ["".join(bpe.decode_stream(ids if ids is not None else (), together=4096)) for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "text": texts})
 
     return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 of the decimal ids, decoded_sha256 of the decoded bytes.
+    """Per document: doc_id, n_tokens, ids_sha256 of the decimal ids, decoded_sha256 of the bytes decoded from them.
 
     Null texts count as empty: no ids, digests of nothing. Repeated rows each give a row, null
     doc_ids are kept, an empty table gives an empty result.
@@ -244,11 +303,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part, n, coded, decoded = batch.iloc[at : at + 500], [], [], []
-                for text in part["text"]:
-                    ids = bpe.encode(text or "").tolist()
+                for found in bpe.encode_all([t or "" for t in part["text"]]):
+                    ids = np.frombuffer(found, "<u4").tolist()
                     n.append(len(ids))
                     coded.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+                    digest = hashlib.sha256()
+                    for some in bpe.decode_bytes(ids):
+                        digest.update(some)
+                    decoded.append(digest.hexdigest())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_tokens": n, "ids_sha256": coded, "decoded_sha256": decoded})
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -1,6 +1,10 @@
 """What the operators of this subpackage share: reading tables, cutting lineage, even chunks of rows."""
 
+import gc
+import re
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, a session on one machine takes a temporary folder; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veinway-"))
     return sc.getCheckpointDir()
 
@@ -26,6 +35,29 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate folder from whatever store holds it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """make(), once a Python worker, for what an operator remembers from one task to the next.
+
+    A worker holds one such thing: when another operator asks for its own, the one before goes.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        gc.set_threshold(200_000, 50, 100)  # many long-lived objects, few cycles
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of documents whose labels no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 5 == 0, F.lit(False))
