@@ -17,119 +17,163 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinway.llm.common import held_out, pinned
-from veinway.llm.labelled import training_ids, with_texts
+from veinway.llm.labelled import training_ids
 
 ROWS, DIMS, SLICE, SALTS = 8192, 64, 256, 16
 PARTS = re.compile(r"[^\W_]+|[^\w\s]{1,4}|_+")
 
 
-def random_vectors(seed: int = 8, ones: int = 6) -> np.ndarray:
-    """The index vectors: a few entries of +1 and -1 each."""
+def random_entries(seed: int = 8, ones: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, signs) of the few entries of every row's index vector, ROWS x ones each."""
     rng = np.random.default_rng(seed)
+    return rng.integers(0, DIMS, (ROWS, ones)), rng.choice([-1, 1], (ROWS, ones))
+
+
+def random_vectors() -> np.ndarray:
+    """The index vectors: a few entries of +1 and -1 each, which add up where they fall together."""
+    at, sign = random_entries()
     out = np.zeros((ROWS, DIMS), np.float32)
-    at = rng.integers(0, DIMS, (ROWS, ones))
-    out[np.arange(ROWS)[:, None], at] = rng.choice([-1.0, 1.0], (ROWS, ones))
+    np.add.at(out, (np.arange(ROWS)[:, None], at), sign)
     return out
 
 
 class WordReader:
     """Rows of a text's words in reading order, and a few measures of its form."""
 
-    def __init__(self, remember: int = 300_000):
-        self.remember = remember
+    def __init__(self, remember_mb: int = 80):
+        self.most, self.used = remember_mb * 1_000_000, 0  # an entry counts about 200 bytes besides its text
         self.known: dict[str, bytes] = {}
 
     def rows_of(self, word: str) -> bytes:
         """A row for each run of letters or digits, for each mark, and for the way the word is written."""
-        parts = PARTS.findall(word.lower())
+        parts = [word.lower()] if word.isalpha() else PARTS.findall(word.lower())
         if word.isupper() and len(word) > 1:
             parts.append("<upper>")
-        if any(c.isdigit() for c in word):
+        if not word.isalpha() and any(map(str.isdigit, word)):
             parts.append("<digit>")
         if len(word) > 20:
             parts.append("<long>")
-        return np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % ROWS for p in parts], np.uint16).tobytes()
+        return b"".join([(zlib.crc32(p.encode("utf-8", "surrogatepass")) % ROWS).to_bytes(2, "little") for p in parts])
 
     def read(self, text: str | None) -> tuple[np.ndarray, list[float]]:
         text = text or ""
         words, known = text.split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > self.remember:
+        distinct = set(words)
+        new = [w for w in distinct if w not in known]
+        if self.used > self.most:
             known.clear()
-            new = set(words)
+            self.used, new = 0, list(distinct)
         for w in new:
             known[w] = self.rows_of(w)
-        rows = np.frombuffer(b"".join([known[w] for w in words]), np.uint16)
+            self.used += 200 + 2 * len(w)
+        rows = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2")
         for w in new:
             if len(w) > 64:  # read whole, but not remembered
                 del known[w]
+                self.used -= 200 + 2 * len(w)
         n, lines = max(1, len(words)), text.split("\n")
         letters = sum(map(len, words))
         form = [
-            np.log1p(len(words)) / 10, len(set(words)) / n, sum(map(eq, words, words[1:])) / n, letters / n / 10,
+            np.log1p(len(words)) / 10, len(distinct) / n, sum(map(eq, words, words[1:])) / n, letters / n / 10,
             len(lines) / n, 1 - len(set(lines)) / len(lines), len(rows) / n / 4,
             len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1)) / max(1, len(text)) if text else 0.0,
         ]
         return rows, form
 
 
-def context_sums(rows: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of the vectors of their left and right neighbours)."""
-    here, there = np.concatenate([rows[:-1], rows[1:]]), np.concatenate([rows[1:], rows[:-1]])
-    if not len(here):
-        return np.zeros(0, np.int64), np.zeros((0, DIMS), np.float32)
-    order = np.argsort(here, kind="stable")
-    found, first = np.unique(here[order], return_index=True)
-    return found.astype(np.int64), np.add.reduceat(vectors[there[order]], first, axis=0)
+class ContextSums:
+    """The sum of the index vectors of every row's left and right neighbours, over many texts, as whole numbers."""
+
+    def __init__(self, together: int = 1_000_000):
+        at, sign = random_entries()
+        self.codes = [np.ascontiguousarray(c) for c in (2 * at + (sign > 0)).T]
+        self.total = np.zeros((ROWS, DIMS), np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.held, self.together = 0, together
+
+    def add(self, rows: np.ndarray) -> None:
+        if len(rows) > 1:
+            self.waiting.append(rows)
+            self.held += len(rows)
+        if self.held >= self.together:
+            self.settle()
 
+    def settle(self) -> np.ndarray:
+        """The sums so far; neighbours are counted by row and entry, so that no vector is gathered."""
+        if self.waiting:
+            here, there = (np.concatenate([x[cut] for x in self.waiting]) for cut in (slice(None, -1), slice(1, None)))
+            for a, b in ((here, there), (there, here)):
+                base = a.astype(np.int64) * (2 * DIMS)
+                counts = sum(np.bincount(base + code.take(b), minlength=ROWS * 2 * DIMS) for code in self.codes)
+                counts = counts.reshape(ROWS, DIMS, 2)
+                self.total += counts[:, :, 1] - counts[:, :, 0]
+            self.waiting, self.held = [], 0
+        return self.total
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Index vectors beside unit context vectors, ROWS x 2 DIMS, from all documents.
 
-    Each task sums its documents into one table of fixed size and emits it in slices; slices are
-    summed in two steps, so that no task reads those of all others.
+FEATURES = "found binary, times binary, form binary"
+
+
+def read_all(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id with the distinct rows of its words, their counts and its form; index vectors beside unit context vectors).
+
+    The texts are read once. Each task sums its documents' contexts into one table of fixed size and
+    emits it in slices; slices are summed in two steps, so that no task reads those of all others.
+    Sums are whole numbers: they do not depend on the order of documents.
     """
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, vectors, total = WordReader(), random_vectors(), np.zeros((ROWS, DIMS), np.float32)
+        reader, sums = WordReader(), ContextSums()
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                for text in batch["text"].iloc[at : at + 100]:
-                    found, sums = context_sums(reader.read(text)[0], vectors)
-                    total[found] += sums
-        used = [i for i in range(ROWS // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
-        salt = zlib.crc32(total.tobytes()) % SALTS
-        yield frame([(i, salt, total[i * SLICE : (i + 1) * SLICE].tobytes()) for i in used])
+            for at in range(0, len(batch), 500):
+                part, out = batch.iloc[at : at + 500], []
+                for text in part["text"]:
+                    rows, form = reader.read(text)
+                    sums.add(rows)
+                    found, times = np.unique(rows, return_counts=True)
+                    times = times.astype("<u2" if times.max(initial=0) < 1 << 16 else "<u4")
+                    out.append((found.astype("<u2").tobytes(), times.tobytes(), np.array(form, "<f4").tobytes()))
+                frame = pd.DataFrame(out, columns=["found", "times", "form"], dtype=object)
+                yield frame.assign(doc_id=part["doc_id"].astype("Int64").array, slice=-1, salt=0, sums=None)
+        total = sums.settle()
+        yield sliced(total, zlib.crc32(total.tobytes()) % SALTS).assign(doc_id=None, found=None, times=None, form=None)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for i, salt, x in zip(batch["slice"], batch["salt"], batch["sums"], strict=True):
                 key = (int(i), int(salt))
-                part = np.frombuffer(x, np.float32)
-                sums[key] = sums[key] + part if key in sums else part
-        yield frame([(i, salt, x.tobytes()) for (i, salt), x in sums.items()])
+                sums[key] = sums[key] + whole(x) if key in sums else whole(x)
+        yield pd.DataFrame([(i, salt, x.tobytes()) for (i, salt), x in sums.items()], columns=["slice", "salt", "sums"])
+
+    def sliced(total: np.ndarray, salt: int) -> pd.DataFrame:
+        small = total.astype("<i4") if np.abs(total).max() < 1 << 31 else total
+        used = [i for i in range(ROWS // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
+        return pd.DataFrame([(i, salt, small[i * SLICE : (i + 1) * SLICE].tobytes()) for i in used], columns=["slice", "salt", "sums"])
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["slice", "salt", "sums"])
+    def whole(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, "<i8" if len(x) == 8 * SLICE * DIMS else "<i4").astype(np.int64)
 
     kinds = "slice int, salt int, sums binary"
-    parts = docs.select("text").mapInPandas(gather, kinds).repartition(F.col("slice"), F.col("salt")).mapInPandas(add, kinds)
-    whole = parts.withColumn("salt", F.lit(0)).repartition(F.col("slice")).mapInPandas(add, kinds)
-    context = np.zeros((ROWS, DIMS), np.float32)
-    for r in whole.collect():  # ROWS x DIMS numbers
-        context[r.slice * SLICE : (r.slice + 1) * SLICE] += np.frombuffer(r.sums, np.float32).reshape(SLICE, DIMS)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = pinned(read.mapInPandas(gather, f"doc_id long, {FEATURES}, {kinds}"))
+    parts = both.filter("slice >= 0").select("slice", "salt", "sums").repartition(F.col("slice"), F.col("salt")).mapInPandas(add, kinds)
+    summed = parts.withColumn("salt", F.lit(0)).repartition(F.col("slice")).mapInPandas(add, kinds)
+    context = np.zeros((ROWS, DIMS))
+    for r in summed.toLocalIterator():  # ROWS x DIMS numbers
+        context[r.slice * SLICE : (r.slice + 1) * SLICE] += whole(r.sums).reshape(SLICE, DIMS)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
-    return np.hstack([random_vectors(), context]).astype(np.float32)
+    return both.filter("slice < 0").select("doc_id", "found", "times", "form"), np.hstack([random_vectors(), context]).astype(np.float32)
 
 
-def pooled(rows: np.ndarray, form: list[float], vectors: np.ndarray) -> np.ndarray:
+def pooled(found: bytes, times: bytes, form: bytes, vectors: np.ndarray) -> np.ndarray:
     """Mean of the word vectors, their share of repeated words, and the measures of form."""
+    rows, form = np.frombuffer(found, "<u2"), np.frombuffer(form, "<f4")
     if not len(rows):
         return np.concatenate([np.zeros(vectors.shape[1] + 2), form]).astype(np.float32)
-    found, count = np.unique(rows, return_counts=True)
-    share = count / len(rows)
-    return np.concatenate([share @ vectors[found], [len(found) / len(rows), share.max()], form]).astype(np.float32)
+    count = np.frombuffer(times, "<u2" if len(times) == 2 * len(rows) else "<u4")
+    share = count / count.sum()
+    return np.concatenate([share @ vectors[rows], [len(rows) / count.sum(), share.max()], form]).astype(np.float32)
 
 
 class Network:
@@ -182,37 +226,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 800
     not held out, an empty table gives an empty result.
     """
     ids, counts = training_ids(labels, "quality", most_per_class)
-    sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
-    vectors = word_vectors(docs)
-
-    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = WordReader()
-        for batch in batches:
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].array, "label": batch["label"].array,
-                "x": [pooled(*reader.read(t), vectors).tobytes() for t in batch["text"]],
-            })
-
-    found = sorted(sample.mapInPandas(pool, "doc_id long, label int, x binary").collect(), key=lambda r: (r.doc_id, r.label))
-    y = np.array([r.label for r in found], np.float64)
+    features, vectors = read_all(docs)
+    columns = ["found", "times", "form"]
+    sample = features.join(F.broadcast(ids), "doc_id").dropDuplicates([*columns, "label"])  # equal texts once for a label
+    order = sorted((r.doc_id, r.label, bytes(r.found), bytes(r.times), bytes(r.form)) for r in sample.select("doc_id", "label", *columns).toLocalIterator())
+    y = np.array([r[1] for r in order], np.float64)
     network, shift, prior = None, 0.0, counts.get(1, 0) / max(1, sum(counts.values()))
     if 0 < y.sum() < len(y):
-        network = Network(np.array([np.frombuffer(r.x, np.float32) for r in found], np.float64), y)
+        network = Network(np.array([pooled(*r[2:], vectors) for r in order], np.float64), y)
         shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = WordReader()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 if network is None:
                     p = np.full(len(part), prior)
                 else:
-                    p = network.score(np.array([pooled(*reader.read(t), vectors) for t in part["text"]], np.float64))
+                    p = network.score(np.array([pooled(*x, vectors) for x in zip(*(part[c] for c in columns), strict=True)], np.float64))
                     p = p * np.exp(shift) / (1 - p + p * np.exp(shift))
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "score": p})
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return read.mapInPandas(score, "doc_id long, score double").select(
+    return features.mapInPandas(score, "doc_id long, score double").select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
