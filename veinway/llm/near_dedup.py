@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from veinway.llm.common import pinned
 from veinway.llm.components import components
-from veinway.llm.shingles import circulant, set_digest, shingle_sets
+from veinway.llm.shingles import ShingleSets, set_digest, shingler
 
 BLOCK = 256
 
@@ -111,7 +111,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """A row per document with its set's size and digest, its bands and the low bytes of its signature."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, ring = shingle_sets(words), circulant(bands, rows)
+        sets, ring = shingler(words, bands, rows)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -282,7 +282,7 @@ def _exact(docs: DataFrame, family: DataFrame, classes: DataFrame, words: int, p
     ).select("root", "n", "v", "text")
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = shingle_sets(words)
+        sets = ShingleSets(words)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]

@@ -1,11 +1,12 @@
 """Sets of word shingles and their circulant minimum hashes, as numpy helpers for Spark tasks."""
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 
+from veinway.llm.common import kept
+
 FOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -21,8 +22,8 @@ class ShingleSets:
     with fewer words gives its whole sequence as one shingle, without words the set is empty.
     """
 
-    def __init__(self, words: int, remember: int = 300_000):
-        self.words, self.remember = words, remember
+    def __init__(self, words: int, remember_mb: int = 60):
+        self.words, self.most, self.used = words, remember_mb * 1_000_000, 0  # an entry counts about 200 bytes besides its word
         self.known: dict[bytes, bytes] = {}
 
     def of(self, text: str | None) -> np.ndarray:
@@ -30,13 +31,13 @@ class ShingleSets:
         if not parts:
             return np.zeros(0, np.uint64)
         known = self.known
-        new = [w for w in set(parts) if w not in known]
-        if len(known) + len(new) > self.remember:
+        if self.used > self.most:
             known.clear()
-            new = set(parts)
-        for w in new:
+            self.used = 0
+        for w in [w for w in set(parts) if w not in known]:
             known[w] = xxhash.xxh64_digest(w)
-        h, k = np.frombuffer(b"".join([known[w] for w in parts]), "<u8"), self.words
+            self.used += 200 + len(w)
+        h, k = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u8"), self.words
         if len(h) < k:
             k = len(h)
         out = h[: len(h) - k + 1] + np.uint64(k)
@@ -81,11 +82,6 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-@lru_cache(maxsize=4)
-def shingle_sets(words: int) -> ShingleSets:
-    return ShingleSets(words)
-
-
-@lru_cache(maxsize=4)
-def circulant(bands: int, rows: int) -> Circulant:
-    return Circulant(bands, rows)
+def shingler(words: int, bands: int, rows: int) -> tuple[ShingleSets, Circulant]:
+    """Sets and signatures, once a Python worker."""
+    return kept(("shingles", words, bands, rows), lambda: (ShingleSets(words), Circulant(bands, rows)))
