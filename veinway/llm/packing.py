@@ -29,36 +29,49 @@ def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[
     fits, new sequences are opened and filled with as many pieces of that length as they hold.
     """
     cap, scale = np.array(capacity, float), np.array(weights, float)
-    residual, classes = np.zeros((0, 3)), []  # of each class: its runs [first sequence, how many]
+    # sequences by their residual capacities: their runs [first sequence, how many]; only classes that have any
+    residual, keys, classes, place = np.zeros((64, 3)), [], [], {}
     runs, sequences = [], 0
-    index: dict[tuple, int] = {}
 
     def add(res: np.ndarray, run: list[int]) -> None:
         nonlocal residual
-        key = tuple(res)
-        if key not in index:
-            index[key] = len(classes)
+        at = place.setdefault(tuple(res), len(keys))
+        if at == len(keys):
+            if at == len(residual):
+                residual = np.vstack([residual, np.zeros_like(residual)])
+            residual[at] = res
+            keys.append(tuple(res))
             classes.append([])
-            residual = np.vstack([residual, res])
-        classes[index[key]].append(run)
+        classes[at].append(run)
+
+    def drop(at: int) -> None:
+        del place[keys[at]]
+        key, rest = keys.pop(), classes.pop()
+        if at < len(keys):
+            keys[at], classes[at], residual[at] = key, rest, residual[len(keys)]
+            place[key] = at
 
     for length in sorted(counts, reverse=True):
         left, rank, size = counts[length], 0, np.array([length, 1.0, float(length) ** 2])
         while left:
-            after = residual - size
-            fits = (after >= 0).all(1) & np.array([bool(c) for c in classes], bool) if classes else np.zeros(0, bool)
+            after = residual[: len(keys)] - size
+            fits = (after >= 0).all(1)
             if fits.any():
                 if rule == "norm":
                     cost = ((scale * np.maximum(after, 0) / cap) ** 2).sum(1)
                 else:
-                    cost = -((residual / cap) * (size / cap) * scale).sum(1)
-                best = int(np.argmin(np.where(fits, cost, np.inf)))
+                    cost = -((residual[: len(keys)] / cap) * (size / cap) * scale).sum(1)
+                cost = np.where(fits, cost, np.inf)
+                best = min(np.flatnonzero(cost == cost.min()), key=lambda i: keys[i])
                 first, many = classes[best].pop()
                 take = min(left, many)
+                runs.append((length, rank, take, first, int(cap[0] - residual[best, 0])))
                 if take < many:
                     classes[best].append([first + take, many - take])
-                runs.append((length, rank, take, first, int(cap[0] - residual[best, 0])))
-                add(after[best], [first, take])
+                res = after[best].copy()
+                if not classes[best]:
+                    drop(best)
+                add(res, [first, take])
                 rank, left = rank + take, left - take
                 continue
             each = int(min(cap // size))
@@ -74,11 +87,11 @@ def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[
     return np.array(runs, np.int64).reshape(-1, 5)
 
 
-def cut(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataFrame:
+def cut(docs: DataFrame, path: str, max_tokens: int, end_id: int, remember_mb: int) -> DataFrame:
     """The pieces of each document: only documents of more than max_tokens ids are cut, the first piece may be shorter."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, remember_mb), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part, rows = batch.iloc[at : at + 500], []
@@ -98,15 +111,18 @@ def cut(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataFrame:
 
 def pack(
     docs: DataFrame, path: str, max_tokens: int = 2048, max_docs: int | None = None, max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm", end_id: int = 0,
+    weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm", end_id: int = 0, remember_mb: int = 240,
 ) -> DataFrame:
     """Packs every document into sequences under token, document-count and attention-cost capacities.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and
-    empty texts are one end id. Where max_docs or max_cost is None, no packing can reach it.
+    empty texts are one end id. No sequence holds more than max_docs pieces, nor pieces whose squared
+    lengths add up to more than max_cost; where one is None, no packing can reach it. (A piece of
+    max_tokens must fit, so a max_cost below max_tokens squared raises ValueError where there is one.)
+    Every worker remembers at most about remember_mb of encoded words.
     Repeated rows and null doc_ids are packed like others; an empty table gives an empty result.
     """
-    pieces = pinned(cut(docs, path, max_tokens, end_id))
+    pieces = pinned(cut(docs, path, max_tokens, end_id, remember_mb))
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(counts, (max_tokens, max_docs or max_tokens, max_cost or max_tokens**2), weights, rule)
     base, total = {}, 0

@@ -24,12 +24,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Of a sequence of 2048 tokens: documents, and attention cost as the sum of squared lengths.
+MAX_DOCS, MAX_COST = 128, 2048**2
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), max_docs=MAX_DOCS, max_cost=MAX_COST)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
