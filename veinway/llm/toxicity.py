@@ -3,12 +3,12 @@
 Terms are all lower-cased words of a text and their first four and five letters, hashed to a fixed
 number of rows. Document frequencies are counted over all documents and vectors are normed over
 the whole text; no term is left out. Terms that are commoner in label 1 weigh more, none weighs
-less than its TF-IDF. The cosines with all labelled examples are exact: terms that many examples
-hold go through a matrix product, the others through their lists of examples. The largest cosine
-of each block of examples then leaves out blocks that cannot hold one of the k nearest.
+less than its TF-IDF. The k nearest labelled examples are exact: a block-max index of their
+postings leaves out blocks of examples only where their bound shows that they hold none of them.
 """
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinway.llm.common import held_out, pinned
+from veinway.llm.common import held_out, kept, pinned
 from veinway.llm.labelled import training_ids, with_texts
 
 WORD = re.compile(r"[^\W_]+")
@@ -33,28 +33,38 @@ def terms_of(word: str) -> list[str]:
 class TermReader:
     """Rows and counts of all terms of a text."""
 
-    def __init__(self, remember: int = 200_000):
-        self.remember = remember
+    def __init__(self, remember_mb: int = 80):
+        self.most, self.used = remember_mb * 1_000_000, 0  # an entry counts about 200 bytes besides its text
         self.known: dict[str, bytes] = {}
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        known, found = self.known, []
-        for word in WORD.findall((text or "").lower()):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= self.remember:
-                    known.clear()
-                ids = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % ROWS for t in terms_of(word)], np.int32).tobytes()
-                if len(word) <= 64:
-                    known[word] = ids
-            found.append(ids)
-        return np.unique(np.frombuffer(b"".join(found), np.int32), return_counts=True)
+        words, known = WORD.findall((text or "").lower()), self.known
+        if self.used > self.most:
+            known.clear()
+            self.used = 0
+        new = {w for w in words if w not in known}
+        for word in new:
+            known[word] = b"".join([(zlib.crc32(t.encode("utf-8", "surrogatepass")) % ROWS).to_bytes(4, "little") for t in terms_of(word)])
+            self.used += 200 + len(word)
+        found = np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4")
+        for word in new:
+            if len(word) > 64:  # read whole, but not remembered
+                del known[word]
+                self.used -= 200 + len(word)
+        return np.unique(found, return_counts=True)
 
 
 class BlockMaxIndex:
-    """Exact k nearest examples by cosine; the largest cosine of a block says whether it can hold one of them."""
+    """Exact k nearest examples by cosine.
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, common: int = 1024):
+    Rare terms have lists of the examples that hold them; the sums over these lists are a lower bound
+    of every cosine. Common terms have rows of weights, and for each block of examples their largest
+    weight. A block whose bound lies below the k-th largest lower bound holds none of the nearest
+    and is not multiplied out. Examples with the same strongest common term are neighbours, so
+    that the maxima of a block are close to its weights.
+    """
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 32, common: int = 1024):
         self.n, self.block = len(rows), block
         ids = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)]).astype(np.int32)
         weights = np.concatenate([np.zeros(0, np.float32), *(r[1] for r in rows)]).astype(np.float32)
@@ -64,32 +74,43 @@ class BlockMaxIndex:
         often = often[times[often] > 0]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), -(-len(rows) // block) * block), np.float32)
+        width = -(-len(rows) // block) * block
+        dense = np.zeros((len(often), width), np.float32)
         in_dense = self.column[ids] >= 0
-        self.dense[self.column[ids[in_dense]], of[in_dense]] = weights[in_dense]
-        ids, of, weights = ids[~in_dense], of[~in_dense], weights[~in_dense]
+        dense[self.column[ids[in_dense]], of[in_dense]] = weights[in_dense]
+        lead = dense[:, : len(rows)].argmax(0) if len(often) else np.zeros(len(rows), np.int64)
+        order = np.lexsort((np.arange(len(rows)), lead))
+        #: the example at a place, and the place of an example
+        self.example = np.concatenate([order, np.arange(len(rows), width)])
+        self.place = np.argsort(self.example)
+        self.dense = np.ascontiguousarray(dense[:, self.example])
+        self.most = self.dense.reshape(len(often), -1, block).max(2) if width else np.zeros((len(often), 0), np.float32)
+        ids, of, weights = ids[~in_dense], self.place[of[~in_dense]].astype(np.int32), weights[~in_dense]
         order = np.argsort(ids, kind="stable")
         self.of, self.weights = of[order], weights[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n_terms))]).astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n_terms))]).astype(np.int64)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest examples with a cosine above 0, the nearest first."""
         return next(self.nearest_of([(ids, weights)], k, [without]))
 
-    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None, together: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None, together: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """nearest() of each text."""
         for at in range(0, len(texts), together):
             part = texts[at : at + together]
-            asked = np.zeros((len(part), len(self.dense)), np.float32)
-            for row, (ids, weights) in zip(asked, part, strict=True):
-                columns = self.column[ids]
-                row[columns[columns >= 0]] = weights[columns >= 0]
-            sums = asked @ self.dense
+            left_out = [-1 if x < 0 else self.place[x] for x in (without or [-1] * len(texts))[at : at + together]]
+            asked, sums = np.zeros((len(part), len(self.dense)), np.float32), np.zeros((len(part), self.dense.shape[1]), np.float32)
             for i, (ids, weights) in enumerate(part):
+                columns = self.column[ids]
+                asked[i, columns[columns >= 0]] = weights[columns >= 0]
                 self._add_rare(sums[i], ids, weights)
-                if without is not None and without[at + i] >= 0:
-                    sums[i, without[at + i]] = 0
-                yield self._best(sums[i], k)
+                if left_out[i] >= 0:
+                    sums[i, left_out[i]] = 0
+            self._add_common(sums, asked, k)
+            for row, x in zip(sums, left_out, strict=True):
+                if x >= 0:
+                    row[x] = 0
+                yield self._best(row, k)
 
     def _add_rare(self, sums: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> None:
         start, many = self.first[ids], self.first[ids + 1] - self.first[ids]
@@ -98,14 +119,24 @@ class BlockMaxIndex:
             where = np.arange(total) + np.repeat(start - np.cumsum(many) + many, many)
             sums += np.bincount(self.of[where], self.weights[where] * np.repeat(weights, many), len(sums)).astype(np.float32)
 
+    def _add_common(self, sums: np.ndarray, asked: np.ndarray, k: int, together: int = 64) -> None:
+        """Adds the weights of common terms in all blocks that may hold one of a text's k nearest."""
+        if not sums.shape[1] or not len(self.dense):
+            return
+        least = np.partition(sums, -k, axis=1)[:, -k] if sums.shape[1] > k else np.zeros(len(sums), np.float32)
+        bound = asked @ self.most + sums.reshape(len(sums), -1, self.block).max(2)
+        needed = bound * 1.00001 >= least[:, None]  # more than rounding can take off
+        order = np.argsort(bound.argmax(1), kind="stable")  # texts that need the same blocks are multiplied together
+        for at in range(0, len(order), together):
+            rows = order[at : at + together]
+            blocks = np.flatnonzero(needed[rows].any(0))
+            places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+            sums[np.ix_(rows, places)] += asked[rows] @ self.dense[:, places]
+
     def _best(self, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        blocks = sums.reshape(-1, self.block)
-        most = blocks.max(1)
-        least = max(1e-6, float(np.partition(most, -k)[-k]) if len(most) > k else 0.0)  # k blocks hold a cosine as large
-        near = np.flatnonzero(most >= least)
-        at = (near[:, None] * self.block + np.arange(self.block)).ravel()
-        found = blocks[near].ravel()
-        at, found = at[found >= least], found[found >= least]
+        least = max(1e-6, float(np.partition(sums, -k)[-k]) if len(sums) > k else 0.0)
+        at = np.flatnonzero(sums >= least)
+        found, at = sums[at], self.example[at]
         top = np.lexsort((at, -found))[:k]
         return at[top], found[top]
 
@@ -145,7 +176,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return beta
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, k: int = 15, evidence: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 2500, k: int = 15, evidence: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with evidence also the nearest examples.
 
     Labels come from at most `most_per_class` rows of each class outside the held-out fifth. The
@@ -161,7 +192,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 60
     )
 
 
-def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 6000, k: int = 15, evidence: bool = False) -> DataFrame:
+def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 2500, k: int = 15, evidence: bool = False) -> DataFrame:
     """The first column of rows (a key, then text) with score and evidence; frequencies and examples are those of docs."""
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
@@ -195,11 +226,12 @@ def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_cl
         beta = np.zeros(5)
         beta[-1] = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
     shipped = docs.sparkSession.sparkContext.broadcast((vectors, factor))
+    call = uuid.uuid4().hex
     key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, factor = shipped.value
-        index, reader = BlockMaxIndex(vectors, ROWS), TermReader()
+        factor = shipped.value[1]
+        index, reader = kept(("toxicity", call), lambda: (BlockMaxIndex(shipped.value[0], ROWS), TermReader()))
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.iloc[start : start + 512]
@@ -218,7 +250,7 @@ def _idf(docs: DataFrame) -> np.ndarray:
     """The inverse document frequency of every row, from all documents; tables of fixed size are summed in two steps."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total, n = TermReader(), np.zeros(ROWS, np.int64), 0
+        reader, total, n = kept(("terms",), TermReader), np.zeros(ROWS, np.int64), 0
         for batch in batches:
             n += len(batch)
             for text in batch["text"]:
