@@ -10,6 +10,7 @@ determinisation) and kept up to a bound, so common words run along known arrows.
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import batched
 
@@ -218,7 +219,7 @@ class Transducer:
 class ByteBpe:
     """Whole texts to ids and back. Pieces that were met are remembered, up to about `remember_mb`."""
 
-    def __init__(self, path: str, pattern: str, remember_mb: int = 200, longest: int = 48):
+    def __init__(self, path: str, pattern: str, remember_mb: int = 340, longest: int = 48):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
@@ -227,7 +228,7 @@ class ByteBpe:
 
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
         encode, matches = self.transducer.encode, self.pattern.findall
-        return {x: np.array([i for m in matches(x) for i in encode(m.encode("utf-8"))], "<u4").tobytes() for x in pieces}
+        return {x: array("I", [i for m in matches(x) for i in encode(m.encode("utf-8"))]).tobytes() for x in pieces}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes.
