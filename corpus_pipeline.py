@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from veinway.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
-from veinway.llm.common import shared_dir, table
-from veinway.llm.queries import tokenizer_path
+from veinway.llm.common import removed, shared_dir, table
+from veinway.llm.queries import MAX_COST, MAX_DOCS, tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks confirmed secrets; every document stays."""
-    return secret_scan.redact(docs, secret_scan.scan(docs))
+    return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of 2048."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Packs the documents' tokens into sequences of 2048 tokens, 128 documents and bounded attention cost."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), max_docs=MAX_DOCS, max_cost=MAX_COST, remember_mb=100)
 
 
 STAGES = [
@@ -58,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")  # nothing reads it any more
     return docs
