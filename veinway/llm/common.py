@@ -1,5 +1,6 @@
 """What the operators of this subpackage share: reading tables, cutting lineage, even chunks of rows."""
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -53,6 +54,8 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in _KEPT:
         _KEPT.clear()
         gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)  # what was freed goes back to the system
         gc.set_threshold(200_000, 50, 100)  # many long-lived objects, few cycles
         _KEPT[key] = make()
     return _KEPT[key]

@@ -97,9 +97,10 @@ def _named(docs: DataFrame, words: int, percent: int, bands: int, rows: int) ->
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("best"),
         )
     )
-    plausible = _plausible(known, classes, percent, bands * rows)
+    # stored between the steps, so that no task runs two Python workers at once
+    plausible = pinned(_plausible(known, classes, percent, bands * rows))
     family = pinned(components(plausible))
-    linked = components(_exact(docs, family, classes, words, percent))
+    linked = components(pinned(_exact(docs, family, classes, words, percent)))
     least = linked.join(classes, linked.v == classes.digest).groupBy("root").agg(F.min("least_id").alias("component_id"))
     grouped = pinned(linked.join(least, "root").select(F.col("v").alias("digest"), F.col("root").alias("component"), "component_id"))
     return known, pinned(classes.select("digest", "least_id", "best").join(grouped, "digest", "left").select(

@@ -33,7 +33,7 @@ def terms_of(word: str) -> list[str]:
 class TermReader:
     """Rows and counts of all terms of a text."""
 
-    def __init__(self, remember_mb: int = 80):
+    def __init__(self, remember_mb: int = 50):
         self.most, self.used = remember_mb * 1_000_000, 0  # an entry counts about 200 bytes besides its text
         self.known: dict[str, bytes] = {}
 
@@ -176,7 +176,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return beta
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 2500, k: int = 15, evidence: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, k: int = 15, evidence: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with evidence also the nearest examples.
 
     Labels come from at most `most_per_class` rows of each class outside the held-out fifth. The
@@ -192,7 +192,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 25
     )
 
 
-def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 2500, k: int = 15, evidence: bool = False) -> DataFrame:
+def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, k: int = 15, evidence: bool = False) -> DataFrame:
     """The first column of rows (a key, then text) with score and evidence; frequencies and examples are those of docs."""
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
