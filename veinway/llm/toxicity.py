@@ -30,28 +30,33 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
 
 
+class TermRows(dict):
+    """word -> the rows of its terms, worked out when a word is first asked for; up to about `remember_mb`."""
+
+    def __init__(self, remember_mb: int):
+        super().__init__()
+        self.most, self.used = remember_mb * 1_000_000, 0  # an entry counts about 200 bytes besides its text
+
+    def __missing__(self, word: str) -> bytes:
+        rows = b"".join([(zlib.crc32(t.encode("utf-8", "surrogatepass")) % ROWS).to_bytes(4, "little") for t in terms_of(word)])
+        if len(word) <= 64:  # longer ones are read whole, but not remembered
+            if self.used > self.most:
+                self.clear()
+                self.used = 0
+            self.used += 200 + len(word)
+            self[word] = rows
+        return rows
+
+
 class TermReader:
     """Rows and counts of all terms of a text."""
 
     def __init__(self, remember_mb: int = 50):
-        self.most, self.used = remember_mb * 1_000_000, 0  # an entry counts about 200 bytes besides its text
-        self.known: dict[str, bytes] = {}
+        self.known = TermRows(remember_mb)
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words, known = WORD.findall((text or "").lower()), self.known
-        if self.used > self.most:
-            known.clear()
-            self.used = 0
-        new = {w for w in words if w not in known}
-        for word in new:
-            known[word] = b"".join([(zlib.crc32(t.encode("utf-8", "surrogatepass")) % ROWS).to_bytes(4, "little") for t in terms_of(word)])
-            self.used += 200 + len(word)
-        found = np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4")
-        for word in new:
-            if len(word) > 64:  # read whole, but not remembered
-                del known[word]
-                self.used -= 200 + len(word)
-        return np.unique(found, return_counts=True)
+        rows = np.frombuffer(b"".join(map(self.known.__getitem__, WORD.findall((text or "").lower()))), "<i4")
+        return np.unique(rows, return_counts=True)
 
 
 class BlockMaxIndex:
@@ -176,7 +181,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return beta
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, k: int = 15, evidence: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 1500, k: int = 15, evidence: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with evidence also the nearest examples.
 
     Labels come from at most `most_per_class` rows of each class outside the held-out fifth. The
@@ -192,7 +197,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 20
     )
 
 
-def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, k: int = 15, evidence: bool = False) -> DataFrame:
+def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 1500, k: int = 15, evidence: bool = False) -> DataFrame:
     """The first column of rows (a key, then text) with score and evidence; frequencies and examples are those of docs."""
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
