@@ -124,7 +124,7 @@ class BlockMaxIndex:
             where = np.arange(total) + np.repeat(start - np.cumsum(many) + many, many)
             sums += np.bincount(self.of[where], self.weights[where] * np.repeat(weights, many), len(sums)).astype(np.float32)
 
-    def _add_common(self, sums: np.ndarray, asked: np.ndarray, k: int, together: int = 64) -> None:
+    def _add_common(self, sums: np.ndarray, asked: np.ndarray, k: int, together: int = 256) -> None:
         """Adds the weights of common terms in all blocks that may hold one of a text's k nearest."""
         if not sums.shape[1] or not len(self.dense):
             return
@@ -181,7 +181,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return beta
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 1500, k: int = 15, evidence: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 1000, k: int = 15, evidence: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted; with evidence also the nearest examples.
 
     Labels come from at most `most_per_class` rows of each class outside the held-out fifth. The
@@ -197,7 +197,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_per_class: int = 15
     )
 
 
-def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 1500, k: int = 15, evidence: bool = False) -> DataFrame:
+def scored_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, most_per_class: int = 1000, k: int = 15, evidence: bool = False) -> DataFrame:
     """The first column of rows (a key, then text) with score and evidence; frequencies and examples are those of docs."""
     ids, counts = training_ids(labels, "toxic", most_per_class)
     sample = pinned(with_texts(docs.select("doc_id", "text"), ids))
