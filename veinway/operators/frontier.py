@@ -19,7 +19,7 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     confidence among the edges that reach the node at that depth. Each level joins the frontier to
     the edges and takes off what was visited, so that no node is expanded twice for a seed.
     """
-    steps = edges.select("src", "dst", "etype", "confidence")
+    steps = pinned(edges.select("src", "dst", "etype", "confidence"))  # read at every level, so worked out once
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
     visited = frontier
     levels = []

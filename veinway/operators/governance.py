@@ -1,5 +1,9 @@
 """Personal data, retention, audit chains and drift states."""
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,10 +17,10 @@ PII_PATTERNS = {
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "api_key": r"\b(AKIA[0-9A-Z]{16}|[0-9a-f]{40})\b",
 }
-RETENTION_DAYS = {"permanent": None, "business": 2555, "operational": 365, "transient": 90, "pii": 30, "secret": 0}
+RETENTION_DAYS = {"permanent": None, "business_indefinite": 2555, "operational": 365, "transient": 90, "pii": 30, "secret": 0}
 TRANSITIONS = [
-    ("open", "acknowledged"), ("open", "in_progress"), ("open", "waived"), ("open", "resolved"), ("acknowledged", "in_progress"),
-    ("acknowledged", "waived"), ("acknowledged", "resolved"), ("in_progress", "resolved"), ("waived", "open"), ("resolved", "open"),
+    ("open", "acknowledged"), ("open", "in_flight"), ("open", "waived"), ("open", "resolved"), ("acknowledged", "in_flight"), ("acknowledged", "resolved"),
+    ("acknowledged", "waived"), ("in_flight", "resolved"), ("in_flight", "open"), ("resolved", "open"), ("waived", "open"),
 ]
 GENESIS = "0" * 64
 
@@ -51,7 +55,7 @@ def ttl_class(kinds: Column, source_class: Column) -> Column:
     """Secrets first, then personal data, then what the source is; all else is permanent."""
     return (
         F.when(F.array_contains(kinds, "api_key"), "secret").when(F.size(kinds) > 0, "pii")
-        .when(source_class.isin("transient", "operational", "business"), source_class).otherwise("permanent")
+        .when(source_class.isin("transient", "operational", "business_indefinite"), source_class).otherwise("permanent")
     )
 
 
@@ -67,20 +71,49 @@ def ttl_sweep(entities: DataFrame, as_of: Column) -> DataFrame:
 
 
 def audit_chain(entries: DataFrame, chain: list[str], seq: str, payload: Column) -> DataFrame:
-    """Adds self_hash of seq and payload, and prev_hash: the hash before it in its chain, or 64 zeros."""
-    hashed = entries.withColumn("self_hash", F.sha2(F.concat_ws("|", F.col(seq).cast("string"), payload), 256))
-    before = F.lag("self_hash").over(Window.partitionBy(*chain).orderBy(seq))
-    return hashed.withColumn("prev_hash", F.coalesce(before, F.lit(GENESIS)))
+    """Adds prev_hash and self_hash: an entry's hash covers its seq, its payload and the hash before it, 64 zeros at first.
+
+    A chain is hashed in order, so it lies in one partition; one entry at a time is held. Null payloads count as empty.
+    """
+    return _folded(entries, chain, seq, payload, stored=False)
 
 
 def verify_chain(stored: DataFrame, chain: list[str], seq: str, payload: Column) -> DataFrame:
-    """(chain, entries, first_bad): the first seq whose hash or link differs from what its content gives; null where all is well."""
-    right = F.sha2(F.concat_ws("|", F.col(seq).cast("string"), payload), 256)
-    before = F.coalesce(F.lag("self_hash").over(Window.partitionBy(*chain).orderBy(seq)), F.lit(GENESIS))
-    checked = stored.withColumn("bad", (F.col("self_hash") != right) | (F.col("prev_hash") != before))
+    """(chain, entries, first_bad): the first seq whose hash or link is not what all entries before it give; null where all is well.
+
+    A link is held against the stored hash before it, so a rewritten entry is bad even if its own hash was made anew:
+    the next one's link then differs.
+    """
+    checked = _folded(stored, chain, seq, payload, stored=True)
     return checked.groupBy(*chain).agg(F.count("*").alias("entries"), F.min(F.when(F.col("bad"), F.col(seq))).alias("first_bad"))
 
 
+def _folded(rows: DataFrame, chain: list[str], seq: str, payload: Column, stored: bool) -> DataFrame:
+    """Reads every chain in order and adds its hashes, or with `stored` whether those that are there are right."""
+    keys = [f"_k{i}" for i in range(len(chain))]
+    ordered = rows.withColumns({k: F.col(c) for k, c in zip(keys, chain, strict=True)}).withColumn("_text", F.concat_ws("|", F.col(seq).cast("string"), payload))
+    ordered = ordered.repartition(*chain).sortWithinPartitions(*chain, seq)
+    kept = [seq, *chain] if stored else rows.columns
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    added = "bad boolean" if stored else "prev_hash string, self_hash string"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, before = None, GENESIS
+        for batch in batches:
+            out = []
+            texts = zip(batch["_text"], *([batch["prev_hash"], batch["self_hash"]] if stored else []), strict=True)
+            for key, (text, *found) in zip(batch[keys].astype(str).itertuples(index=False, name=None), texts, strict=True):
+                if key != last:
+                    last, before = key, GENESIS
+                own = hashlib.sha256(f"{found[0] if stored else before}|{text}".encode()).hexdigest()
+                out.append(found != [before, own] if stored else (before, own))
+                before = found[1] if stored else own
+            frame = batch[kept].reset_index(drop=True)
+            yield frame.assign(bad=out) if stored else frame.assign(prev_hash=[x for x, _ in out], self_hash=[x for _, x in out])
+
+    return ordered.mapInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", {added}")
+
+
 def illegal_transitions(moves: DataFrame) -> DataFrame:
     """Moves (from_state, to_state) that the state machine does not know."""
     known = moves.sparkSession.createDataFrame(TRANSITIONS, "from_state string, to_state string")
@@ -96,7 +129,7 @@ def drift_domains(items: DataFrame) -> DataFrame:
     return each.groupBy("domain").agg(
         F.count("*").alias("items"), F.round(F.sum(drift_score(F.col("severity"), F.col("age_days"))), 2).alias("score"),
         F.count_if(F.col("severity") == "critical").alias("critical"), F.max("age_days").alias("oldest"),
-        F.round(F.sum(F.when(F.col("state") == "in_progress", F.col("remediation_days")).otherwise(0.0)), 2).alias("in_flight_days"),
+        F.round(F.sum(F.when(F.col("state") == "in_flight", F.col("remediation_days")).otherwise(0.0)), 2).alias("in_flight_days"),
     )
 
 

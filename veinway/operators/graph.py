@@ -37,7 +37,7 @@ def ranked(scores: DataFrame, score: str, n: int) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(id, score): shares of shortest paths through each node, from the pivots (id), normalised by their number.
+    """(id, score): shares of shortest paths through each node, from the pivots (id), scaled up to all nodes as sources.
 
     Every task runs from its pivots over the whole adjacency, which is broadcast; the number of
     edges is checked first, larger graphs must be reduced to the part of interest.
@@ -78,9 +78,11 @@ def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": [names[i] for i in at], "part": total[at]})
 
-    size = max(1, (len(names) - 1) * (len(names) - 2))
+    pivots = pivots.select("id").distinct()
+    asked = max(1, pivots.join(pairs.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi").count())
+    size = max(1, (len(names) - 1) * (len(names) - 2)) * asked / max(1, len(names))
     return (
-        pivots.select("id").distinct().mapInPandas(accumulate, "id string, part double")
+        pivots.mapInPandas(accumulate, "id string, part double")
         .groupBy("id").agg(F.round(F.sum("part") / size, 8).alias("score"))
     )
 
@@ -117,10 +119,11 @@ def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return at("src").unionAll(at("dst")).distinct()
 
 
-def closure(edges: DataFrame, entries: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id) of everything that the entries reach, to the fixpoint."""
+def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id) of everything that the entries reach, to the fixpoint, however far away it is."""
     visited = frontier = pinned(entries.select("id").distinct())
-    for _ in range(most_rounds):
+    edges = pinned(edges.select("src", "dst").distinct())
+    while True:
         frontier = pinned(
             frontier.join(edges, F.col("id") == F.col("src"), "inner").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
         )

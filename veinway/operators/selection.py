@@ -5,7 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Words, caps and tables that results depend on.
-ENTRY_WORDS = ["main", "handler", "controller", "endpoint", "route", "listener", "consumer", "scheduled", "cron", "webhook", "lambda", "command", "job", "worker", "resolver", "servlet", "subscribe", "dispatch"]
+ENTRY_PATTERNS = [
+    r"@app\.(get|post|put|delete|patch|route)\b", r"@router\.(get|post|put|delete|patch)\b", r"@blueprint\.\w+", r"@api\.route\b", r"@celery\.task\b", r"@shared_task\b", r"@app\.task\b",
+    r"@periodic_task\b", r"@schedule\b", r"@(RestController|Controller|RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping)\b",
+    r"@(EventListener|KafkaListener|RabbitListener|JmsListener|SqsListener|ScheduledFuture|Scheduled)\b", r"@(CommandLineRunner|ApplicationRunner)\b",
+    r"@(Get|Post|Put|Delete|Patch|Controller|EventPattern|MessagePattern|GrpcMethod)\b", r"router\.(get|post|put|delete|patch)\s*\(", r"func\s+\w*(Handler|Controller|Serve|Listen)\w*\s*\(",
+    r"http\.(HandleFunc|Handle)\s*\(", r"gin\.(GET|POST|PUT|DELETE|PATCH)\s*\(", r"@click\.command\b", r"@click\.group\b", r"if\s+__name__\s*==\s*[\"']__main__[\"']\s*:",
+    r"\bdef\s+(handle_|on_|process_|consume_)\w+", r"\bpublic\s+\w+\s+(handle|process|consume)\w*\s*\(",
+]
 TRIVIAL_NAMES = r"^(get|set|is|has)[A-Z]\w*$|^(equals|hashCode|toString|__init__|__repr__|__str__)$"
 FIELD_CAPS = {"implement": 2000, "review": 1500, "explain": 800}
 DETAIL = {"minimal": 2, "standard": 4, "verbose": None}
@@ -13,7 +20,8 @@ ROLES = {"controller": 1, "service": 2, "repository": 3}
 
 
 def is_entry_point(*texts: Column) -> Column:
-    return F.coalesce(F.lower(F.concat_ws(" ", *texts)).rlike("|".join(ENTRY_WORDS)), F.lit(False))
+    """Whether a text holds an annotation, a registration or a name that marks a way into a program."""
+    return F.coalesce(F.concat_ws(" ", *texts).rlike("|".join(f"(?:{p})" for p in ENTRY_PATTERNS)), F.lit(False))
 
 
 def any_segment(name: Column, segments: list[str]) -> Column:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 # Rules that results depend on.
 ASSUMPTION_RULES = [
-    ("todo", r"(?i)\b(TODO|FIXME|XXX)\b", "medium", 0.7), ("must", r"(?i)\bmust (not |never )?[a-z]+", "high", 0.6),
-    ("assume", r"(?i)\bassum(e|es|ed|ing)\b", "high", 0.8), ("always", r"(?i)\b(always|never)\b", "low", 0.5), ("licensed", r"(?i)\blicensed under\b", "low", 0.9),
+    ("explicit_jsdoc", r"(?i)@assumption\s+(.+)", "low", 0.95), ("explicit_python", r"(?i)#\s*ASSUMPTION:\s*(.+)", "low", 0.95), ("explicit_js", r"(?i)//\s*ASSUME:\s*(.+)", "low", 0.95),
+    ("non_null_ts", r"(\w+)!\.(\w+)", "medium", 0.70), ("guard_throw", r"if\s*\(\s*!(.+?)\s*\)\s*(?:throw|raise)", "high", 0.85), ("assert", r"\bassert\s*\((.+?)\)", "high", 0.90),
+    ("invariant", r"\binvariant\s*\((.+?)\)", "critical", 0.95), ("zod_parse", r"\.parse\s*\((.+?)\)", "medium", 0.80),
 ]
 METHODS = "GET|POST|PUT|PATCH|DELETE"
 
@@ -66,6 +67,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def shape_overlap(a: Column, b: Column) -> Column:
+    """Shared elements over the length of the longer array; 0 for two empty ones."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.greatest(F.size(a), F.size(b))), F.lit(0.0))
+
+
+def decided(left_id: str, right_id: str, links: DataFrame) -> DataFrame:
+    """(left, right, rung, confidence, decision) of candidate links (left, right, rung, cosine): the surest rung of each pair.
+
+    Rungs: explicit .95, name .82, embedding the cosine but .72 at most where it is .80 at least, human 1.
+    From .80 on a pair is joined by itself, from .60 on it is suggested, others are kept apart.
+    """
+    sure = (
+        F.when(F.col("rung") == "human", 1.0).when(F.col("rung") == "explicit", 0.95).when(F.col("rung") == "name", 0.82)
+        .when((F.col("rung") == "embedding") & (F.col("cosine") >= 0.80), F.least(F.col("cosine"), F.lit(0.72)))
+    )
+    best = links.withColumn("confidence", sure).filter("confidence IS NOT NULL").groupBy(left_id, right_id).agg(F.max(F.struct("confidence", "rung")).alias("best"))
+    decision = F.when(F.col("confidence") >= 0.80, "auto").when(F.col("confidence") >= 0.60, "suggest").otherwise("apart")
+    return best.select(left_id, right_id, "best.rung", "best.confidence").withColumn("decision", decision)
+
+
 def resolution_id(a: Column, b: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.array_sort(F.array(a, b)))), 1, 12)
 

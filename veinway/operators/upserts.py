@@ -29,8 +29,12 @@ def swapped(edges: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Full-outer merge: new values win, missing ones are filled from the old row; `state` says what happened."""
-    new = new.dropDuplicates(keys)
+    """Full-outer merge: new values win, missing ones are filled from the old row; `state` says what happened.
+
+    Of new rows that repeat a key the one with the largest values, in their order, counts: the same one in every run.
+    """
+    best = F.max(F.struct(*dict.fromkeys(values))).alias("_new")
+    new = new.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_new.`{v}`").alias(v) for v in values])
     a, b = old.alias("a"), new.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     marked_a, marked_b = a.withColumn("_a", F.lit(True)).alias("a"), b.withColumn("_b", F.lit(True)).alias("b")

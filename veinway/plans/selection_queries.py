@@ -110,19 +110,45 @@ def symbol_changes(spark, sf_dir):
     return upserts.changed_hashes(was, now, "p_partkey", "h")
 
 
-@query("""WITH s AS (SELECT l_orderkey, count(DISTINCT l_linestatus) AS a, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1)
-SELECT l_orderkey, round(len(list_intersect(flags, ['A', 'N'])) / len(list_distinct(list_concat(flags, ['A', 'N']))), 4) AS alike FROM s""")
+@query("""WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1), o AS (SELECT l_orderkey, round(len(list_intersect(flags, ['A', 'N'])) / greatest(len(flags), 2), 4) AS alike FROM s)
+SELECT l_orderkey, alike FROM o WHERE alike >= 0.5""")
 def shape_match(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
-    return s.select("l_orderkey", F.round(text.jaccard(F.col("flags"), F.array(F.lit("A"), F.lit("N"))), 4).alias("alike"))
+    return s.select("l_orderkey", F.round(text.shape_overlap(F.col("flags"), F.array(F.lit("A"), F.lit("N"))), 4).alias("alike")).filter("alike >= 0.5")
 
 
-RULES = [("(?i)^(what|which|who)", "lookup"), ("(?i)(why|because)", "explain"), (r"\?$", "question")]
+# The kinds of tasks in the order in which they are tried.
+TASKS = [
+    (r"(?i)\b(explain the whole|overview|how does the (system|codebase)|onboard|tour)\b", "onboard"),
+    (r"(?i)\b(review|check|is .* safe|what uses|who calls|impact|blast radius)\b", "audit"),
+    (r"(?i)\b(error|bug|failing|why is|broken|crash|exception|stack trace)\b", "debug"),
+    (r"(?i)\b(change|modify|add|refactor|implement|fix|update|extend)\b", "write"),
+    (r"(?i)\b(what does|explain|how does|describe|summari[sz]e|what is)\b", "read"),
+]
+#: Tasks made from part names, one form for each key modulo 7.
+ASKED = ["explain the whole {}", "Who calls {}?", "{} is failing", "refactor {}", "what is {}", "is {} safe to change", "{}"]
+ASKED_SQL = "asked AS (SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN replace('{f}', '{{}}', p_name)" for i, f in enumerate(ASKED)) + " END AS task FROM part)"
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^(what|which|who)') THEN 'lookup' WHEN regexp_matches(text, '(?i)(why|because)') THEN 'explain' WHEN regexp_matches(text, '\?$') THEN 'question' ELSE 'other' END AS task FROM conversations""")
+@query(f"WITH {ASKED_SQL} SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(task, '{p}') THEN '{k}'" for p, k in TASKS) + " ELSE 'read' END AS kind FROM asked")
 def task_classifier(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.classify(F.col("text"), RULES, "other").alias("task"))
+    task = F.lit(None).cast("string")
+    for i, form in enumerate(ASKED):
+        task = F.when(F.col("p_partkey") % 7 == i, F.replace(F.lit(form), F.lit("{}"), F.col("p_name"))).otherwise(task)
+    return table(spark, sf_dir, "part").select("p_partkey", retrieval.classify(task, TASKS, "read").alias("kind"))
+
+
+#: Lines of programs made from part names, one form for each key modulo 8.
+PROGRAMS = ["@app.get('/{}')", "@KafkaListener {}", "func ServeHTTP (w) {}", "def handle_it(x): {}", "public void processOrder ({})", "job = {}", "# handler {}", "router.post ('{}')"]
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 8 NOT IN (5, 6)")
+def entry_points(spark, sf_dir):
+    """Names that only look like ways in ("job", "# handler") are none."""
+    line = F.lit(None).cast("string")
+    for i, form in enumerate(PROGRAMS):
+        line = F.when(F.col("p_partkey") % 8 == i, F.replace(F.lit(form), F.lit("{}"), F.col("p_name"))).otherwise(line)
+    return table(spark, sf_dir, "part").filter(selection.is_entry_point(line)).select("p_partkey")
 
 
 @query("""WITH w AS (SELECT source, p.weight, CAST(greatest(floor(weight / sum(weight) OVER () * 6000), 20) AS BIGINT) AS share, CAST(sum(greatest(floor(weight / total * 6000), 20)) OVER () AS BIGINT) AS every FROM (SELECT source, sum(n_chars) AS weight, sum(sum(n_chars)) OVER () AS total FROM documents GROUP BY 1) p)

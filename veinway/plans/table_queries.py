@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veinway.functions import scores
-from veinway.operators import events, governance, ownership, retrieval, text, upserts
+from veinway.operators import events, governance, ownership, retrieval, selection, text, upserts
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
 
 SEVERITIES = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium"}
 ITEMS_SQL = """items AS (
     SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity,
-        CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_progress' ELSE 'resolved' END AS state,
+        CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_flight' ELSE 'resolved' END AS state,
         CAST(date_diff('day', o_orderdate, (SELECT max(o_orderdate) FROM orders)) AS DOUBLE) AS age_days, c_mktsegment AS domain, o_totalprice / 100000 AS remediation_days, o_orderdate
     FROM orders LEFT JOIN customer ON c_custkey = o_custkey)"""
 
@@ -22,7 +22,7 @@ def items(spark, sf_dir):
     severity = F.lit("low")
     for k, v in SEVERITIES.items():
         severity = F.when(F.col("o_orderpriority") == k, v).otherwise(severity)
-    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("resolved")
+    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "in_flight").otherwise("resolved")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         "o_orderkey", severity.alias("severity"), state.alias("state"), F.datediff(last, "o_orderdate").cast("double").alias("age_days"),
         F.array_compact(F.array("c_mktsegment")).alias("domains"), (F.col("o_totalprice") / 100000).alias("remediation_days"), "o_orderdate",
@@ -31,7 +31,7 @@ def items(spark, sf_dir):
 
 @query(f"""WITH {ITEMS_SQL} SELECT coalesce(domain, 'unattributed') AS domain, count(*) AS items,
     round(sum(CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END * (1 + greatest(0, (age_days - 90) / 90.0))), 2) AS score,
-    count(*) FILTER (severity = 'critical') AS critical, max(age_days) AS oldest, round(sum(CASE WHEN state = 'in_progress' THEN remediation_days ELSE 0 END), 2) AS in_flight_days
+    count(*) FILTER (severity = 'critical') AS critical, max(age_days) AS oldest, round(sum(CASE WHEN state = 'in_flight' THEN remediation_days ELSE 0 END), 2) AS in_flight_days
     FROM items GROUP BY 1""")
 def drift_domain_scores(spark, sf_dir):
     return governance.drift_domains(items(spark, sf_dir))
@@ -51,9 +51,9 @@ def drift_changes(spark, sf_dir):
 LINES_SQL = "counted AS (SELECT l_partkey, l_suppkey, count(*) AS lines FROM lineitem GROUP BY ALL), shares AS (SELECT *, round(lines / sum(lines) OVER (PARTITION BY l_partkey), 4) AS share, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY lines DESC, l_suppkey) AS INTEGER) AS place FROM counted)"
 
 
-@query(f"WITH {LINES_SQL} SELECT l_partkey, count(*) AS authors, count(*) FILTER (share >= 0.05) AS bus_factor, max(CASE WHEN place = 1 THEN l_suppkey END) AS primary_author FROM shares GROUP BY l_partkey")
+@query(f"WITH {LINES_SQL} SELECT l_partkey, count(*) AS authors, count(*) FILTER (share >= 0.1) AS bus_factor, max(CASE WHEN place = 1 THEN l_suppkey END) AS primary_author FROM shares GROUP BY l_partkey")
 def ownership_bus_factor(spark, sf_dir):
-    return ownership.bus_factor(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", 0.05)
+    return ownership.bus_factor(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
 @query(f"WITH {LINES_SQL}, top AS (SELECT * FROM shares WHERE place <= 3) SELECT *, greatest(1, count(*) FILTER (share >= 0.2) OVER (PARTITION BY l_partkey)) AS bus_factor FROM top")
@@ -115,20 +115,22 @@ def salience(spark, sf_dir):
     return e.select("event_id", scores.salience(F.lit(0.5), age, F.least(F.col("value") / 100, F.lit(1.0)), no, no).alias("salience"))
 
 
-CHAIN_SQL = "h AS (SELECT user_id, event_id, sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)) AS self_hash FROM events)"
+CHAIN_SQL = """e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, concat_ws('|', CAST(event_id AS VARCHAR), event_type, props) AS body FROM events),
+chain AS (SELECT user_id, event_id, n, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || '|' || body) AS self_hash FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.n, c.self_hash, sha256(c.self_hash || '|' || e.body) FROM chain c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)"""
 
 
-@query(f"WITH {CHAIN_SQL} SELECT user_id, event_id, self_hash, coalesce(lag(self_hash) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) AS prev_hash FROM h")
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT user_id, event_id, self_hash, prev_hash FROM chain")
 def audit_chain(spark, sf_dir):
-    payload = F.concat_ws("|", "event_type", "props")
-    return governance.audit_chain(table(spark, sf_dir, "events"), ["user_id"], "event_id", payload).select("user_id", "event_id", "self_hash", "prev_hash")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")
+    return governance.audit_chain(e, ["user_id"], "event_id", F.concat_ws("|", "event_type", "props")).select("user_id", "event_id", "self_hash", "prev_hash")
 
 
 @query("SELECT user_id, count(*) AS entries, min(CASE WHEN event_type = 'purchase' THEN event_id END) AS first_bad FROM events GROUP BY user_id")
 def audit_chain_verify(spark, sf_dir):
     """Purchases were tampered with after their hashes were made: the first one of each chain is found."""
     payload = F.concat_ws("|", "event_type", "props")
-    chain = governance.audit_chain(table(spark, sf_dir, "events"), ["user_id"], "event_id", payload)
+    chain = governance.audit_chain(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props"), ["user_id"], "event_id", payload)
     changed = chain.withColumn("props", F.when(F.col("event_type") == "purchase", F.concat("props", F.lit(" "))).otherwise(F.col("props")))
     return governance.verify_chain(changed, ["user_id"], "event_id", payload)
 
@@ -244,12 +246,12 @@ def pii_findings(spark, sf_dir):
 
 
 @query(f"""WITH {PII_SQL}, k AS (SELECT doc_id, bool_or(kind = 'api_key') AS secret FROM found GROUP BY 1), c AS (
-    SELECT d.doc_id, CASE WHEN secret THEN 'secret' WHEN k.doc_id IS NOT NULL THEN 'pii' WHEN lang = 'de' THEN 'transient' WHEN lang = 'fr' THEN 'operational' WHEN lang = 'es' THEN 'business' ELSE 'permanent' END AS ttl_class FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id)
+    SELECT d.doc_id, CASE WHEN secret THEN 'secret' WHEN k.doc_id IS NOT NULL THEN 'pii' WHEN lang = 'de' THEN 'transient' WHEN lang = 'fr' THEN 'operational' WHEN lang = 'es' THEN 'business_indefinite' ELSE 'permanent' END AS ttl_class FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id)
 SELECT ttl_class, CASE WHEN ttl_class = 'permanent' THEN 'skip' WHEN ttl_class IN ('secret', 'pii') THEN 'redact' WHEN ttl_class = 'transient' THEN 'delete' WHEN ttl_class = 'operational' THEN 'tombstone' ELSE 'skip' END AS action, count(*) AS entities FROM c GROUP BY ALL""")
 def ttl_sweep(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kinds = governance.pii_findings(docs, "doc_id", "text").filter("kind <> 'card'").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
-    source = F.when(F.col("lang") == "de", "transient").when(F.col("lang") == "fr", "operational").when(F.col("lang") == "es", "business")
+    source = F.when(F.col("lang") == "de", "transient").when(F.col("lang") == "fr", "operational").when(F.col("lang") == "es", "business_indefinite")
     e = docs.join(kinds, "doc_id", "left").select("doc_id", governance.ttl_class(F.coalesce("kinds", F.array().cast("array<string>")), source).alias("ttl_class"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
     return governance.ttl_sweep(e, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).groupBy("ttl_class", "action").agg(F.count("*").alias("entities"))
 
@@ -286,9 +288,9 @@ def symbol_search(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(F.lower("p_name").contains("e")).orderBy("p_name", "p_partkey").limit(50).select("p_partkey", "p_name")
 
 
-@query("SELECT p_brand, count(*) AS parts FROM part WHERE regexp_matches(p_brand, '(?i)^brand.*[13]$') GROUP BY 1")
+@query("SELECT p_brand, count(*) AS parts FROM part WHERE lower(p_brand) GLOB 'brand*?1' GROUP BY 1")
 def glob_columns(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.col("p_brand").rlike("(?i)^brand.*[13]$")).groupBy("p_brand").agg(F.count("*").alias("parts"))
+    return table(spark, sf_dir, "part").filter(F.col("p_brand").rlike(selection.glob("Brand*?1"))).groupBy("p_brand").agg(F.count("*").alias("parts"))
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 20 OFFSET 40")
@@ -342,12 +344,22 @@ def contract_field_diff(spark, sf_dir):
     return upserts.field_diff(expected, actual, ["k"])
 
 
-@query("""WITH r AS (SELECT doc_id, 'todo' AS rule, len(regexp_extract_all(text, '(?i)\\b(TODO|FIXME|XXX)\\b')) AS hits FROM documents
-UNION ALL SELECT doc_id, 'must', len(regexp_extract_all(text, '(?i)\\bmust (not |never )?[a-z]+')) FROM documents UNION ALL SELECT doc_id, 'assume', len(regexp_extract_all(text, '(?i)\\bassum(e|es|ed|ing)\\b')) FROM documents
-UNION ALL SELECT doc_id, 'always', len(regexp_extract_all(text, '(?i)\\b(always|never)\\b')) FROM documents UNION ALL SELECT doc_id, 'licensed', len(regexp_extract_all(text, '(?i)\\blicensed under\\b')) FROM documents)
-SELECT doc_id, rule, CAST(hits AS INTEGER) AS hits FROM r WHERE hits > 0""")
+#: Lines of code made from part names, one form for each key modulo 9.
+CODE_FORMS = ["@assumption {}", "# ASSUMPTION: {}", "// ASSUME: {}", "x!.y; {}", "if (!{}) throw", "assert ({})", "invariant ({})", "schema.parse ({})", "{}"]
+CODE_SQL = "code AS (SELECT p_partkey, CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN replace('{f}', '{{}}', p_name)" for i, f in enumerate(CODE_FORMS)) + " END AS line FROM part)"
+
+
+def code_lines(spark, sf_dir):
+    line = F.lit(None).cast("string")
+    for i, form in enumerate(CODE_FORMS):
+        line = F.when(F.col("p_partkey") % 9 == i, F.replace(F.lit(form), F.lit("{}"), F.col("p_name"))).otherwise(line)
+    return table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+
+
+@query("WITH " + CODE_SQL + ", r AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{n}' AS rule, '{sev}' AS severity, CAST({c} AS DOUBLE) AS confidence, len(regexp_extract_all(line, '{p}')) AS hits FROM code" for n, p, sev, c in text.ASSUMPTION_RULES)
+    + ") SELECT p_partkey, rule, severity, confidence, CAST(hits AS INTEGER) AS hits FROM r WHERE hits > 0")
 def assumption_mining(spark, sf_dir):
-    return text.assumptions(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "rule", "hits")
+    return text.assumptions(code_lines(spark, sf_dir), "p_partkey", "line")
 
 
 @query("SELECT o_custkey, CASE WHEN a.n IS NULL THEN 'created' WHEN b.n IS NULL THEN 'kept' ELSE 'updated' END AS state, coalesce(b.n, a.n) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b USING (o_custkey)")
