@@ -107,3 +107,42 @@ def test_persona_and_kind_order(spark):
     assert [r.p for r in d.select(versions.persona(F.col("t")).alias("p")).collect()] == ["vp", "pm", "dev"]
     row = spark.createDataFrame([("method",)], "k string").select(versions.kind_order(F.col("k")).alias("a"), versions.kind_order(F.lit("x")).alias("b")).first()
     assert (row.a, row.b) == (4, 7)
+
+
+def test_dense_top_k_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+    q = v.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: np.lexsort((np.arange(60), -np.round(unit @ unit[i], 6)))[:4].tolist() for i in range(0, 60, 3)}
+    for most in (64_000_000, 500):
+        got = {}
+        for r in retrieval.dense_top_k(v, q, 4, most_bytes=most).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+
+
+def test_chain_finds_a_rewritten_entry(spark):
+    """A middle entry with a new hash of its own still breaks the link of the next one."""
+    rows = [("a", i, f"p{i}") for i in range(1, 6)] + [(None, 1, "x"), ("b", 1, None)]
+    e = spark.createDataFrame(rows, "chain string, seq int, payload string").repartition(3)
+    made = governance.audit_chain(e, ["chain"], "seq", F.col("payload"))
+    assert {(r.chain, r.entries, r.first_bad) for r in governance.verify_chain(made, ["chain"], "seq", F.col("payload")).collect()} == {("a", 5, None), (None, 1, None), ("b", 1, None)}
+    import hashlib
+
+    kept = {(r.chain, r.seq): r for r in made.collect()}
+    before = "0" * 64
+    for i in range(1, 6):
+        assert kept["a", i].prev_hash == before and kept["a", i].self_hash == hashlib.sha256(f"{before}|{i}|p{i}".encode()).hexdigest()
+        before = kept["a", i].self_hash
+    forged = made.filter("chain = 'a'").withColumn("payload", F.when(F.col("seq") == 3, "forged").otherwise(F.col("payload")))
+    forged = forged.withColumn("self_hash", F.when(F.col("seq") == 3, F.sha2(F.concat_ws("|", "prev_hash", F.lit("3"), "payload"), 256)).otherwise(F.col("self_hash")))
+    assert governance.verify_chain(forged, ["chain"], "seq", F.col("payload")).first().first_bad == 4
+
+
+def test_closure_goes_to_the_end(spark):
+    e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], "src string, dst string")
+    assert graph.closure(e, spark.createDataFrame([("n000",)], "id string")).count() == 61

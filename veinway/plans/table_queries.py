@@ -178,8 +178,7 @@ scored AS (SELECT query_id, source, id, round(sum(ln(1 + (n - df + 0.5) / (df +
 
 def bm25_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", retrieval.code_tokens(F.col("text")).alias("tokens"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.code_tokens(F.col("text")).alias("tokens"))
-    queries = asked.crossJoin(F.broadcast(docs.select("source").distinct()))  # every query is asked in each corpus
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.code_tokens(F.col("text")).alias("tokens"))
     return retrieval.bm25(docs, queries, ["source"]).withColumn("score", F.round("score", 6))
 
 
@@ -216,16 +215,16 @@ def mmr_rerank(spark, sf_dir):
 
 
 @query(f"""WITH {BM25_SQL}, a AS (SELECT query_id, id, max(score) AS score FROM scored GROUP BY 1, 2), l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM a QUALIFY r <= 20),
-d AS (SELECT item_id AS query_id, doc_id AS id, row_number() OVER (PARTITION BY item_id ORDER BY abs(length(benchmark.text) - n_chars), doc_id) AS r FROM benchmark CROSS JOIN documents QUALIFY r <= 20)
+v AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
+d AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM v QUALIFY r <= 20)
 SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.id, d.id) AS id, round(coalesce(1.0 / (60 + l.r), 0) + coalesce(1.0 / (60 + d.r), 0), 8) AS score FROM l FULL JOIN d ON l.query_id = d.query_id AND l.id = d.id""")
 def hybrid_rrf(spark, sf_dir):
-    """Lexical ranks fused with ranks by closeness of length; the benchmark items are the stated, small query set."""
+    """Lexical ranks of the benchmark items fused with dense ranks; a document's vector, and an item's, is that of its number."""
     best = bm25_scores(spark, sf_dir).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     lexical = retrieval.top_k(best, ["query_id"], "score", 20)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("size"))
-    near = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars").crossJoin(F.broadcast(asked))
-    other = retrieval.top_k(near.withColumn("score", -F.abs(F.col("size") - F.col("n_chars"))), ["query_id"], "score", 20)
-    return retrieval.fuse(lexical, other, ["query_id"]).select("query_id", "id", "score")
+    v = vectors(spark, sf_dir).select("id", "embedding")
+    asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "query_id")
+    return retrieval.fuse(lexical, retrieval.dense_top_k(v, asked, 20), ["query_id"]).select("query_id", "id", "score")
 
 
 @query("""WITH t AS (SELECT source, doc_id, CAST(ceil(n_chars / 4) AS BIGINT) AS tokens FROM documents)
