@@ -43,7 +43,7 @@ class Transducer:
     """Tokens are a trie whose nodes know their longest proper suffix in it, so that the positions
     where a token may still begin are a node and its suffixes, and the tokens that end at a byte too."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 350_000):
         self.ranks, self.most_states = ranks, most_states
         self.token = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for i, b in self.token.items()}
@@ -219,7 +219,7 @@ class Transducer:
 class ByteBpe:
     """Whole texts to ids and back. Pieces that were met are remembered, up to about `remember_mb`."""
 
-    def __init__(self, path: str, pattern: str, remember_mb: int = 340, longest: int = 48):
+    def __init__(self, path: str, pattern: str, remember_mb: int = 200, longest: int = 48):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
