@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veinway.llm import bpe, components, exact_dedup, fingerprints, near_dedup, packing, quality, range_coder, secret_scan, sharding, token_files, tokens, toxicity
+from veinway.llm import bpe, components, exact_dedup, fingerprints, infill, languages, near_dedup, packing, periodic, quality, range_coder, secret_scan, sharding, token_files, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -494,3 +494,180 @@ def test_quality_reads_words_to_their_end():
     rows = np.frombuffer(reader.rows_of(long), "<u2")
     assert len(rows) == 999 + 2 and rows[998] == zlib.crc32(b"w499") % quality.ROWS
     assert reader.read(f"a {long} b {long}")[0].tolist().count(rows[998]) >= 2 and set(reader.known) == {"a", "b"}
+
+
+def test_rotation_in_blocks(monkeypatch):
+    monkeypatch.setattr(infill, "BLOCK", 5)
+    rng = random.Random(11)
+    for n in range(40):
+        middle = rng.randrange(n + 1)
+        start, data = rng.randrange(middle + 1), bytes(rng.randrange(256) for _ in range(n))
+        view = np.frombuffer(bytearray(data), np.uint8)
+        infill.rotate(view, start, middle, n)
+        assert view.tobytes() == data[:start] + data[middle:] + data[start:middle]
+    for text in (x.encode() for x in ("", "a", "ab1", "\u00e9a\u6f22b \U0001f642cc", "Abc  def\n\nGHI" * 20)):
+        units = infill.Units(text)
+        want = re.findall("[A-Za-z]+|[^A-Za-z]", text.decode())
+        assert len(units) == len(want)
+        assert [units.start(i) for i in range(len(want) + 1)] == [len("".join(want[:i]).encode()) for i in range(len(want) + 1)]
+
+
+def turned_by_hand(doc_id, text):
+    """What the contract of op11 says, by slicing."""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def test_fill_in_middle(spark, odd, empty):
+    marks = ["a<P>b", "x <M", "<", "<S", "<<P >", "P><S><M>", "tail <"]
+    docs = frame(spark, [*marks, *(f"{t or ''} é{i}" for i, t in enumerate(ODD * 8))], list(range(10**17, 10**17 + len(marks) + 8 * len(ODD))))
+    docs = docs.unionByName(odd.select(*docs.columns))
+    made = infill.fill_in_middle(docs)
+    got = made.select("*", infill.original("output", "form").alias("back")).collect()
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=str)
+    assert sorted(((r.doc_id, r.back) for r in got), key=str) == texts
+    want = sorted(((i, *turned_by_hand(i, t)) for i, t in texts), key=str)
+    assert sorted(((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in got), key=str) == want
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+    assert infill.fill_in_middle(empty).count() == 0
+    assert spark.createDataFrame([(None, "psm"), ("x", None)], "o string, f string").select(infill.original("o", "f").alias("t")).filter("t IS NOT NULL").count() == 0
+
+
+def every_run(words):
+    """All runs by looking at each period and place."""
+    found = {}
+    for p in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + p < len(words):
+            j = i
+            while j + p < len(words) and words[j] == words[j + p]:
+                j += 1
+            if j - i + p >= max(12, 2 * p):
+                found.setdefault((i, j + p), p)
+            i = max(j, i + 1)
+    return sorted(((s, e - s, p) for (s, e), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def repeated_words(rng, depth=0):
+    """Words made of repeats of repeats, cut and disturbed."""
+    some = lambda n, m: [f"w{rng.randrange(m)}" for _ in range(n)]
+    kind = rng.randrange(6)
+    if kind == 0 or depth > 4:
+        return some(rng.randrange(1, 30), rng.choice([1, 2, 3, 50]))
+    inner = repeated_words(rng, depth + 1)
+    if kind == 1:
+        return (inner * 9)[: 2 * len(inner) + rng.randrange(2 * len(inner) + 1)]
+    if kind == 2:
+        return inner + repeated_words(rng, depth + 1)
+    if kind == 3:
+        x = inner * 3
+        x[rng.randrange(len(x))] = "other"
+        return x
+    if kind == 4:
+        x = some(rng.randrange(1, 6), 2) * rng.randrange(3, 25)
+        return x[: len(x) - rng.randrange(3)] * 2
+    return some(rng.randrange(4), 2) + inner + some(rng.randrange(4), 2)
+
+
+def test_runs_are_all_runs():
+    rng = random.Random(13)
+    texts = [repeated_words(rng)[:500] for _ in range(400)]
+    texts += [["aab"[i % 3] for i in range(n)] * 2 for n in range(20, 60)]  # squares of regular words
+    a, b = ["a"], ["b"]
+    while len(a) < 400:
+        a, b = a + b, a
+    texts += [a, [f"{i.bit_count() % 2}" for i in range(500)], ["x"] * 700, [], ["one"], ["x"] * 11, ["x"] * 12]
+    got = periodic.batch_runs([" ".join(t).encode() for t in texts])
+    for t, (w, runs) in zip(texts, got, strict=True):
+        assert [x.decode() for x in w] == t and runs == every_run(t)
+        dropped = {i for s, n, p in runs for i in range(s + p, s + n)}
+        assert periodic.collapsed(w, runs).decode().split() == [x for i, x in enumerate(t) if i not in dropped]
+
+
+def test_periodic_runs(spark, odd, empty):
+    """Rows as the contract of op13 says, for odd texts, large ids and null ids."""
+    rng = random.Random(14)
+    ids = [10**17 + i for i in range(120)]
+    texts = [rng.choice([words(rng, rng.randrange(1, 90), 4), "a\u00a0b\x1cc  d\x0b\x0ce " * 9, ODD[i % len(ODD)]]) for i in range(120)]
+    docs = frame(spark, texts, ids).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    want = []
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        h, n = zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()), len(w)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = every_run(w)
+        dropped = {i for s, m, p in runs for i in range(s + p, s + m)}
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None,) * 3
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        lines, left = "".join(f"{s},{m},{p}\n" for s, m, p in runs), " ".join(x for i, x in enumerate(w) if i not in dropped)
+        want.append((r.doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha(lines), sha(left)))
+    got = periodic.digests(periodic.periodic_runs(periodic.with_repeats(docs), together=100)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert any(r.n_runs for r in got) and periodic.digests(periodic.periodic_runs(periodic.with_repeats(empty))).count() == 0
+
+
+def test_long_text_runs_take_bounded_steps():
+    """A text of 200,000 words that repeats as a whole, with regular stretches inside."""
+    rng = random.Random(15)
+    half = [f"w{rng.randrange(5)}" for _ in range(60_000)] + ["a", "b"] * 20_000
+    (_, runs), = periodic.batch_runs([" ".join(half * 2).encode()])
+    assert (0, 200_000, 100_000) in runs and (60_000, 40_000, 2) in runs
+
+
+def language_rows(rng, n):
+    """(doc_id, text, lang) in three made languages, each with its own syllables."""
+    sounds = {"aa": ["ka", "mo", "ti", "ran"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["\u00e9ou", "ai\u00e7", "que", "eau"]}
+    rows = []
+    for i in range(n):
+        lang = rng.choice(sorted(sounds))
+        rows.append((i, " ".join("".join(rng.choices(sounds[lang], k=rng.randrange(1, 4))) for _ in range(rng.randrange(20, 60))), lang))
+    return rows
+
+
+def test_language_id(spark, odd, empty):
+    rows = language_rows(random.Random(12), 400)
+    docs = spark.createDataFrame([*rows, (10**17 + 1, "12 34 !", "aa"), (None, "mo ka ran ti moka", None), (402, None, "bb"), (403, "", "cc")], "doc_id long, text string, lang string")
+    learned = languages.dictionaries(docs.filter(languages.learned_rows("doc_id")))
+    assert sorted(learned) == ["aa", "bb", "cc"] and all(0 < len(d) <= 65_536 for d in learned.values())
+    got = {r.doc_id: r for r in languages.languages(docs, learned).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 80 and all(got[i].lang_pred == lang and not got[i].rejected for i, lang in held)
+    assert all(0 <= r.score <= 1 and 0 <= r.margin <= 1 for r in got.values())
+    assert [got[i].lang_pred for i in (10**17 + 1, None, 402, 403)] == ["und", "aa", "und", "und"]
+    by_hand = languages.Compressors(learned, 9, 8192)
+    sizes = by_hand.sizes(rows[0][1])
+    assert got[0].lang_pred == min(sizes, key=sizes.get) and languages.judged({"y": 9, "x": 9}, 0.01) == ("x", 0.5, 0.0, True)
+    assert languages.dictionaries(empty) == {} and languages.languages(empty, learned).count() == 0
+    assert {r.lang_pred for r in languages.languages(docs, {}).collect()} == {"und"}
+    assert languages.languages(odd, learned).count() == odd.count()
+
+
+def test_dictionaries_are_bounded_and_blind_to_copies(spark):
+    rows = language_rows(random.Random(16), 300)
+    docs = spark.createDataFrame([(t, lang) for _, t, lang in rows], "text string, lang string")
+    copies = docs.unionAll(spark.createDataFrame([("ka mo " * 50, "aa")] * 1000, docs.schema))
+    once = docs.unionAll(spark.createDataFrame([("ka mo " * 50, "aa")], docs.schema))
+    assert languages.dictionaries(copies.repartition(7)) == languages.dictionaries(once)
+    small = languages.dictionaries(docs, size=3000, documents=16)
+    assert all(1000 < len(d) <= 3000 for d in small.values()) and len(languages.dictionaries(docs, most_languages=2)) == 2
+
+
+def test_languages_reads_long_texts_to_their_end(spark):
+    learned = {"aa": b"ka mo ti ran kamo tiran " * 40, "bb": b"sch ung ein ver schung einver " * 40}
+    rng = random.Random(17)
+    tail = " ".join("".join(rng.choices(["sch", "ung", "ein", "ver"], k=3)) for _ in range(8000))
+    docs = spark.createDataFrame([(1, "ka mo ti ran " * 30 + tail)], "doc_id long, text string")
+    assert languages.languages(docs, learned).first().lang_pred == "bb"

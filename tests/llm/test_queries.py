@@ -19,10 +19,15 @@ def test_same_as_sql(spark, name):
 
 def test_whole_table(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_sharding", "op6_fingerprints", "op9_byte_bpe", "op10_near_dedup"):
+    for name in ("op1_sharding", "op6_fingerprints", "op9_byte_bpe", "op10_near_dedup", "op11_fill_in_middle", "op12_language_id", "op13_periodic_runs"):
         assert queries.QUERIES[name](spark, SF).count() == n
 
 
+def test_held_out_languages(spark):
+    got = queries.op12_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(got) > 50 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
 def test_pipeline_on_planted_rows(spark, tmp_path):
     rng = random.Random(1)
     text = lambda n=60: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
