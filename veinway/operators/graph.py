@@ -1,9 +1,5 @@
 """Graph measures and traversals over (etype, src, dst, confidence, last_seen)."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,10 +8,6 @@ from veinway.lineage import pinned
 from veinway.operators.frontier import walk
 from veinway.operators.upserts import swapped
 
-#: Above this many directed edges an adjacency is not sent to every task.
-MOST_BROADCAST_EDGES = 2_000_000
-
-
 def with_owner(found: DataFrame, owners: DataFrame) -> DataFrame:
     """Adds the owner of each node, where an owning edge names one: the least of several."""
     one = owners.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("owner"))
@@ -37,54 +29,44 @@ def ranked(scores: DataFrame, score: str, n: int) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(id, score): shares of shortest paths through each node, from the pivots (id), scaled up to all nodes as sources.
+    """(id, score): share of shortest paths through each node, from the pivots (id), scaled up to all nodes as sources.
 
-    Every task runs from its pivots over the whole adjacency, which is broadcast; the number of
-    edges is checked first, larger graphs must be reduced to the part of interest.
+    Brandes' sums, a level at a time for all pivots at once. Forwards, each level holds for each
+    pivot and node how many shortest paths lead there; backwards, a node gets from each node a
+    step further the share of that one's paths that it is on. State is one row for each pivot and
+    node that it reaches; edges are stored once and nothing passes the driver but counts. Pivots
+    that are in no edge count for nothing; edges without an end are left out.
     """
-    pairs = edges.select("src", "dst").distinct()
-    n = pairs.count()
-    if n > MOST_BROADCAST_EDGES:
-        raise ValueError(f"{n} edges are too many for betweenness; reduce the graph")
-    table = pairs.toPandas()
-    names = sorted(set(table["src"]) | set(table["dst"]))
-    place = {name: i for i, name in enumerate(names)}
-    out: list[list[int]] = [[] for _ in names]
-    for a, b in sorted(zip(table["src"], table["dst"], strict=True)):
-        out[place[a]].append(place[b])
-
-    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(names))
-        for batch in batches:
-            for source in batch["id"]:
-                if source not in place:
-                    continue
-                s = place[source]
-                paths, depth, order, before = {s: 1.0}, {s: 0}, [s], {s: []}
-                for v in order:
-                    for w in out[v]:
-                        if w not in depth:
-                            depth[w], paths[w], before[w] = depth[v] + 1, 0.0, []
-                            order.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": [names[i] for i in at], "part": total[at]})
-
-    pivots = pivots.select("id").distinct()
-    asked = max(1, pivots.join(pairs.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi").count())
-    size = max(1, (len(names) - 1) * (len(names) - 2)) * asked / max(1, len(names))
-    return (
-        pivots.mapInPandas(accumulate, "id string, part double")
-        .groupBy("id").agg(F.round(F.sum("part") / size, 8).alias("score"))
-    )
+    pairs = pinned(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    nodes = pinned(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    starts = pinned(pivots.select("id").distinct().join(nodes, "id", "left_semi"))
+    n, asked = nodes.count(), starts.count()
+    level = starts.select(F.col("id").alias("pivot"), F.col("id").alias("node"), F.lit(1.0).alias("paths"))
+    visited, levels = level.select("pivot", "node"), [level]
+    while True:
+        reached = (
+            level.join(pairs, F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            .join(visited, ["pivot", "node"], "left_anti")
+        )
+        level = pinned(reached)
+        if level.isEmpty():
+            break
+        levels.append(level)
+        visited = visited.unionAll(level.select("pivot", "node"))
+    part: DataFrame | None = None
+    parts = []
+    for nearer, further in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        shares = further.join(part, ["pivot", "node"], "left") if part is not None else further.withColumn("part", F.lit(None).cast("double"))
+        each = shares.select("pivot", F.col("node").alias("dst"), ((1 + F.coalesce("part", F.lit(0.0))) / F.col("paths")).alias("each"))
+        back = each.join(pairs, "dst").groupBy("pivot", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
+        part = pinned(nearer.join(back, ["pivot", "node"]).select("pivot", "node", (F.col("paths") * F.col("each")).alias("part")))
+        parts.append(part.filter("pivot <> node"))
+    total = starts.limit(0).select("id", F.lit(0.0).alias("part")) if not parts else None
+    for p in parts:
+        rows = p.select(F.col("node").alias("id"), "part")
+        total = rows if total is None else total.unionAll(rows)
+    size = max(1, (n - 1) * (n - 2)) * max(1, asked) / max(1, n)
+    return total.groupBy("id").agg(F.round(F.sum("part") / size, 8).alias("score"))
 
 
 def flows(edges: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:

@@ -117,11 +117,29 @@ def top_hubs(spark, sf_dir):
     return graph.ranked(graph.hub_degree(edges(spark, sf_dir)), "degree", 50)
 
 
-@query()
+#: Up to so many nodes every node is a source of betweenness; beyond that, so many pivots are.
+EXACT_NODES, PIVOTS = 5000, 500
+
+
+def level_sql(n: int) -> str:
+    return f"l{n} AS (SELECT origin, dst AS node, sum(paths) AS paths FROM l{n - 1} JOIN pairs ON src = node GROUP BY ALL)"
+
+
+def share_sql(n: int, further: str) -> str:
+    return f"""b{n} AS (SELECT a.origin, a.node, any_value(a.paths) * sum((1 + {further}) / z.paths) AS part FROM l{n + 1} z {f"LEFT JOIN b{n + 1} y ON y.origin = z.origin AND y.node = z.node" if further != "0" else ""}
+    JOIN pairs ON dst = z.node JOIN l{n} a ON a.origin = z.origin AND a.node = src GROUP BY ALL)"""
+
+
+@query(f"""WITH {GRAPH_SQL}, pairs AS (SELECT DISTINCT src, dst FROM edges), ends AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs),
+chosen AS (SELECT id FROM ends ORDER BY md5(id), id LIMIT (SELECT CASE WHEN count(*) <= {EXACT_NODES} THEN count(*) ELSE {PIVOTS} END FROM ends)),
+l0 AS (SELECT id AS origin, id AS node, 1.0::DOUBLE AS paths FROM chosen), {level_sql(1)}, {level_sql(2)}, {level_sql(3)},
+{share_sql(2, "0")}, {share_sql(1, "coalesce(y.part, 0)")}
+SELECT node AS id, round(sum(part) / ((SELECT (count(*) - 1) * (count(*) - 2) / count(*) FROM ends) * (SELECT count(*) FROM chosen)), 8) AS score FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2) WHERE origin <> node GROUP BY 1""")
 def bridge_betweenness(spark, sf_dir):
-    """Bridges of the ownership graph: its edges grow with customers and suppliers, and are checked against a bound."""
-    e = frontier.undirected(edges(spark, sf_dir).filter("etype = 'OWNS'").select("src", "dst"))
-    pivots = seeds(spark, sf_dir, "Region", "Nation", "Supplier").select(F.col("seed").alias("id"))
+    """Bridges of the whole directed graph. All its paths have three edges at most, so SQL can go level by level."""
+    e = edges(spark, sf_dir)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    pivots = ends if ends.limit(EXACT_NODES + 1).count() <= EXACT_NODES else ends.orderBy(F.md5("id"), "id").limit(PIVOTS)
     return graph.betweenness(e, pivots)
 
 

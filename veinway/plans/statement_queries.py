@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinway.operators import statements
+from veinway.operators import matching, statements
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
 
@@ -48,3 +48,44 @@ UNION ALL SELECT 'c:' || c_custkey, 'SELECT', NULL, 'literal_string', 'nation_'
 def sql_statements(spark, sf_dir):
     joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
     return statements.parsed(written(spark, sf_dir)).select("stmt_id", "kind", "target", "tier", joined("tables"), joined("columns"))
+
+
+@query("""WITH n AS (SELECT 'o:' || o_orderkey AS id, 'src/' || o_orderpriority || '/' || o_orderkey AS external_id FROM orders),
+b AS (SELECT 'src/1-URGENT/' || c_custkey AS qualified_name, CAST(c_custkey AS VARCHAR) AS simple_name FROM customer)
+SELECT DISTINCT ON (id) id, qualified_name, CASE WHEN external_id = qualified_name THEN 'exact' ELSE 'substring' END AS rule
+FROM n JOIN b ON external_id = qualified_name OR external_id ILIKE '%' || simple_name || '%' ORDER BY id, rule, length(simple_name) DESC, qualified_name""")
+def structural_backfill(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    nodes = o.select(F.concat(F.lit("o:"), "o_orderkey").alias("id"), F.concat_ws("/", F.lit("src"), "o_orderpriority", "o_orderkey").alias("external_id"))
+    batch = c.select(F.concat(F.lit("src/1-URGENT/"), "c_custkey").alias("qualified_name"), F.col("c_custkey").cast("string").alias("simple_name"))
+    return matching.backfilled(nodes, batch, "id", "external_id", "qualified_name", "simple_name")
+
+
+@query("SELECT doc_id, p_name, count(*) AS parts FROM documents JOIN part ON text ILIKE '%' || p_brand || '_' || p_size || '%' OR text ILIKE '%' || left(p_name, 4) || '%' GROUP BY ALL")
+def part_mentions(spark, sf_dir):
+    docs, parts = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "part")
+    names = parts.select("p_partkey", "p_name", F.concat_ws("_", "p_brand", "p_size").alias("name")).unionAll(parts.select("p_partkey", "p_name", F.left("p_name", F.lit(4))))
+    found = matching.substring_join(docs, names, "text", "name").select("doc_id", "p_partkey", "p_name").distinct()
+    return found.groupBy("doc_id", "p_name").agg(F.count("*").alias("parts"))
+
+
+CALLS_SQL = """symbols AS (SELECT 'p:' || p_partkey AS urn, replace(p_name, ' ', '_') || p_size || p_type AS name, p_brand || '.' || replace(p_name, ' ', '_') || p_size || p_type AS qualified_name FROM part),
+calls AS (SELECT 'o:' || l_orderkey AS caller, CASE l_linenumber % 3 WHEN 0 THEN 'self.' || qualified_name || '(a, b.c)' WHEN 1 THEN 'other.' || name || '()' ELSE 'this.' || name END AS callee_text
+    FROM lineitem JOIN symbols ON urn = 'p:' || l_partkey UNION ALL SELECT urn, qualified_name FROM symbols UNION ALL SELECT 's:' || s_suppkey, '(none)' FROM supplier)"""
+
+
+@query(rf"""WITH {CALLS_SQL}, t AS (SELECT caller, trim(regexp_replace(regexp_replace(callee_text, '(?s)\(.*$', ''), '^(this|self)\.', '')) AS text FROM calls), s AS (
+    SELECT caller, text, regexp_extract(text, '([^.]*)$', 1) AS name, count(*) AS sites FROM t WHERE text <> '' GROUP BY ALL), m AS (
+    SELECT s.*, urn, qualified_name = text AS exact, bool_or(qualified_name = text) OVER w AS any_exact, count(*) OVER w AS n FROM s JOIN symbols USING (name) WINDOW w AS (PARTITION BY caller, text))
+SELECT caller, urn AS callee, max(CASE WHEN exact THEN 0.95 ELSE 0.70 END)::DOUBLE AS confidence, CAST(sum(sites) AS BIGINT) AS sites FROM m WHERE (exact OR (NOT any_exact AND n <= 3)) AND urn <> caller GROUP BY ALL""")
+def call_resolution(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"), "p_type")
+    symbols = part.select(F.concat(F.lit("p:"), "p_partkey").alias("urn"), name.alias("name"), F.concat("p_brand", F.lit("."), name).alias("qualified_name"), "p_partkey")
+    line = table(spark, sf_dir, "lineitem").join(symbols, F.col("l_partkey") == F.col("p_partkey"))
+    text = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("self."), "qualified_name", F.lit("(a, b.c)"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("other."), "name", F.lit("()"))).otherwise(F.concat(F.lit("this."), "name"))
+    calls = (
+        line.select(F.concat(F.lit("o:"), "l_orderkey").alias("caller"), text.alias("callee_text"))
+        .unionAll(symbols.select("urn", "qualified_name")).unionAll(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), "s_suppkey"), F.lit("(none)")))
+    )
+    return matching.resolved_calls(calls, symbols)
