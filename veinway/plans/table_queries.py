@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veinway.functions import scores
-from veinway.operators import events, governance, ownership, retrieval, selection, text, upserts
+from veinway.operators import events, governance, ownership, privacy, retrieval, selection, text, upserts
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
 
@@ -235,13 +235,16 @@ def token_budget_tiers(spark, sf_dir):
     return out.select("source", "doc_id", "used")
 
 
-SIMPLE = {k: governance.PII_PATTERNS[k] for k in ("email", "phone", "ssn", "ipv4", "api_key")}
-PII_SQL = "found AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '({p})', 1)) AS value FROM documents" for k, p in SIMPLE.items()) + ")"
+LUHN_SQL = "list_sum(list_transform(range(1, length(value) + 1), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * CAST(value[-i] AS INTEGER)) // 10 + (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * CAST(value[-i] AS INTEGER)) % 10)) % 10 = 0"
+PII_SQL = (
+    "every AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '({p})', 1)) AS value FROM documents" for k, p in governance.PII_PATTERNS.items())
+    + f"), found AS (SELECT * FROM every WHERE kind <> 'card' UNION ALL SELECT * FROM every WHERE kind = 'card' AND {LUHN_SQL})"
+)
 
 
 @query(f"WITH {PII_SQL} SELECT doc_id, kind, value, count(*) AS occurrences FROM found GROUP BY ALL")
 def pii_findings(spark, sf_dir):
-    return governance.pii_findings(table(spark, sf_dir, "documents"), "doc_id", "text").filter("kind <> 'card'").drop("confidence")
+    return governance.pii_findings(table(spark, sf_dir, "documents"), "doc_id", "text").drop("confidence")
 
 
 @query(f"""WITH {PII_SQL}, k AS (SELECT doc_id, bool_or(kind = 'api_key') AS secret FROM found GROUP BY 1), c AS (
@@ -249,13 +252,25 @@ def pii_findings(spark, sf_dir):
 SELECT ttl_class, CASE WHEN ttl_class = 'permanent' THEN 'skip' WHEN ttl_class IN ('secret', 'pii') THEN 'redact' WHEN ttl_class = 'transient' THEN 'delete' WHEN ttl_class = 'operational' THEN 'tombstone' ELSE 'skip' END AS action, count(*) AS entities FROM c GROUP BY ALL""")
 def ttl_sweep(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    kinds = governance.pii_findings(docs, "doc_id", "text").filter("kind <> 'card'").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    kinds = governance.pii_findings(docs, "doc_id", "text").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
     source = F.when(F.col("lang") == "de", "transient").when(F.col("lang") == "fr", "operational").when(F.col("lang") == "es", "business_indefinite")
     e = docs.join(kinds, "doc_id", "left").select("doc_id", governance.ttl_class(F.coalesce("kinds", F.array().cast("array<string>")), source).alias("ttl_class"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
     return governance.ttl_sweep(e, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).groupBy("ttl_class", "action").agg(F.count("*").alias("entities"))
 
 
-@query(f"SELECT doc_id, sha256(regexp_replace(text, '{SIMPLE['email']}', '[REDACTED:email]', 'g')) AS redacted_sha256 FROM documents")
+@query()
+def pii_spans(spark, sf_dir):
+    """All kinds with their places; the dictionary holds the capitalised words of the benchmark."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(privacy.NAME), 0)).alias("name"))
+    return privacy.pii_spans(table(spark, sf_dir, "documents"), "doc_id", "text", words)
+
+
+@query()
+def redact_spans(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(privacy.redacted(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, '{governance.PII_PATTERNS['email']}', '[REDACTED:email]', 'g')) AS redacted_sha256 FROM documents")
 def redact_email(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(governance.redact_kind(F.col("text"), "email"), 256).alias("redacted_sha256"))
 
