@@ -7,13 +7,14 @@ from veinway.lineage import pinned
 
 
 def grams(text: Column, sizes: tuple[int, ...] = (3, 2, 1)) -> Column:
-    """The distinct substrings of these lengths."""
+    """The distinct substrings of these lengths. A text is cut into its characters once, and these are laid side by side."""
+    chars = F.split(text, "")
 
     def of(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+        beside = F.arrays_zip(*[(F.slice(chars, i + 1, F.length(text)) if i else chars).alias(f"c{i}") for i in range(n)])
+        return F.filter(F.transform(beside, lambda x: F.concat(*[x[f"c{i}"] for i in range(n)])), lambda g: F.length(g) == n)
 
-    return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(n), F.array().cast("array<string>")) for n in sizes])))
 
 
 def literal_grams(pattern: Column) -> Column:
@@ -40,7 +41,7 @@ def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str, row
     sizes = pinned(wanted.select(F.length("_gram").alias("n")).distinct()).collect()  # of at most three sizes
     if not sizes:
         return left.drop("_row").join(names, F.lit(False))
-    lists = body.withColumn("_gram", F.explode(grams(F.col("_text"), tuple(sorted((r.n for r in sizes), reverse=True)))))
+    lists = body.select("_row", F.explode(grams(F.col("_text"), tuple(sorted((r.n for r in sizes), reverse=True)))).alias("_gram"))
     lists = lists.join(wanted.select("_gram").distinct(), "_gram", "left_semi")
     lengths = lists.groupBy("_gram").agg(F.count("*").alias("_n"))
     rarest = wanted.join(lengths, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("least")).filter("least.n > 0")
@@ -48,7 +49,7 @@ def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str, row
     dealt = lists.join(rarest.select("_gram", "_salts").distinct(), "_gram").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int")).drop("_salts")
     asked = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     matches = F.expr("_text LIKE concat('%', _name, '%') ESCAPE '\\0'")
-    found = dealt.join(asked, ["_gram", "_salt"]).filter(matches).select("_row", "_name")
+    found = dealt.join(asked, ["_gram", "_salt"]).select("_row", "_name").join(body, "_row").filter(matches).select("_row", "_name")
     return left.join(found, "_row").join(names.withColumn("_name", low_name), "_name").drop("_row", "_name")
 
 
