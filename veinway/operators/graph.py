@@ -152,6 +152,36 @@ def causal_chain(events: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return own.unionAll(reached.select(F.col("seed").alias("start"), F.col("node").alias("event_id"), F.col("depth").alias("hops")))
 
 
+def causal_walk(events: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
+    """(start, event_id, popped) of what a queue reaches over all parents of events (event_id, parents) with `most` expansions for each start.
+
+    A start's queue gives its events in the order in which they came in; each takes one expansion, and
+    its known parents that have not been seen come in, in the order in which it names them. `popped` is the
+    number of an event's expansion from 1, null for those that the budget did not reach. The budget is of expansions, not of
+    levels: a level is expanded in the queue's order as far as the budget goes. Nobody's
+    state is larger than the budget and its parents. Null and unknown parents are left out.
+    """
+    steps = events.select(F.col("event_id").alias("node"), F.posexplode("parents").alias("place", "parent")).dropna()
+    steps = pinned(steps.join(events.select(F.col("event_id").alias("parent")).distinct(), "parent", "left_semi"))
+    level = starts.select(F.col("event_id").alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(1).alias("popped"))
+    level = pinned(level.join(events.select(F.col("event_id").alias("node")).distinct(), "node", "left_semi").select("start", "node", "popped"))
+    visited, out, before = level.select("start", "node"), [level], level.select("start", F.lit(1).alias("pops"))
+    while True:
+        met = level.filter(F.col("popped") <= most).join(steps, "node").groupBy("start", F.col("parent").alias("node")).agg(F.min(F.struct("popped", "place")).alias("at"))
+        new = met.join(visited, ["start", "node"], "left_anti").join(before, "start")
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("at", "node"))
+        level = pinned(new.select("start", "node", (F.col("pops") + rank).alias("popped")))
+        if level.isEmpty():
+            break
+        out.append(level)
+        visited = visited.unionAll(level.select("start", "node"))
+        before = pinned(before.join(level.groupBy("start").agg(F.max("popped").alias("last")), "start").select("start", F.col("last").alias("pops")))
+    every = out[0]
+    for rows in out[1:]:
+        every = every.unionAll(rows)
+    return every.select("start", F.col("node").alias("event_id"), F.when(F.col("popped") <= most, F.col("popped")).alias("popped"))
+
+
 def uncovered_callers(edges: DataFrame, sites: DataFrame, covered: DataFrame) -> DataFrame:
     """(id, uncovered): direct callers of throwing sites that no covering edge protects, counted per site."""
     callers = edges.filter(F.col("etype") == "CALLS").join(sites.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()

@@ -258,6 +258,22 @@ def causal_chain(spark, sf_dir):
     return graph.causal_chain(events, events.filter("last = 1").select("event_id"), 20)
 
 
+@query("""WITH RECURSIVE last AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS start FROM events GROUP BY 1), walk AS (
+    SELECT start, [start] AS queue, [start] AS seen, 0 AS pops FROM last
+    UNION ALL SELECT start, list_concat(queue[2:], fresh), list_concat(seen, fresh), pops + 1 FROM (
+        SELECT *, list_filter([a, CASE WHEN b <> a THEN b END, CASE WHEN c <> a AND c <> b THEN c END], lambda p: p >= 0 AND NOT list_contains(seen, p)) AS fresh
+        FROM (SELECT *, queue[1] // 2 AS a, queue[1] - 7 AS b, queue[1] // 3 AS c FROM walk WHERE len(queue) > 0 AND pops < 20))),
+done AS (SELECT start, max_by(seen, pops) AS seen, max(pops) AS pops FROM walk GROUP BY 1)
+SELECT start, seen[i] AS event_id, CASE WHEN i <= pops THEN i END AS popped FROM (SELECT *, CAST(unnest(range(1, len(seen) + 1)) AS INTEGER) AS i FROM done)""")
+def causal_walk(spark, sf_dir):
+    """From the latest event of each user over three parents of each event, 20 expansions each."""
+    e = table(spark, sf_dir, "events")
+    half, back, third = F.floor(F.col("event_id") / 2), F.col("event_id") - 7, F.floor(F.col("event_id") / 3)
+    events = e.select("event_id", F.array(half, back, third).alias("parents"))
+    starts = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last")).select(F.col("last.event_id").alias("event_id"))
+    return graph.causal_walk(events, starts, 20)
+
+
 @query(f"""WITH {GRAPH_SQL}, callers AS (SELECT DISTINCT src, dst FROM edges WHERE etype = 'CALLS' AND dst LIKE 'p:%')
 SELECT dst AS id, count(*) AS uncovered FROM callers c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = c.src AND e.dst = c.dst AND e.confidence >= 0.9) GROUP BY dst""")
 def uncovered_callers(spark, sf_dir):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinway.operators import matching, statements
+from veinway.operators import chunking, matching, resolution, statements, verification
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
 
@@ -89,3 +89,48 @@ def call_resolution(spark, sf_dir):
         .unionAll(symbols.select("urn", "qualified_name")).unionAll(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), "s_suppkey"), F.lit("(none)")))
     )
     return matching.resolved_calls(calls, symbols)
+
+
+@query("""WITH RECURSIVE t AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n,
+    100 + CASE WHEN doc_id * 7 % 720 < 180 THEN length(text) WHEN doc_id * 7 % 720 < 540 THEN least(length(text), 500) ELSE 0 END AS size FROM documents), r AS (
+    SELECT lang, doc_id, n, size AS fill, 0 AS chunk FROM t WHERE n = 1
+    UNION ALL SELECT t.lang, t.doc_id, t.n, CASE WHEN fill + size > 20000 THEN size ELSE fill + size END, CASE WHEN fill + size > 20000 THEN chunk + 1 ELSE chunk END FROM r JOIN t ON t.lang = r.lang AND t.n = r.n + 1)
+SELECT lang, doc_id, CAST(chunk AS BIGINT) AS chunk FROM r""")
+def commit_chunks(spark, sf_dir):
+    """Documents as commits of ages up to 720 days, in chunks of 20000 characters, 100 of each for what stands around the text."""
+    d = table(spark, sf_dir, "documents").withColumn("size", 100 + F.length(chunking.commit_text(F.col("text"), F.col("doc_id") * 7 % 720)))
+    return chunking.chunked(d.select("lang", "doc_id", "size"), "lang", ["doc_id"], F.col("size"), 20000).drop("size")
+
+
+@query("""WITH c AS (SELECT doc_id, substr(text, 1 + CAST(doc_id % 50 AS INTEGER), 300) AS part FROM documents), n AS (
+    SELECT doc_id, length(trim(regexp_replace(substr(part, 1, 30) || '\u00a4' || substr(part, 32), '\\s+', ' ', 'g'))) AS size, CASE WHEN length(part) < 100 THEN 3 ELSE doc_id % 4 END AS kind FROM c)
+SELECT doc_id, CASE kind WHEN 0 THEN 'confirmed' WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'hallucinated' ELSE 'skipped' END AS status, CASE kind WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN round(1 - 1.0::DOUBLE / size, 6) END AS ratio FROM n""")
+def claim_verification(spark, sf_dir):
+    """Claims made from each document: a part of it in other case, a part with one letter lost for a sign, a digest, or none."""
+    d = table(spark, sf_dir, "documents")
+    part = F.substr("text", (1 + F.col("doc_id") % 50).cast("int"), F.lit(300))
+    lost = F.concat(F.substr(part, F.lit(1), F.lit(30)), F.lit("\u00a4"), F.substr(part, F.lit(32)))
+    kind = F.when(F.length(part) < 100, 3).otherwise(F.col("doc_id") % 4)
+    claim = F.when(kind == 0, F.translate(part, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 1, lost).when(kind == 2, F.sha2(F.col("doc_id").cast("string"), 256))
+    claims = d.select("doc_id", F.col("doc_id").cast("string").alias("file"), claim.alias("claim"))
+    found = verification.verified(claims, d.select(F.col("doc_id").cast("string").alias("file"), "text"))
+    return found.select("doc_id", "status", F.round("ratio", 6).alias("ratio"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey // 8 * 8 + o_orderkey % 8 AS b, o_orderstatus AS s, epoch(o_orderdate) AS seconds FROM orders), l AS (
+    SELECT a, b, max_by(CASE s WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'rejected' ELSE 'pending' END, (seconds, CASE s WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'rejected' ELSE 'pending' END)) AS status FROM e GROUP BY 1, 2),
+c AS (SELECT a, b FROM l WHERE status = 'confirmed' UNION SELECT b, a FROM l WHERE status = 'confirmed'), v AS (SELECT a AS id FROM l UNION SELECT b FROM l),
+r AS (SELECT id, id AS other FROM v UNION SELECT r.id, c.b FROM r JOIN c ON c.a = r.other)
+SELECT 'c:' || lpad(CAST(id AS VARCHAR), 9, '0') AS id, 'c:' || lpad(CAST(min(other) AS VARCHAR), 9, '0') AS class FROM r GROUP BY r.id""")
+def resolution_classes(spark, sf_dir):
+    """Decisions that two customers are one, from each order, in three batches by year; the last decision on a pair counts."""
+    o = table(spark, sf_dir, "orders")
+    name = lambda c: F.concat(F.lit("c:"), F.lpad(c.cast("string"), 9, "0"))
+    other = F.floor(F.col("o_custkey") / 8) * 8 + F.col("o_orderkey") % 8
+    status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "rejected").otherwise("pending")
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)")
+    events = o.select(F.concat_ws("-", "o_custkey", other).alias("match_id"), name(F.col("o_custkey")).alias("a"), name(other).alias("b"), status.alias("status"), at.alias("at"), F.year("o_orderdate").alias("year"))
+    links = classes = None
+    for low, high in ((0, 1994), (1994, 1996), (1996, 9999)):
+        links, classes = resolution.advanced(links, classes, events.filter((F.col("year") >= low) & (F.col("year") < high)).drop("year"))
+    return classes
