@@ -7,6 +7,7 @@ from veinway.functions import scores
 from veinway.operators import events, governance, ownership, privacy, retrieval, selection, text, upserts
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
+from veinway.streaming import trailing
 
 SEVERITIES = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium"}
 ITEMS_SQL = """items AS (
@@ -381,3 +382,10 @@ def node_upsert(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     count = lambda s: o.filter(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count("*").alias("n"))
     return upserts.upsert_nodes(count("F"), count("O"), ["o_custkey"], ["n"])
+
+
+@query("""WITH d AS (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+l AS (SELECT user_id, max(day) AS last FROM d GROUP BY 1)
+SELECT user_id, last AS day, count_if(day > last - 7) AS last_7, count_if(day > last - 30) AS last_30, count_if(day > last - 90) AS last_90 FROM d JOIN l USING (user_id) GROUP BY ALL""")
+def trailing_windows(spark, sf_dir):
+    return trailing.trailing_batch(table(spark, sf_dir, "events"))
