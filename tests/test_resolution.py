@@ -2,7 +2,7 @@
 
 import random
 
-from veinway.operators import graph, resolution
+from veinway.operators import graph, resolution, text
 from veinway.streaming import events as stream
 
 
@@ -84,3 +84,20 @@ def test_expansions_are_counted_as_by_a_queue(spark):
         got = graph.causal_walk(events, spark.createDataFrame([(s,) for s in [*starts, 0]], "event_id long"), most).collect()
         want = [r for s in starts if s != 500 for r in by_queue({**parents, 61: []}, s, most)]
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_candidates_are_found_by_their_keys(spark):
+    rows = [("a", "The Shop", "d1"), ("b", "the-shop!", None), ("c", "Other", "d1"), ("d", "", "a"), ("e", None, ""), ("f", "Shop", "gone"), ("g", "the shop", "d1"), (None, "the shop", "d1"), ("a", "The Shop", "d1")]
+    got = text.candidate_links(spark.createDataFrame(rows, "urn string, title string, domain_urn string")).select("left_id", "right_id", "rung").collect()
+    assert sorted(map(tuple, got)) == [("a", "b", "name"), ("a", "c", "explicit"), ("a", "d", "explicit"), ("a", "g", "explicit"), ("a", "g", "name")]
+    hot = spark.createDataFrame([(f"u{i:04d}", "same", "d") for i in range(1000)], "urn string, title string, domain_urn string")
+    assert text.candidate_links(hot).count() == 2 * 999
+
+
+def test_vector_links_are_near_enough(spark):
+    rows = [(i, [float(i == j) + 0.1 * (i + j) for j in range(4)]) for i in range(4)] + [(9, [1.0, 0.1, 0.2, 0.3])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = {(r.left_id, r.right_id): r.cosine for r in text.vector_links(v, v.withColumnRenamed("id", "query_id"), least=0.9).collect()}
+    norm = lambda x: sum(a * a for a in x) ** 0.5
+    want = {(i, j): sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y) for i, x in rows for j, y in rows if i < j}
+    assert {k: round(c, 4) for k, c in got.items()} == {k: round(c, 4) for k, c in want.items() if c >= 0.9} and got

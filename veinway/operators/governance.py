@@ -120,10 +120,14 @@ def illegal_transitions(moves: DataFrame) -> DataFrame:
     return moves.join(F.broadcast(known), ["from_state", "to_state"], "left_anti")
 
 
-def drift_domains(items: DataFrame) -> DataFrame:
-    """Per domain: items, score, critical items, oldest age, days of work in progress. Items without a domain are 'unattributed'."""
+def drift_domains(items: DataFrame, with_waived: bool = False) -> DataFrame:
+    """Per domain: items, score, critical items, oldest age, days of work in progress. Items without a domain are 'unattributed'.
+
+    Waived items count only on demand; an item without a state counts.
+    """
     from veinway.functions.scores import drift_score
 
+    items = items if with_waived else items.filter(~F.col("state").eqNullSafe("waived"))
     domains = F.when(F.size("domains") > 0, F.col("domains")).otherwise(F.array(F.lit("unattributed")))
     each = items.select(F.explode(domains).alias("domain"), "severity", "state", "age_days", "remediation_days")
     return each.groupBy("domain").agg(

@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 from veinway.operators.frontier import walk
 from veinway.operators.upserts import swapped
 
-#: Edge types whose change breaks what depends on them.
-BREAKING = ["CALLS", "DEPENDS_ON"]
+# Edge types whose change breaks what depends on them.
+BREAKING = ["IMPLEMENTS_CONTRACT", "HANDLES_ROUTE", "CALLS"]
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinway.operators import retrieval
+
 # Rules that results depend on.
 ASSUMPTION_RULES = [
     ("explicit_jsdoc", r"(?i)@assumption\s+(.+)", "low", 0.95), ("explicit_python", r"(?i)#\s*ASSUMPTION:\s*(.+)", "low", 0.95), ("explicit_js", r"(?i)//\s*ASSUME:\s*(.+)", "low", 0.95),
@@ -96,3 +98,31 @@ def resolve_by_name(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select(F.col("id").alias("left_id"), normal_name(F.col("name")).alias("norm")).filter("norm <> ''")
     b = right.select(F.col("id").alias("right_id"), normal_name(F.col("name")).alias("norm"))
     return a.join(b, "norm").select("left_id", "right_id", "norm", resolution_id(F.col("left_id"), F.col("right_id")).alias("resolution_id"), F.lit(0.82).alias("confidence"))
+
+
+def candidate_links(rows: DataFrame) -> DataFrame:
+    """(left_id, right_id, rung, cosine) for `decided`: who may be the same of (urn, title, domain_urn), by equi-joins.
+
+    Records that name one domain are linked, and a record to the record whose urn it names as its
+    domain (`explicit`); so are records of one normal title (`name`). A group of n equal records gives n - 1 links,
+    from each to the least urn, and not all pairs: their classes are the same. The lesser urn of
+    a link is its left one. Records without an urn count for nothing; empty titles and domains match nothing.
+    """
+    known = rows.select("urn", F.nullif(F.col("domain_urn"), F.lit("")).alias("domain_urn"), normal_name(F.col("title")).alias("norm")).filter("urn IS NOT NULL").distinct()
+
+    def star(key: str, rung: str) -> DataFrame:
+        keyed = known.select("urn", key).filter(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
+        least = keyed.groupBy(key).agg(F.min("urn").alias("other"), F.count("*").alias("n")).filter("n > 1")
+        return keyed.join(least, key).select("urn", "other", F.lit(rung).alias("rung"))
+
+    named = known.select("urn", F.col("domain_urn").alias("other")).join(known.select(F.col("urn").alias("other")).distinct(), "other", "left_semi")
+    links = star("domain_urn", "explicit").unionByName(named.withColumn("rung", F.lit("explicit"))).unionByName(star("norm", "name")).filter("urn <> other")
+    return links.select(F.least("urn", "other").alias("left_id"), F.greatest("urn", "other").alias("right_id"), "rung", F.lit(None).cast("double").alias("cosine")).distinct()
+
+
+def vector_links(vectors: DataFrame, asked: DataFrame, most: int = 5, least: float = 0.80) -> DataFrame:
+    """(left_id, right_id, rung, cosine): for each asked vector (query_id, embedding) up to `most` others (id, embedding) with a cosine of at least `least`."""
+    near = retrieval.dense_top_k(vectors, asked, most + 1).filter((F.col("score") >= least) & (F.col("id") != F.col("query_id")))
+    best = retrieval.top_k(near.select("query_id", "id", "score"), ["query_id"], "score", most)
+    ends = lambda f: f("query_id", "id")
+    return best.select(ends(F.least).alias("left_id"), ends(F.greatest).alias("right_id"), F.lit("embedding").alias("rung"), F.col("score").alias("cosine")).distinct()

@@ -183,16 +183,18 @@ def fan_in_bucket(spark, sf_dir):
     return found.withColumn("bucket", scores.impact_bucket(F.col("fan_in")))
 
 
-@query(f"""WITH {GRAPH_SQL}, {CALLERS_SQL}, owned AS (SELECT src AS id, count(*) AS owners FROM edges WHERE etype = 'OWNS' GROUP BY src)
+@query(f"""WITH {GRAPH_SQL}, {CALLERS_SQL}, owned AS (SELECT src AS id, count(*) AS owners FROM edges WHERE etype = 'OWNS' GROUP BY src),
+covered AS (SELECT dst AS id, count(*) AS tests FROM edges WHERE etype = 'CALLS' AND confidence >= 0.9 GROUP BY dst)
 SELECT id, round(least(1.0, least(coalesce(calls, 0) * 0.05, 0.25) + least(coalesce(owners, 0) * 0.05, 0.15)
-    + greatest(0.30 - least(length(name) / 5.0, 1.0) * 0.25, 0.05) + CASE WHEN lower(name) SIMILAR TO '.*(auth|login|password|token|secret|encrypt|decrypt|permission|role|session|credential|jwt).*' THEN 0.2 ELSE 0.0 END
+    + greatest(0.30 - least(coalesce(tests, 0) / 5.0, 1.0) * 0.25, 0.05) + CASE WHEN lower(name) SIMILAR TO '.*(auth|login|password|token|secret|encrypt|decrypt|permission|role|session|credential|jwt).*' THEN 0.2 ELSE 0.0 END
     + least(coalesce(fan_in, 0) / 20.0, 0.10)), 4) AS risk
-FROM nodes LEFT JOIN callers USING (id) LEFT JOIN owned USING (id)""")
+FROM nodes LEFT JOIN callers USING (id) LEFT JOIN owned USING (id) LEFT JOIN covered USING (id)""")
 def node_risk(spark, sf_dir):
     e = edges(spark, sf_dir)
     owned = e.filter("etype = 'OWNS'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("owners"))
-    n = nodes(spark, sf_dir).join(fan_in(e), "id", "left").join(owned, "id", "left").na.fill(0, ["calls", "owners", "fan_in"])
-    value = scores.risk(F.col("calls"), F.col("owners"), F.length("name"), scores.mentions_security(F.col("name")), F.col("fan_in"))
+    covered = e.filter("etype = 'CALLS' AND confidence >= 0.9").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("tests"))
+    n = nodes(spark, sf_dir).join(fan_in(e), "id", "left").join(owned, "id", "left").join(covered, "id", "left").na.fill(0, ["calls", "owners", "fan_in", "tests"])
+    value = scores.risk(F.col("calls"), F.col("owners"), F.col("tests"), scores.mentions_security(F.col("name")), F.col("fan_in"))
     return n.select("id", value.alias("risk"))
 
 

@@ -25,7 +25,7 @@ def audit_query(spark, sf_dir):
 
 
 SCOPE_SQL = "scope AS (SELECT id FROM nodes WHERE node_type <> 'Customer'), scoped AS (SELECT * FROM live WHERE src IN (SELECT id FROM scope) AND dst IN (SELECT id FROM scope))"
-RANKED_SQL = """SELECT seed, node, CAST(depth AS INTEGER) AS depth, via, risk_score, via IN ('CALLS', 'DEPENDS_ON') AS is_breaking FROM walk LEFT JOIN nodes ON id = node
+RANKED_SQL = """SELECT seed, node, CAST(depth AS INTEGER) AS depth, via, risk_score, via IN ('IMPLEMENTS_CONTRACT', 'HANDLES_ROUTE', 'CALLS') AS is_breaking FROM walk LEFT JOIN nodes ON id = node
 ORDER BY is_breaking DESC, risk_score DESC NULLS LAST, depth, seed, node"""
 
 
@@ -139,3 +139,26 @@ def entity_resolution(spark, sf_dir):
         rows = c.filter(where).select(F.col("c_custkey").alias("left_id"), (F.col("c_custkey") % 50).alias("right_id"), F.lit(rung).alias("rung"), F.expr(f"CAST({cosine} AS DOUBLE)").alias("cosine"))
         links = rows if links is None else links.unionByName(rows)
     return text.decided("left_id", "right_id", links)
+
+
+CANDIDATES_SQL = """cand AS (
+    SELECT 'c:' || c_custkey AS urn, 'Party ' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS title, CASE WHEN c_nationkey % 5 = 0 THEN 'd:' || (c_custkey // 3) END AS domain_urn FROM customer
+    UNION ALL SELECT 's:' || s_suppkey, 'PARTY-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '!', CASE WHEN s_nationkey % 5 = 0 THEN 'c:' || s_suppkey END FROM supplier)"""
+
+
+@query(f"""WITH {CANDIDATES_SQL}, named AS (SELECT urn, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm FROM cand),
+pairs AS (SELECT urn AS a, min(urn) OVER (PARTITION BY domain_urn) AS b, 'explicit' AS rung FROM cand WHERE domain_urn IS NOT NULL
+    UNION ALL SELECT x.urn, y.urn, 'explicit' FROM cand x JOIN cand y ON x.domain_urn = y.urn
+    UNION ALL SELECT urn, min(urn) OVER (PARTITION BY norm), 'name' FROM named WHERE norm <> '')
+SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, min(rung) AS rung, CASE min(rung) WHEN 'explicit' THEN 0.95 ELSE 0.82 END::DOUBLE AS confidence, 'auto' AS decision FROM pairs WHERE a <> b GROUP BY 1, 2""")
+def resolution_candidates(spark, sf_dir):
+    """Customers and suppliers with titles and some with the domain that they name."""
+    title = lambda k, form: F.format_string(form, k)
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    rows = c.select(
+        F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("urn"), title("c_custkey", "Party %06d").alias("title"),
+        F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("d:"), F.floor(F.col("c_custkey") / 3).cast("string"))).alias("domain_urn"),
+    ).unionAll(s.select(
+        F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")), title("s_suppkey", "PARTY-%06d!"), F.when(F.col("s_nationkey") % 5 == 0, F.concat(F.lit("c:"), F.col("s_suppkey").cast("string"))),
+    ))
+    return text.decided("left_id", "right_id", text.candidate_links(rows))

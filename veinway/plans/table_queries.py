@@ -33,9 +33,11 @@ def items(spark, sf_dir):
 @query(f"""WITH {ITEMS_SQL} SELECT coalesce(domain, 'unattributed') AS domain, count(*) AS items,
     round(sum(CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 1 END * (1 + greatest(0, (age_days - 90) / 90.0))), 2) AS score,
     count(*) FILTER (severity = 'critical') AS critical, max(age_days) AS oldest, round(sum(CASE WHEN state = 'in_flight' THEN remediation_days ELSE 0 END), 2) AS in_flight_days
-    FROM items GROUP BY 1""")
+    FROM items WHERE remediation_days <= 4 GROUP BY 1""")
 def drift_domain_scores(spark, sf_dir):
-    return governance.drift_domains(items(spark, sf_dir))
+    """Items of more than four days of work are waived."""
+    state = F.when(F.col("remediation_days") > 4, "waived").otherwise(F.col("state"))
+    return governance.drift_domains(items(spark, sf_dir).withColumn("state", state))
 
 
 @query(f"""WITH {ITEMS_SQL}, split AS (SELECT (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AS t),
