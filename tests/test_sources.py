@@ -3,6 +3,7 @@
 import json
 import random
 
+from veinway.operators import source_edges
 from veinway.sources import blame, openapi
 
 
@@ -69,3 +70,25 @@ def test_parameters_are_looked_up(spark):
     docs = openapi.parsed(spark.createDataFrame([("f", doc)], "file string, content string"))
     got = openapi.parameters(docs, openapi.operations(docs)).select("path", "name", "place", "required").collect()
     assert sorted(map(tuple, got), key=str) == sorted([("/a", "q", "query", True), ("/a", "page", "header", False), ("/a", "Gone", None, False)], key=str)
+
+
+def test_injection_is_seen_in_three_languages(spark):
+    units = [
+        ("a/A.java", "public class A {\n @Inject  private Bee b;\n private final Bee again;\n private final x.Cee c;\n private final Dee d;\n public A(Bee b, final Eee e, Gone g) {}\n public A(Fee f) {} }"),
+        ("a/NoName.java", "private final Bee b;"), ("x.ts", "import { Bee, Cee } from \"m\"\nclass A { private b: Bee; readonly d: Dee; public readonly c: Cee }"),
+        ("x.py", "from m import Cee as C, Dee\nclass A:\n  self.c = Cee(1)\n  self.b = Bee()\n  self.d = Dee ()"), ("x.go", "class A { private final Bee b; }"), ("b.java", None), ("c.java", ""), ("z.py", "class Unknown:\n  self.b = Bee()"),
+    ]
+    entities = [("p.A", "a"), ("Bee", "b"), ("q.Bee", "b2"), ("Cee", "c"), ("r.Dee", "d2"), ("q.Dee", "d1"), ("Eee", "e"), ("Fee", "f"), ("NoName", "n"), (None, "x")]
+    df = lambda rows, shape: spark.createDataFrame(rows, shape)
+    got = {(r.src, r.dst): (r.confidence, r.evidence) for r in source_edges.injected(df(units, "file_path string, content string"), df(entities, "name string, external_id string")).collect()}
+    assert got == {
+        ("a", "b"): (0.95, "@Autowired Bee b"), ("a", "d1"): (0.88, "private final Dee d"), ("a", "e"): (0.85, "constructor Eee e"),
+        ("a", "c"): (0.85, "field Cee c"), ("n", "b"): (0.88, "private final Bee b"),
+    }
+
+
+def test_endpoints_are_met_by_method_and_path(spark):
+    ops = spark.createDataFrame([("f", "one", "/a/{id}/", "GET"), ("f", "two", "/b", "POST"), ("f", "root", "/", "GET")], "file string, operation_id string, path string, method string")
+    code = spark.createDataFrame([(1, "GET //a//{id}"), (2, "@PostMapping('/b/')"), (3, "post /b"), (4, "GET /b"), (5, None), (6, "get"), (7, "@RequestMapping('/b')"), (8, "GET /"), (9, "@GetMapping(value = \"/a/{id}\")")], "id int, signature string")
+    got = source_edges.documented(ops, code)
+    assert sorted((r.operation_id, r.endpoint) for r in got.collect()) == [("one", 1), ("one", 9), ("root", 8), ("two", 2), ("two", 3)]

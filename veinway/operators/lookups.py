@@ -48,14 +48,14 @@ def scoped_walk(edges: DataFrame, scope: DataFrame, seeds: DataFrame, max_depth:
 
 
 def dependent_files(edges: DataFrame, file_of: DataFrame, dirty: DataFrame, max_hops: int = 3) -> DataFrame:
-    """(seed, file, hops): files that reach a dirty file (file) over so many edges between files; the seed itself is left out.
+    """(seed, file, hops): files that reach a dirty file (file) over so many edges between files; dirty files, whichever, are left out.
 
     Edges are drawn between the files (id, file) of their ends; those inside a file count nothing.
     """
     a, b = file_of.select(F.col("id").alias("src"), F.col("file").alias("_from")), file_of.select(F.col("id").alias("dst"), F.col("file").alias("_to"))
     between = edges.join(a, "src").join(b, "dst").filter("_from <> _to").groupBy(F.col("_from").alias("src"), F.col("_to").alias("dst")).agg(F.min("etype").alias("etype"), F.max("confidence").alias("confidence"))
     found = walk(swapped(between), dirty.select(F.col("file").alias("seed")), max_hops)
-    return found.select("seed", F.col("node").alias("file"), F.col("depth").alias("hops"))
+    return found.select("seed", F.col("node").alias("file"), F.col("depth").alias("hops")).join(dirty.select("file").distinct(), "file", "left_anti")
 
 
 def with_lists(left: DataFrame, right: DataFrame, key: str, value: Column, name: str) -> DataFrame:

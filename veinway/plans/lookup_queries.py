@@ -50,7 +50,7 @@ between_files AS (SELECT a.file AS src, b.file AS dst, min(etype) AS etype, max(
 hops AS (SELECT file AS seed, file, 0 AS hops FROM file_of WHERE file IN ('part-7', 'r:1') UNION SELECT h.seed, e.src, h.hops + 1 FROM hops h JOIN between_files e ON e.dst = h.file WHERE h.hops < 3)"""
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, {FILES_SQL} SELECT seed, file, CAST(min(hops) AS INTEGER) AS hops FROM hops WHERE seed <> file GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {FILES_SQL} SELECT seed, file, CAST(min(hops) AS INTEGER) AS hops FROM hops WHERE file NOT IN ('part-7', 'r:1') GROUP BY 1, 2")
 def dependent_files(spark, sf_dir):
     number = F.substring("id", 3, 20).cast("long")
     file = F.when(F.col("node_type") == "Order", F.concat(F.lit("order-"), (number % 500).cast("string"))).when(F.col("node_type") == "Part", F.concat(F.lit("part-"), (number % 97).cast("string"))).otherwise(F.col("id"))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veinway.operators import source_edges
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
 from veinway.sources import blame, openapi
@@ -77,3 +78,39 @@ def openapi_parameters(spark, sf_dir):
 SELECT *, target NOT IN ('Customer', 'Order', 'AUTOMOBILE', 'Error') AS missing, name = target AS cyclic FROM r""")
 def openapi_references(spark, sf_dir):
     return openapi.resolved(openapi.schemas(openapi.parsed(documents(spark, sf_dir))))
+
+
+@query("""WITH e AS (SELECT 'c:' || c_custkey AS endpoint, '/customers/' || c_custkey AS path, c_custkey % 4 AS kind FROM customer)
+SELECT endpoint AS file, CASE WHEN kind = 1 THEN '' ELSE 'get_' || substr(endpoint, 3) END AS operation_id, path, CASE WHEN kind = 1 THEN 'PUT' ELSE 'GET' END AS method, endpoint FROM e WHERE kind < 3""")
+def documented_endpoints(spark, sf_dir):
+    """An endpoint for each customer, written in four ways, of which the last is a method that no document has."""
+    key = F.col("c_custkey")
+    form = F.when(key % 4 == 0, F.format_string("GET  /customers//%d/", key)).when(key % 4 == 1, F.format_string('@PutMapping("/customers/%d")', key)).when(key % 4 == 2, F.format_string("get /customers/%d", key)).otherwise(F.format_string("DELETE /customers/%d", key))
+    endpoints = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), key.cast("string")).alias("id"), form.alias("signature"))
+    return source_edges.documented(openapi.operations(openapi.parsed(documents(spark, sf_dir))), endpoints)
+
+
+UNITS = {
+    "java": "package a.b;\npublic class Order%d {\n  @Autowired private Supplier%d mine;\n  private final Part%d part;\n  public Order%d(Supplier%d mine, @Named Part%d part, Customer%d who) { }\n}",
+    "ts": "import { Supplier%2$d, Part%3$d } from './all'\nexport class Order%1$d { constructor(private readonly s: Supplier%2$d, public c: Customer%7$d) {} }",
+    "py": "from shop import Part%3$d as P, Supplier%2$d\nclass Order%1$d:\n    def __init__(self):\n        self.s = Supplier%2$d()\n        self.p = Part%3$d()\n        self.c = Customer%7$d()",
+}
+
+
+@query("""WITH l AS (SELECT o_orderkey AS k, any_value(o_custkey) AS c, min(l_suppkey) AS s, max(l_partkey) AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT 'o:' || k AS src, 's:' || s AS dst, CASE k % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 ELSE 0.8 END::DOUBLE AS confidence,
+    CASE k % 3 WHEN 0 THEN '@Autowired Supplier' || s || ' mine' WHEN 1 THEN 'field Supplier' || s || ' s' ELSE 'self Supplier' || s || ' s' END AS evidence FROM l
+UNION ALL SELECT 'o:' || k, 'p:' || p, CASE k % 3 WHEN 0 THEN 0.88 ELSE 0.8 END::DOUBLE, CASE k % 3 WHEN 0 THEN 'private final Part' || p || ' part' ELSE 'self Part' || p || ' p' END FROM l WHERE k % 3 <> 1
+UNION ALL SELECT 'o:' || k, 'c:' || c, 0.85::DOUBLE, 'constructor Customer' || c || ' who' FROM l WHERE k % 3 = 0""")
+def injection_edges(spark, sf_dir):
+    """A class for each order in one of three languages, with its supplier, part and customer; only what is imported counts in two of them."""
+    t = lambda n: table(spark, sf_dir, n)
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"), F.max("l_partkey").alias("p"))
+    rows = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumnRenamed("o_orderkey", "k").withColumnRenamed("o_custkey", "c")
+    values = ("k", "s", "p", "k", "s", "p", "c")
+    kind = F.when(F.col("k") % 3 == 0, "java").when(F.col("k") % 3 == 1, "ts").otherwise("py")
+    content = F.when(kind == "java", F.format_string(UNITS["java"], *values)).when(kind == "ts", F.format_string(UNITS["ts"], *values)).otherwise(F.format_string(UNITS["py"], *values))
+    units = rows.select(F.concat(F.lit("src/Order"), F.col("k").cast("string"), F.lit("."), kind).alias("file_path"), content.alias("content"))
+    entity = lambda n, column, name, prefix: t(n).select(F.concat(F.lit(name), F.col(column).cast("string")).alias("name"), F.concat(F.lit(prefix), F.col(column).cast("string")).alias("external_id"))
+    entities = entity("orders", "o_orderkey", "shop.Order", "o:").unionAll(entity("supplier", "s_suppkey", "Supplier", "s:")).unionAll(entity("part", "p_partkey", "x.y.Part", "p:")).unionAll(entity("customer", "c_custkey", "Customer", "c:"))
+    return source_edges.injected(units, entities)
