@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinway.operators import chunking, matching, resolution, statements, verification
+from veinway.operators import chunking, matching, relevance, resolution, statements, verification
 from veinway.plans.graph_tables import table
 from veinway.plans.registry import query
 
@@ -134,3 +134,54 @@ def resolution_classes(spark, sf_dir):
     for low, high in ((0, 1994), (1994, 1996), (1996, 9999)):
         links, classes = resolution.advanced(links, classes, events.filter((F.col("year") >= low) & (F.col("year") < high)).drop("year"))
     return classes
+
+
+ENDPOINT = "/api/v1/red-widget/{id}/gear/12"
+KINDS = ["ApiEndpoint", "DatabaseQuery", "Function", "Class", "constant", "Other", "SchemaField"]
+ENDS = ["Service", "Test", "Constants", "Repository", "Handler", "IT", "Config", ""]
+FOLDERS = ["service", "model", "Controllers", "util", "repo"]
+LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+ENTITIES_SQL = f"""ent AS (SELECT CASE WHEN p_partkey % 31 = 0 THEN 'Added Field: x' ELSE replace(p_name, ' ', '.') || ({LIST(ENDS)})[p_size % 8 + 1] END AS name, ({LIST(KINDS)})[p_partkey % 7 + 1] AS entity_type,
+    'src/' || ({LIST(FOLDERS)})[p_partkey % 5 + 1] || '/' || p_partkey || '.java' AS file, CAST(p_size % 10 AS DOUBLE) / 10 AS confidence, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS query_text FROM part),
+judged AS (SELECT *, regexp_extract(name, '([^.]*)$', 1) AS last FROM ent), reasons AS (SELECT *, CASE WHEN regexp_matches(name, '{relevance.DIFF}') THEN 'diff_artifact' WHEN lower(entity_type) IN ('constant', 'configkey') THEN 'constant_type'
+    WHEN entity_type = 'DatabaseQuery' AND coalesce(query_text, '') = '' THEN 'empty_query_text' WHEN confidence < 0.5 THEN 'low_confidence' WHEN regexp_matches(last, '{relevance.TEST}') THEN 'test_class'
+    WHEN regexp_matches(last, '{relevance.NOISE}') AND lower(entity_type) IN ('class', '') THEN 'noise_suffix' END AS reason FROM judged)"""
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    key = F.col("p_partkey")
+    name = F.when(key % 31 == 0, "Added Field: x").otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), pick(ENDS, F.col("p_size") % 8)))
+    file = F.concat(F.lit("src/"), pick(FOLDERS, key % 5), F.lit("/"), key.cast("string"), F.lit(".java"))
+    return table(spark, sf_dir, "part").select(
+        name.alias("name"), pick(KINDS, key % 7).alias("entity_type"), file.alias("file"), ((F.col("p_size") % 10).cast("double") / 10).alias("confidence"), F.when(key % 2 == 0, F.col("p_type")).alias("query_text")
+    )
+
+
+@query(f"""WITH {ENTITIES_SQL} SELECT name, entity_type, file, confidence, relevance FROM (SELECT *, round(CASE entity_type WHEN 'ApiEndpoint' THEN 10 WHEN 'DatabaseQuery' THEN 9 WHEN 'Function' THEN 8 WHEN 'Class' THEN 7 WHEN 'SchemaField' THEN 4 ELSE 2 END * 0.4::DOUBLE
+    + CASE WHEN regexp_matches(lower(file), '/(service|controllers|repo)/') THEN 3.0 ELSE 0.0 END + CASE WHEN regexp_matches(lower(name), 'red|widget|gear') THEN 3.0 ELSE 0.0 END, 4) AS relevance FROM reasons WHERE reason IS NULL)
+ORDER BY relevance DESC, confidence DESC, name, entity_type, file LIMIT 60""")
+def endpoint_entities(spark, sf_dir):
+    return relevance.relevant(entities(spark, sf_dir), ENDPOINT).drop("query_text")
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT reason, count(*) AS entities FROM reasons WHERE reason IS NOT NULL GROUP BY 1")
+def dropped_entities(spark, sf_dir):
+    return relevance.dropped(entities(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT 'c' || c_custkey AS name, 'ApiEndpoint' AS kind, CASE c_custkey % 2 WHEN 0 THEN 'GET' ELSE 'put' END || ' /suppliers/' || c_custkey || '/' AS signature FROM customer WHERE c_nationkey < 5
+    UNION ALL SELECT 'load_Item' || o_orderkey, 'Function', NULL FROM orders), q AS (
+    SELECT 's:' || s_suppkey AS request, CASE WHEN s_suppkey % 3 = 0 THEN 'GET' WHEN s_suppkey % 3 = 1 THEN NULL ELSE 'PUT' END AS method, '/suppliers/' || s_suppkey || '/' || CASE WHEN s_nationkey < 8 THEN '' ELSE 'item' || s_suppkey || '/{id}' END AS path FROM supplier),
+r AS (SELECT request, name, CASE WHEN method IS NULL OR contains(upper(signature), method) THEN 1 ELSE 2 END AS rung FROM e JOIN q ON kind = 'ApiEndpoint' AND contains(signature, path)
+    UNION ALL SELECT request, name, 3 FROM e JOIN (SELECT request, lower(list_filter(string_split(path, '/'), lambda p: p <> '' AND NOT contains(p, '{'))[-1]) AS tail FROM q) ON contains(lower(name), tail))
+SELECT DISTINCT request, name, rung FROM r QUALIFY rung = min(rung) OVER (PARTITION BY request)""")
+def entry_ladder(spark, sf_dir):
+    c, o, s = (table(spark, sf_dir, n) for n in ("customer", "orders", "supplier"))
+    verb = F.when(F.col("c_custkey") % 2 == 0, "GET").otherwise("put")
+    ends = c.filter("c_nationkey < 5").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.lit("ApiEndpoint").alias("entity_type"), F.concat(verb, F.lit(" /suppliers/"), F.col("c_custkey").cast("string"), F.lit("/")).alias("signature"))
+    functions = o.select(F.concat(F.lit("load_Item"), F.col("o_orderkey").cast("string")), F.lit("Function"), F.lit(None).cast("string"))
+    key = F.col("s_suppkey")
+    path = F.when(F.col("s_nationkey") < 8, F.format_string("/suppliers/%d/", key)).otherwise(F.format_string("/suppliers/%d/item%d/{id}", key, key))
+    requests = s.select(F.concat(F.lit("s:"), key.cast("string")).alias("request"), F.when(key % 3 == 0, "GET").when(key % 3 == 2, "PUT").alias("method"), path.alias("path"))
+    return relevance.entry_points(ends.unionAll(functions), requests)
