@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -73,7 +73,7 @@ class Trailing(StatefulProcessor):
         pass
 
 
-def day_number(ts: str) -> F.Column:
+def day_number(ts: str) -> Column:
     return F.unix_date(F.to_date(ts))
 
 
