@@ -21,6 +21,8 @@ from veinway.llm.components import components
 from veinway.llm.shingles import ShingleSets, set_digest, shingler
 
 BLOCK = 256
+#: Parts that rows which repeat doc_id and text are dealt over when full sets are read.
+PARTS = 4
 
 
 class Forest:
@@ -74,12 +76,13 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
     best = named.groupBy("component").agg(F.min("best").alias("winner"))
     full = known.filter("n_shingles > 0").select("doc_id", "text_md5", "digest").join(named, "digest").join(best, "component")
     winner = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_md5") == F.col("winner.text_md5"))
-    decided = full.select(row_key("text_md5").alias("_key"), winner.alias("_won")).distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
-    first = Window.partitionBy("_key").orderBy(F.xxhash64(*others))
-    left = docs.withColumn("_key", row_key()).join(decided, "_key", "left").filter(F.coalesce("_won", F.lit(True)))
+    decided = full.select(row_key("text_md5").alias("key"), winner.alias("won")).distinct()
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    first = Window.partitionBy("key").orderBy("tie")
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("key"), F.xxhash64(*others).alias("tie"))
+    left = rows.join(decided, "key", "left").filter(F.coalesce("won", F.lit(True)))
     # rows without words have no decision and all stay
-    return left.withColumn("_at", F.row_number().over(first)).filter("_at = 1 OR _won IS NULL").select(*docs.columns)
+    return left.withColumn("at", F.row_number().over(first)).filter("at = 1 OR won IS NULL").select("row.*")
 
 
 def row_key(text_md5: str | None = None) -> Column:
@@ -95,10 +98,11 @@ def _named(docs: DataFrame, words: int, percent: int, bands: int, rows: int) ->
         known.filter("n_shingles > 0").groupBy("digest").agg(
             F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_md5")).alias("source"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("best"),
+            F.first("bands").alias("bands"), F.first("low").alias("low"),  # equal sets have equal signatures
         )
     )
     # stored between the steps, so that no task runs two Python workers at once
-    plausible = pinned(_plausible(known, classes, percent, bands * rows))
+    plausible = pinned(_plausible(classes, percent, bands * rows))
     family = pinned(components(plausible))
     linked = components(pinned(_exact(docs, family, classes, words, percent)))
     least = linked.join(classes, linked.v == classes.digest).groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -181,7 +185,7 @@ def _edges(groups: Iterator[tuple]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b})
 
 
-def _plausible(known: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+def _plausible(classes: DataFrame, percent: int, size: int) -> DataFrame:
     """Edges between classes that share a bucket and whose signatures agree about as often as linked sets' do.
 
     First every member of a bucket is compared with the bucket's least member. Buckets that this
@@ -190,11 +194,8 @@ def _plausible(known: DataFrame, classes: DataFrame, percent: int, size: int) ->
     """
     p = percent / 100
     least = max(0.0, p - 5.2 * (p * (1 - p) / size) ** 0.5)
-    signed = known.join(classes.select("digest", "source"), "digest").filter(
-        F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("text_md5") == F.col("source.text_md5"))
-    )
-    keyed = signed.select(F.col("digest").alias("v"), F.explode("bands").alias("key"))
-    low = pinned(signed.select(F.col("digest").alias("v"), "low"))
+    keyed = classes.select(F.col("digest").alias("v"), F.explode("bands").alias("key"))
+    low = classes.select(F.col("digest").alias("v"), "low")
     buckets = (
         keyed.groupBy("key")
         .agg(F.count("*").alias("n"), F.sum(F.hash("v").cast("long")).alias("s"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min("v").alias("first"))
@@ -275,12 +276,12 @@ def _exact(docs: DataFrame, family: DataFrame, classes: DataFrame, words: int, p
     sizes = pinned(family.groupBy("root").agg(F.count("*").alias("n")))
     wanted = (
         family.join(sizes, "root").join(classes, family.v == classes.digest)
-        .select("v", "root", "n", F.col("source.doc_id").alias("source_id"), F.col("source.text_md5").alias("source_md5"))
+        .select("v", "root", "n", F.col("source.doc_id").alias("doc_id"), F.col("source.text_md5").alias("text_md5"))
+        .select("v", "root", "n", row_key("text_md5").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_md5", _md5())
-    found = texts.join(
-        wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("text_md5") == F.col("source_md5"))
-    ).select("root", "n", "v", "text")
+    # of rows that repeat doc_id and text one a part stays; the rows lie as the join has dealt them, so nothing is shuffled again
+    texts = docs.select(row_key().alias("at"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"), "text")
+    found = texts.join(wanted.hint("shuffle_hash"), ["at", "part"]).dropDuplicates(["at", "part"]).select("root", "n", "v", "text")
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = ShingleSets(words)

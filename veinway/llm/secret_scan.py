@@ -20,11 +20,11 @@ from veinway.llm.near_dedup import row_key
 #: Marks around candidates: two code points that are no characters; in a text they count as U+FFFD.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 NAME = r"(?:passw\w{0,12}|passwd|pwd|token|secret|(?:api|access|private|secret)[_-]?key|auth\w{0,12}|credentials?)"
-#: What stands before a value, the value; before a password in a URL, the password; a private key.
+#: What stands before a value, the value; before a password in a URL, the password; a private key. No length is too long.
 NAMED = (
-    rf"((?i:{NAME})[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?)([^\s\"'<>,;(){{}}]{{8,200}})"
-    r"|(://[^\s:@/]{1,64}:)([^\s@/]{4,100})(?=@)"
-    r"|(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----)"
+    rf"((?i:{NAME})[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?)([^\s\"'<>,;(){{}}]{{8,}}+)"
+    r"|(://[^\s:@/]++:)([^\s@/]{4,}+)(?=@)"
+    r"|(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,20}PRIVATE KEY-----)"
 )
 #: Signed tokens; runs with a digit; long runs with a capital inside.
 RUNS = (
@@ -131,6 +131,10 @@ def labelled_findings(spark: SparkSession, n: int = 12000) -> DataFrame:
         (1, F.concat(F.lit("eyJ"), F.substring(mixed, 1, 33), F.lit("."), F.substring(mixed, 5, 40), F.lit("."), F.substring(mixed, 9, 43)), F.concat(plain, pick("Bearer ", "", "token: ", "jwt ")), F.lit(" ")),
         (1, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), mixed, F.lit("\n-----END RSA PRIVATE KEY-----")), plain, F.lit("\n")),
         (1, F.concat(word(1, 3), F.substring(mixed, 1, 7)), F.concat(plain, pick("postgres", "https", "amqp"), F.lit("://"), word(9, 5), F.lit(":")), F.concat(F.lit("@"), word(20, 6), F.lit(".example"))),
+        (1, F.concat(word(1, 6), dictionary(1), word(30, 5), dictionary(2), word(40, 4)), F.concat(plain, names), closed),
+        (1, hexes(128), F.concat(plain, names), closed),
+        (1, F.repeat(F.substring(mixed, 1, 48), 6), F.concat(plain, names), closed),
+        (0, F.left(F.concat(dictionary(3), word(1, 6)), F.lit(11)), F.concat(plain, names), closed),
         (0, hexes(40), F.concat(plain, pick("commit ", "sha1: ", "revision ", "digest=", "etag: ")), F.lit(" ")),
         (0, hexes(64), F.concat(plain, pick("sha256:", "checksum ", "hash = ", "digest: ")), F.lit(" ")),
         (0, hexes(32), F.concat(plain, pick("/files/", "img/", "https://host.example/", "cache/")), pick(".png", ".html", "/", " ")),
@@ -185,13 +189,12 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, mask: str = "[SEC
     Secrets are found and masked in each row's own text: rows with a null or repeated doc_id do not
     share them.
     """
-    keyed = docs.withColumn("_key", row_key())
-    found = scan(keyed.select("_key", "text"), findings, threshold, ["_key"])
-    secrets = found.filter("is_secret").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct(-F.length("candidate"), "candidate"))).alias("_secrets"))
-    joined = keyed.join(secrets, "_key", "left")
-    cleaned = F.aggregate("_secrets", F.col("text"), lambda text, s: F.replace(text, s["candidate"], F.lit(mask)))
-    changed = F.col("_secrets").isNotNull()
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    found = scan(docs.select(row_key().alias("key"), "text"), findings, threshold, ["key"])
+    secrets = found.filter("is_secret").groupBy("key").agg(F.array_sort(F.collect_set(F.struct(-F.length("candidate"), "candidate"))).alias("secrets"))
+    joined = docs.select(F.struct("*").alias("row"), row_key().alias("key")).join(secrets, "key", "left")
+    cleaned = F.aggregate("secrets", F.col("row.text"), lambda text, s: F.replace(text, s["candidate"], F.lit(mask)))
+    changed = F.col("secrets").isNotNull()
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
     columns["text"] = F.when(changed, cleaned).otherwise(columns["text"])
     if "n_chars" in columns:
         columns["n_chars"] = F.when(changed, F.length(cleaned).cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
