@@ -1,11 +1,14 @@
 """A training corpus from raw documents: toxic ones go, copies go, secrets are masked, the rest is packed.
 
-Each stage reads what its predecessor wrote. All but the last return the columns of documents.
+Each stage reads what its predecessor wrote. All but the last return the columns of documents,
+whatever those are called. Null ids, null and empty texts and empty tables pass through every
+stage; of rows that repeat doc_id and text, exact deduplication leaves one.
 """
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veinway.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
 from veinway.llm.common import removed, shared_dir, table
@@ -13,11 +16,10 @@ from veinway.llm.queries import MAX_COST, MAX_DOCS, tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity scores reject."""
-    keyed = docs.withColumn("_key", near_dedup.row_key())
-    scored = toxicity.scored_rows(keyed.select("_key", "text"), docs, table(spark, sf_dir, "labels"))
-    toxic = scored.filter("score >= 0.5").select("_key").distinct()
-    return keyed.join(toxic, "_key", "left_anti").select(*docs.columns)
+    """Drops the documents that the toxicity scores reject; null and empty texts and rows without an id are scored too."""
+    scored = toxicity.scored_rows(docs.select(near_dedup.row_key().alias("key"), "text"), docs, table(spark, sf_dir, "labels"))
+    toxic = scored.filter("score >= 0.5").select("key").distinct()
+    return docs.select(F.struct("*").alias("row"), near_dedup.row_key().alias("key")).join(toxic, "key", "left_anti").select("row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Learned scores and packing are beyond SQL; tests hold each stage against a brute-force version.
+#: Learned scores and packing are beyond SQL; tests hold each operator against a brute-force version, the stages against planted rows.
 ORACLE_SQL = None
 
 
