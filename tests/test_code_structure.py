@@ -58,6 +58,12 @@ def test_unresolved_by_hops(spark):
     assert code_structure.unresolved(empty, spark.createDataFrame([], "src string, dst string"), fields).count() == 0
 
 
+def test_only_the_bracket_is_drawn_up(spark):
+    rows = [(1, "e", "E", "ApiEndpoint", "  one.ship \n\n  ( two.max(1),\n 2); three.go()\nfour.go (5)")]
+    got = code_structure.unresolved(spark.createDataFrame(rows, ENTITY), spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "field string, type string")).collect()
+    assert {(r.receiver, r.method, r.evidence) for r in got} == {("one", "ship", "one.ship("), ("two", "max", "two.max(1),"), ("three", "go", "2); three.go()"), ("four", "go", "four.go (5)")}
+
+
 def test_distances_of_a_cycle_and_a_chain(spark):
     edges = [(i, i + 1) for i in range(9)] + [(9, 0), (4, 8), (20, 21)]
     got = code_structure.distances(spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in edges], "src string, dst string"), spark.createDataFrame([("v0",), ("v6",), (None,)], "id string")).collect()

@@ -108,13 +108,13 @@ def unresolved(entities: DataFrame, edges: DataFrame, fields: DataFrame, most_ho
     with a capital. Each type is given once, by its last part: from the first call in the order of n and of
     the text, one hop beyond the calling entity; an entity that no ApiEndpoint reaches counts as 2 hops
     away, entities at most_hops or more are not read. Types that are only ends of edges have one hop and
-    no receiver. A bracket on a later line is drawn up to its name.
+    no receiver. A bracket on a later line is drawn up to its name; what follows it stays on its line.
     """
     known = entities.select(last_part(F.col("name")).alias("short")).dropna().distinct()
     hops = distances(edges, entities.filter("entity_type = 'ApiEndpoint'").select(F.col("external_id").alias("id")))
     away = F.coalesce("hops", F.lit(FAR))
     read = entities.filter("snippet <> ''").join(hops, F.col("external_id") == F.col("node"), "left").withColumn("hops", away).filter(F.col("hops") < most_hops)
-    drawn = F.regexp_replace("snippet", r"(\w\.\w+)[^\S\n]*\n\s*\(", "$1(")
+    drawn = F.regexp_replace("snippet", r"(\w\.\w+)[^\S\n]*\n\s*\(", "$1(\n")
     lines = read.select("n", "hops", F.posexplode(F.split(drawn, "\n")).alias("line", "said"))
     call = F.lit(r"\b(\w+)\.(\w+)\s*\(")
     pairs = F.arrays_zip(F.regexp_extract_all("said", call, F.lit(1)).alias("receiver"), F.regexp_extract_all("said", call, F.lit(2)).alias("method"))
