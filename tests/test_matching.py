@@ -3,7 +3,13 @@
 import random
 import re
 
+import duckdb
+from pyspark.sql import functions as F
+
+import __spark_entry__  # noqa: F401
+from tests.oracle import same
 from veinway.operators import graph, matching
+from veinway.plans import registry
 
 
 def ilike(text, name):
@@ -77,3 +83,41 @@ def test_betweenness_on_random_graphs(spark):
         got = graph.betweenness(spark.createDataFrame([*edges, edges[0], (None, "1")], "src string, dst string"), spark.createDataFrame([(p,) for p in pivots], "id string"))
         assert {r.id: round(r.score, 6) for r in got.collect() if r.score} == shares(edges, pivots)
     assert graph.betweenness(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([("a",)], "id string")).count() == 0
+
+
+def test_parts_meet_every_document_row(spark, tmp_path):
+    """Rows that repeat a doc_id count each, a part that two names match counts once, and a part without a brand has no sized name."""
+    docs = [(1, "brand#1x5 and redo"), (1, "REDO"), (2, "brand#1_5"), (3, None), (None, "redo 7")]
+    parts = [("red bolt", "Brand#1", 5), ("red bolt", "Brand#1", 5), ("red bolt", "Brand#2", 5), ("Redo it", "Brand#1", 5), ("Redo it", None, 7), ("gone", None, 7), ("hot nut", "Brand#1", 5)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.execute("CREATE TABLE part (p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_size INTEGER)")
+    con.executemany("INSERT INTO part VALUES (?, ?, ?, ?)", [(i, *p) for i, p in enumerate(parts)])
+    for name in ("documents", "part"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    same(registry.QUERIES["part_mentions"](spark, str(tmp_path)), con, registry.ORACLE_SQL["part_mentions"])
+
+
+def test_lists_of_short_names_hold_nothing_else(spark):
+    """Names of digits share their grams of three; the lists that are looked at are still those of the whole names."""
+    ids = spark.range(3000).select(F.col("id").alias("_row"), F.concat(F.lit("src/é/"), (F.col("id") * 2654435761 % 9000000 + 1000000).cast("string")).alias("_text"))
+    names = spark.range(100, 20000, 7).select(F.col("id").cast("string").alias("_name"))
+    wanted = names.mapInArrow(matching.literal_grams, "_name string, _gram long, _slot long, _whole boolean").cache()
+    assert wanted.filter("_whole").count() == names.count() == wanted.count()
+    looked = matching.gram_lists(ids, matching.sieve(wanted), 100).join(wanted, "_gram").select("_row", "_name")
+    texts, wanted_names = ids.collect(), [r[0] for r in names.collect()]
+    want = sorted((t[0], n) for t in texts for n in wanted_names if n in t[1])
+    assert sorted(map(tuple, looked.collect())) == want
+    assert sorted(map(tuple, matching.held_names(ids.localCheckpoint(), names, 5).collect())) == want
+
+
+def test_backfill_looks_for_longer_names_first(spark, monkeypatch):
+    """What a longer name has met is not looked at again."""
+    seen, held = [], matching.held_names
+    monkeypatch.setattr(matching, "held_names", lambda body, names, rows: (seen.append(body.count()), held(body, names, rows))[1])
+    nodes = spark.createDataFrame([("a", "x/123456789"), ("b", "x/12345"), ("c", "x/12"), ("d", "x/9"), ("d", "x/12345"), (None, "q"), ("e", "q")], "id string, external string")
+    batch = spark.createDataFrame([("q", "1"), ("r", "12345678"), ("s", "123456789"), ("t", "12345"), ("u", "9"), ("v", "x_123"), ("w", "12"), ("p", "12")], "q string, s string")
+    got = matching.backfilled(nodes, batch, "id", "external", "q", "s")
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", "s", "substring"), ("b", "t", "substring"), ("c", "p", "substring"), ("d", "t", "substring"), ("e", "q", "exact"), (None, "q", "exact")]
+    assert seen == [5, 4, 2, 1]

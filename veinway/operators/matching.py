@@ -1,69 +1,150 @@
 """Joins on what texts contain, without comparing every pair."""
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinway.lineage import pinned
 
 
-def grams(text: Column, sizes: tuple[int, ...] = (3, 2, 1)) -> Column:
-    """The distinct substrings of these lengths. A text is cut into its characters once, and these are laid side by side."""
-    chars = F.split(text, "")
-
-    def of(n: int) -> Column:
-        beside = F.arrays_zip(*[(F.slice(chars, i + 1, F.length(text)) if i else chars).alias(f"c{i}") for i in range(n)])
-        return F.filter(F.transform(beside, lambda x: F.concat(*[x[f"c{i}"] for i in range(n)])), lambda g: F.length(g) == n)
+#: The longest gram, in bytes: with its size it fills a whole number of eight bytes, so equal numbers are equal grams.
+LONGEST = 7
+#: The sieve of grams that are looked for: so many bits (8 MB), whatever the number of names.
+SIEVE_BITS = 26
+MIXER = 0x9E3779B97F4A7C15
 
-    return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(n), F.array().cast("array<string>")) for n in sizes])))
 
+def literal_grams(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_name, _gram, _slot, _whole): the grams that every match of a LIKE pattern holds, those of its literal parts, of the longest size that it has.
 
-def literal_grams(pattern: Column) -> Column:
-    """The grams that every match of a LIKE pattern holds: those of its literal parts, the longest kind that it has."""
-    parts = F.filter(F.split(pattern, "[%_]"), lambda p: p != "")
-    of = lambda n: F.array_distinct(F.flatten(F.transform(parts, lambda p: grams(p, (n,)))))
-    return F.when(F.size(of(3)) > 0, of(3)).when(F.size(of(2)) > 0, of(2)).otherwise(of(1))
+    `_slot` is a gram's place in the sieve; `_whole` tells that the gram is all of the name.
+    """
+    for batch in names:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for name in batch.column(0).to_pylist():
+            parts = re.split(b"[%_]", name.encode())
+            n = min(LONGEST, max(map(len, parts)))
+            whole = len(parts) == 1 and len(parts[0]) <= LONGEST
+            for gram in sorted({part[i : i + n] for part in parts for i in range(len(part) - n + 1)}) if n else ():
+                number = n << 56 | int.from_bytes(gram, "big")
+                for column, value in zip(out, (name, number, (number * MIXER & (1 << 64) - 1) >> 64 - SIEVE_BITS, whole), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], ["_name", "_gram", "_slot", "_whole"])
+
+
+def sieve(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The bits of the wanted grams by words of 64 (number and bits of each that isn't empty; 2^20 at most), and the grams' sizes."""
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    words = wanted.groupBy(F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(bit(F.col("_slot").bitwiseAND(63))).alias("bits"), F.bit_or(bit(F.shiftright("_gram", 56))).alias("sizes")).toArrow()
+    sizes = int(np.bitwise_or.reduce(words["sizes"].to_numpy())) if len(words) else 0
+    return words["word"].to_numpy(), words["bits"].to_numpy().view(np.uint64), [n for n in range(1, LONGEST + 1) if sizes >> n & 1]
+
+
+def gram_lists(body: DataFrame, kept: tuple[np.ndarray, np.ndarray, list[int]], most_bytes: int = 1 << 20) -> DataFrame:
+    """(_row, _gram): the grams of texts (_row, _text) that pass the sieve, each once a row; about `most_bytes` of text are looked at at a time."""
+    numbers, bits, sizes = kept
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
+        words[numbers] = bits
+        for batch in batches:
+            text = batch.column(1).cast(pa.large_binary())
+            rows = batch.column(0).to_numpy()
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(text.buffers()[2], np.uint8)
+            first = 0
+            while first < len(rows):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + most_bytes, "right")) - 1)
+                d = data[ends[first] : ends[last]].astype(np.uint64)
+                of = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+                left = ends[of + 1] - ends[first] - np.arange(len(d))  # bytes of the text from here on
+                value = np.zeros(len(d), np.uint64)
+                found_rows, found = [], []
+                for n in range(1, sizes[-1] + 1):
+                    value = value[: len(d) - n + 1] << np.uint64(8) | d[n - 1 :]
+                    if n not in sizes or not len(value):
+                        continue
+                    number = value | np.uint64(n << 56)
+                    slot = number * np.uint64(MIXER) >> np.uint64(64 - SIEVE_BITS)
+                    at = np.flatnonzero((words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool) & (left[: len(value)] >= n))
+                    found_rows.append(of[at])
+                    found.append(number[at])
+                r, g = np.concatenate(found_rows or [of[:0]]), np.concatenate(found or [d[:0]])
+                order = np.lexsort((g, r))
+                r, g = r[order], g[order]
+                once = np.ones(len(r), bool)
+                once[1:] = (r[1:] != r[:-1]) | (g[1:] != g[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[r[once]]), pa.array(g[once].view(np.int64))], ["_row", "_gram"])
+                first = last
+
+    return body.mapInArrow(cut, "_row long, _gram long") if sizes else body.select("_row", F.lit(0).cast("long").alias("_gram")).limit(0)
+
+
+def held_names(body: DataFrame, names: DataFrame, rows_a_task: int) -> DataFrame:
+    """(_row, _name): which texts (_row, _text) hold which names (_name), both in lower case and not empty; body must be stored."""
+    wanted = pinned(names.select("_name").distinct().mapInArrow(literal_grams, "_name string, _gram long, _slot long, _whole boolean"))
+    kept = sieve(wanted)
+    lengths = gram_lists(body, kept).groupBy("_gram").agg(F.count("*").alias("_n"))
+    least = F.min_by(F.struct("_gram", "_slot", "_whole", "_n"), F.struct("_n", "_gram")).alias("least")
+    rarest = pinned(wanted.join(lengths, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).groupBy("_name").agg(least).select("_name", "least.*").filter("_n > 0"))
+    lists = gram_lists(body, sieve(rarest))
+    salts = F.ceil(F.col("_n") / rows_a_task).cast("int")
+    long = rarest.filter(F.col("_n") > rows_a_task).select("_gram", salts.alias("_salts")).distinct()  # no more than there are gram places by rows_a_task
+    dealt = lists.join(F.broadcast(long), "_gram", "left").select("_row", "_gram", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_salts")), F.lit(0)).cast("int").alias("_salt"))
+    asked = rarest.select("_name", "_gram", "_whole", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    near = dealt.join(asked, ["_gram", "_salt"]).select("_row", "_name", "_whole")
+    sure = near.filter("_whole").select("_row", "_name")
+    if rarest.filter("NOT _whole").isEmpty():
+        return sure
+    matches = F.expr("_text LIKE concat('%', _name, '%') ESCAPE '\\0'")
+    return sure.unionAll(near.filter("NOT _whole").join(body, "_row").filter(matches).select("_row", "_name"))
 
 
 def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str, rows_a_task: int = 50_000) -> DataFrame:
     """All pairs of a row of `texts` and a row of `names` with text ILIKE '%' || name || '%'; the columns of both sides.
 
-    An inverted index maps grams to texts. A name looks at one list only, that of the rarest
-    three-letter gram of its literal parts (shorter grams where it has none of three), and each text on it is then
+    An inverted index maps grams of up to seven bytes to texts; of a text only grams that pass a sieve of
+    the names' grams are written. A name looks at one list only, that of the rarest gram of its literal parts,
+    which are as long as the longest part allows; a gram that is the whole name needs no comparing, other texts on the list are
     compared. A list of more than `rows_a_task` texts is dealt over several tasks. `%` and `_` in a name match
     as they do in LIKE; a name without any other character matches nothing, nor does a null. A
     backslash in a name is an ordinary character. Names that are equal but for case share one search.
     """
-    low_text, low_name = F.lower(text), F.lower(name)
     left = pinned(texts.withColumn("_row", F.monotonically_increasing_id()))
-    body = left.select("_row", low_text.alias("_text")).filter("_text <> ''")
-    wanted = names.select(low_name.alias("_name")).filter("_name <> ''").distinct().withColumn("_gram", F.explode(literal_grams(F.col("_name"))))
-    wanted = pinned(wanted)
-    sizes = pinned(wanted.select(F.length("_gram").alias("n")).distinct()).collect()  # of at most three sizes
-    if not sizes:
-        return left.drop("_row").join(names, F.lit(False))
-    lists = body.select("_row", F.explode(grams(F.col("_text"), tuple(sorted((r.n for r in sizes), reverse=True)))).alias("_gram"))
-    lists = lists.join(wanted.select("_gram").distinct(), "_gram", "left_semi")
-    lengths = lists.groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = wanted.join(lengths, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("least")).filter("least.n > 0")
-    rarest = pinned(rarest.select("_name", F.col("least.gram").alias("_gram"), F.ceil(F.col("least.n") / rows_a_task).cast("int").alias("_salts")))
-    dealt = lists.join(rarest.select("_gram", "_salts").distinct(), "_gram").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int")).drop("_salts")
-    asked = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    matches = F.expr("_text LIKE concat('%', _name, '%') ESCAPE '\\0'")
-    found = dealt.join(asked, ["_gram", "_salt"]).select("_row", "_name").join(body, "_row").filter(matches).select("_row", "_name")
-    return left.join(found, "_row").join(names.withColumn("_name", low_name), "_name").drop("_row", "_name")
+    body = left.select("_row", F.lower(text).alias("_text")).filter("_text <> ''")
+    found = held_names(body, names.select(F.lower(name).alias("_name")).filter("_name <> ''"), rows_a_task)
+    return left.join(found, "_row").join(names.withColumn("_name", F.lower(name)), "_name").drop("_row", "_name")
 
 
-def backfilled(nodes: DataFrame, batch: DataFrame, node_key: str, external: str, qualified: str, simple: str) -> DataFrame:
+def backfilled(nodes: DataFrame, batch: DataFrame, node_key: str, external: str, qualified: str, simple: str, rows_a_task: int = 50_000) -> DataFrame:
     """(node_key, qualified, rule) of the batch row that each node takes over.
 
     An equal qualified name comes first; else the row whose simple name stands in the external id, the
-    longest of several, then the least qualified name. Nodes without a match have no row.
+    longest of several, then the least qualified name. Nodes without a match have no row. Names are
+    looked for from the longest down, those of one length up to seven at a time, and only in ids that have found none yet.
     """
-    ids, rows = nodes.select(node_key, external), batch.select(qualified, simple)
-    exact = ids.join(rows, F.col(external) == F.col(qualified)).withColumn("rule", F.lit("exact"))
-    within = substring_join(ids, rows, external, simple).withColumn("rule", F.lit("substring"))
-    best = F.min(F.struct("rule", (-F.length(simple)).alias("back"), F.col(qualified).alias("qualified"))).alias("best")
-    return exact.unionByName(within).groupBy(node_key).agg(best).select(node_key, F.col("best.qualified").alias(qualified), "best.rule")
+    left = pinned(nodes.select(node_key, external).withColumn("_row", F.monotonically_increasing_id()))
+    rows = batch.select(F.col(qualified).alias("_qualified"), F.length(simple).alias("_length"), F.lower(simple).alias("_name"))
+    exact = left.join(rows.select(F.col("_qualified").alias(external)).distinct(), external).select("_row", F.struct(F.lit("exact").alias("rule"), F.lit(0).alias("back"), F.col(external).alias("qualified")).alias("best"))
+    hits = pinned(exact)
+    named = rows.filter("_name <> ''").groupBy("_name").agg(F.min(F.struct(F.lit("substring").alias("rule"), (-F.col("_length")).alias("back"), F.col("_qualified").alias("qualified"))).alias("best"))
+    named = pinned(named.withColumn("_class", F.least(-F.col("best.back"), F.lit(LONGEST + 1))))
+    classes = sorted((r[0] for r in named.select("_class").distinct().collect()), reverse=True)  # eight at most
+    open_rows, found = left.select("_row", F.lower(external).alias("_text")).filter("_text <> ''"), [hits]
+    for each in classes:
+        open_rows = pinned(open_rows.join(found[-1], "_row", "left_anti"))
+        own = named.filter(F.col("_class") == each).select("_name", "best")
+        pairs = held_names(open_rows, own, rows_a_task)
+        found.append(pinned(pairs.join(own, "_name").groupBy("_row").agg(F.min("best").alias("best"))))
+    every = found[0]
+    for hits in found[1:]:
+        every = every.unionAll(hits)
+    best = left.select("_row", node_key).join(every, "_row").groupBy(node_key).agg(F.min("best").alias("best"))
+    return best.select(node_key, F.col("best.qualified").alias(qualified), "best.rule")
 
 
 def resolved_calls(calls: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame:
