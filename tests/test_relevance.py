@@ -22,3 +22,13 @@ def test_first_rung_that_gives_anything(spark):
     got = relevance.entry_points(e, spark.createDataFrame(rows, "request string, method string, path string"))
     assert sorted(map(tuple, got.collect())) == [("a", "one", 1), ("b", "one", 1), ("b", "two", 1), ("c", "one", 2), ("c", "two", 2), ("d", "listCompetitors", 3)]
     assert relevance.entry_points(e, spark.createDataFrame([], "request string, method string, path string")).count() == 0
+
+
+def test_names_are_looked_through_for_unmet_requests_only(spark, monkeypatch):
+    asked, join = [], relevance.substring_join
+    monkeypatch.setattr(relevance, "substring_join", lambda texts, names, *c: (asked.append(sorted(r.request for r in names.collect())), join(texts, names, *c))[1])
+    e = spark.createDataFrame([("pay", "ApiEndpoint", "GET /pay"), ("listPay", "Function", None)], "name string, entity_type string, signature string")
+    rows = [("a", "GET", "/pay"), ("b", "PUT", "/pay"), ("d", "GET", "/z/list"), ("c", None, "/x/pay"), ("c", "GET", "/y/list"), ("c", None, "/x/pay/{id}")]
+    got = relevance.entry_points(e, spark.createDataFrame(rows, "request string, method string, path string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "pay", 1), ("b", "pay", 2), ("c", "listPay", 3), ("c", "pay", 3), ("d", "listPay", 3)]
+    assert asked == [["a", "b", "c", "c", "c", "d"], ["d"], ["c", "c"]]

@@ -84,8 +84,11 @@ def gram_lists(body: DataFrame, kept: tuple[np.ndarray, np.ndarray, list[int]],
     return body.mapInArrow(cut, "_row long, _gram long") if sizes else body.select("_row", F.lit(0).cast("long").alias("_gram")).limit(0)
 
 
-def held_names(body: DataFrame, names: DataFrame, rows_a_task: int) -> DataFrame:
-    """(_row, _name): which texts (_row, _text) hold which names (_name), both in lower case and not empty; body must be stored."""
+HOLDS = "_whole OR _text LIKE concat('%', _name, '%') ESCAPE '\\0'"
+
+
+def near_names(body: DataFrame, names: DataFrame, rows_a_task: int) -> tuple[DataFrame, bool]:
+    """(_row, _name, _whole) of texts (_row, _text) that may hold a name (_name), both in lower case and not empty, and surely do where `_whole`; and whether all rows are sure. body must be stored."""
     wanted = pinned(names.select("_name").distinct().mapInArrow(literal_grams, "_name string, _gram long, _slot long, _whole boolean"))
     kept = sieve(wanted)
     lengths = gram_lists(body, kept).groupBy("_gram").agg(F.count("*").alias("_n"))
@@ -96,12 +99,13 @@ def held_names(body: DataFrame, names: DataFrame, rows_a_task: int) -> DataFrame
     long = rarest.filter(F.col("_n") > rows_a_task).select("_gram", salts.alias("_salts")).distinct()  # no more than there are gram places by rows_a_task
     dealt = lists.join(F.broadcast(long), "_gram", "left").select("_row", "_gram", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_salts")), F.lit(0)).cast("int").alias("_salt"))
     asked = rarest.select("_name", "_gram", "_whole", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    near = dealt.join(asked, ["_gram", "_salt"]).select("_row", "_name", "_whole")
-    sure = near.filter("_whole").select("_row", "_name")
-    if rarest.filter("NOT _whole").isEmpty():
-        return sure
-    matches = F.expr("_text LIKE concat('%', _name, '%') ESCAPE '\\0'")
-    return sure.unionAll(near.filter("NOT _whole").join(body, "_row").filter(matches).select("_row", "_name"))
+    return dealt.join(asked, ["_gram", "_salt"]).select("_row", "_name", "_whole"), rarest.filter("NOT _whole").isEmpty()
+
+
+def held_names(body: DataFrame, names: DataFrame, rows_a_task: int) -> DataFrame:
+    """(_row, _name): which texts (_row, _text) hold which names (_name)."""
+    near, sure = near_names(body, names, rows_a_task)
+    return (near if sure else near.join(body, "_row").filter(HOLDS)).select("_row", "_name")
 
 
 def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str, rows_a_task: int = 50_000) -> DataFrame:
@@ -116,8 +120,10 @@ def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str, row
     """
     left = pinned(texts.withColumn("_row", F.monotonically_increasing_id()))
     body = left.select("_row", F.lower(text).alias("_text")).filter("_text <> ''")
-    found = held_names(body, names.select(F.lower(name).alias("_name")).filter("_name <> ''"), rows_a_task)
-    return left.join(found, "_row").join(names.withColumn("_name", F.lower(name)), "_name").drop("_row", "_name")
+    near, sure = near_names(body, names.select(F.lower(name).alias("_name")).filter("_name <> ''"), rows_a_task)
+    met = left.withColumn("_text", F.lower(text)).join(near, "_row")
+    found = (met if sure else met.filter(HOLDS)).drop("_row", "_text", "_whole")
+    return found.join(names.withColumn("_name", F.lower(name)), "_name").drop("_name")
 
 
 def backfilled(nodes: DataFrame, batch: DataFrame, node_key: str, external: str, qualified: str, simple: str, rows_a_task: int = 50_000) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from veinway.lineage import pinned
 from veinway.operators.matching import substring_join
 
 # What is dropped and what counts how much.
@@ -67,17 +69,21 @@ def entry_points(entities: DataFrame, requests: DataFrame) -> DataFrame:
     Rung 1: endpoints whose signature holds the path and, where one is given, the method; 2: the path alone;
     3: endpoints and functions whose name holds the path's last part without braces, case aside. Only the
     first rung that gives anything counts for a request. Requests without a path have no entry. Both
-    containments go through the gram index, so no request is held against every entity.
+    containments go through the gram index, so no request is held against every entity, and names are looked
+    through only for requests that no path has met.
     """
     asked = requests.select("request", F.upper(F.coalesce("method", F.lit(""))).alias("method"), F.trim("path").alias("path")).filter("path <> ''").distinct()
     ends = entities.filter("entity_type = 'ApiEndpoint'").select("name", "signature").distinct()
     held = substring_join(ends, asked, "signature", "path").filter(F.contains("signature", "path"))
     rung = F.when((F.col("method") == "") | F.contains(F.upper("signature"), "method"), 1).otherwise(2)
-    by_path = held.select("request", "name", rung.alias("rung"))
+    by_path = pinned(held.select("request", "name", rung.alias("rung")).distinct())
+    first = by_path.groupBy("request").agg(F.min("rung").alias("rung"))
     parts = F.filter(F.split("path", "/"), lambda p: (p != "") & ~F.contains(p, F.lit("{")))
-    tails = asked.withColumn("tail", F.lower(F.try_element_at(parts, F.lit(-1)))).filter("tail IS NOT NULL").select("request", "tail")
+    tails = asked.withColumn("tail", F.lower(F.try_element_at(parts, F.lit(-1)))).filter("tail IS NOT NULL").select("request", "tail").distinct()
     named = entities.filter("entity_type IN ('ApiEndpoint', 'Function')").select("name").distinct()
-    by_name = substring_join(named, tails, "name", "tail").filter(F.contains(F.lower("name"), "tail")).select("request", "name", F.lit(3).alias("rung"))
-    every = by_path.unionByName(by_name)
-    first = every.groupBy("request").agg(F.min("rung").alias("rung"))
-    return every.join(first, ["request", "rung"]).select("request", "name", "rung").distinct()
+    unmet = pinned(tails.join(first, "request", "left_anti").withColumn("tails", F.count("*").over(Window.partitionBy("request"))))
+    below = lambda asking: substring_join(named, asking, "name", "tail").filter(F.contains(F.lower("name"), "tail")).select("request", "name", F.lit(3).alias("rung"))
+    by_name, several = below(unmet.filter("tails = 1")), unmet.filter("tails > 1")
+    if not several.isEmpty():  # only these can meet a name twice
+        by_name = by_name.unionAll(below(several).distinct())
+    return by_path.join(first, ["request", "rung"]).select("request", "name", "rung").unionByName(by_name)
