@@ -146,3 +146,14 @@ def test_chain_finds_a_rewritten_entry(spark):
 def test_closure_goes_to_the_end(spark):
     e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], "src string, dst string")
     assert graph.closure(e, spark.createDataFrame([("n000",)], "id string")).count() == 61
+
+
+def test_edge_ends_deal_edges_once(spark):
+    from veinway.operators import lookups
+
+    edges = spark.createDataFrame([("C", "a", "b"), ("C", "a", "b"), ("C", "a", "c"), ("D", "a", "b"), ("C", "b", "x"), (None, "b", "c"), ("C", None, "b")], "etype string, src string, dst string")
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "B")], "id string, node_type string")
+    got = lookups.edge_ends(edges, nodes)
+    assert sorted(map(tuple, got.collect()), key=str) == [("A", "B", "C", 2), ("A", "B", "D", 1), ("B", "B", None, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") > plan.rindex("Aggregate")
