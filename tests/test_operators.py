@@ -1,6 +1,8 @@
 """Literal cases of single operators."""
 
 import datetime as dt
+import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -157,3 +159,28 @@ def test_edge_ends_deal_edges_once(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("A", "B", "C", 2), ("A", "B", "D", 1), ("B", "B", None, 1)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RepartitionByExpression") > plan.rindex("Aggregate")
+
+
+def test_bm25_keeps_the_best_of_each_corpus_in_blocks_of_queries(spark):
+    rows = [("a", 1, ["x", "x", "y"]), ("a", 2, ["x"]), ("a", 2, ["x"]), ("a", 2, ["x", "z"]), ("a", 3, []), ("a", 4, None), ("b", 1, ["y", "z"]), ("b", 5, ["w"]), (None, 6, ["x"]), ("b", None, ["z"])]
+    docs = spark.createDataFrame(rows, "corpus string, id long, tokens array<string>").repartition(3)
+    queries = [(10, ["x", "z", "x"]), (20, ["y"]), (30, ["none"])]
+    want = set()
+    for c in ("a", "b"):
+        own = [(i, t) for k, i, t in rows if k == c]
+        sizes = [len(t) for _, t in own if t is not None]
+        tf = Counter((i, len(t), x) for i, t in own if t for x in t)
+        df = Counter(x for _, _, x in tf)
+        for q, terms in queries:
+            score = Counter()
+            for (i, dl, x), f in tf.items():
+                if x in terms:
+                    score[i] += math.log(1 + (len(own) - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl * len(sizes) / sum(sizes)))
+            best = sorted(score, key=lambda i: (-round(score[i], 6), i is not None, i or 0))[:2]
+            want |= {(q, c, i, round(score[i], 6), n) for n, i in enumerate(best, 1)}
+    asked = spark.createDataFrame(queries, "query_id long, tokens array<string>")
+    for most in (8_000_000, 1):
+        got = retrieval.bm25_top_k(docs, asked, ["corpus"], 2, most_numbers=most)
+        assert {(r.query_id, r.corpus, r.id, r.score, r["rank"]) for r in got.collect()} == want
+    one = retrieval.bm25_top_k(docs, asked.withColumn("corpus", F.lit("b")), ["corpus"], 2)
+    assert {tuple(r) for r in one.select("query_id", "corpus", "id").collect()} == {x[:3] for x in want if x[1] == "b"}

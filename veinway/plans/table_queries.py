@@ -179,15 +179,15 @@ scored AS (SELECT query_id, source, id, round(sum(ln(1 + (n - df + 0.5) / (df +
     FROM (SELECT query_id, unnest(tokens) AS term FROM queries) q JOIN tf USING (term) JOIN df USING (source, term) JOIN stats USING (source) GROUP BY ALL)"""
 
 
-def bm25_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", retrieval.code_tokens(F.col("text")).alias("tokens"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.code_tokens(F.col("text")).alias("tokens"))
-    return retrieval.bm25(docs, queries, ["source"]).withColumn("score", F.round("score", 6))
+def bm25_best(spark, sf_dir, k):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "source", retrieval.code_tokens(F.col("text")).alias("tokens"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), retrieval.code_tokens(F.col("text")).alias("tokens"))
+    return retrieval.bm25_top_k(docs, queries, ["source"], k)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, source, id, score, CAST(row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 3")
 def bm25_topk(spark, sf_dir):
-    return retrieval.top_k(bm25_scores(spark, sf_dir), ["query_id", "source"], "score", 3)
+    return bm25_best(spark, sf_dir, 3)
 
 
 DENSE_SQL = """pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label AS la, b.label AS lb, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0)"""
@@ -223,7 +223,7 @@ d AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sco
 SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.id, d.id) AS id, round(coalesce(1.0 / (60 + l.r), 0) + coalesce(1.0 / (60 + d.r), 0), 8) AS score FROM l FULL JOIN d ON l.query_id = d.query_id AND l.id = d.id""")
 def hybrid_rrf(spark, sf_dir):
     """Lexical ranks of the benchmark items fused with dense ranks; a document's vector, and an item's, is that of its number."""
-    best = bm25_scores(spark, sf_dir).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    best = bm25_best(spark, sf_dir, 20).groupBy("query_id", "id").agg(F.max("score").alias("score"))  # of 20 documents, none is below the 20th of its source
     lexical = retrieval.top_k(best, ["query_id"], "score", 20)
     v = vectors(spark, sf_dir).select("id", "embedding")
     asked = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "query_id")
