@@ -184,3 +184,23 @@ def test_bm25_keeps_the_best_of_each_corpus_in_blocks_of_queries(spark):
         assert {(r.query_id, r.corpus, r.id, r.score, r["rank"]) for r in got.collect()} == want
     one = retrieval.bm25_top_k(docs, asked.withColumn("corpus", F.lit("b")), ["corpus"], 2)
     assert {tuple(r) for r in one.select("query_id", "corpus", "id").collect()} == {x[:3] for x in want if x[1] == "b"}
+
+
+def test_walk_is_the_same_whether_nodes_are_few_or_many(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("b", "d"), ("d", "e"), ("e", "b"), ("f", "a"), ("c", None), (None, "a")]
+    edges = spark.createDataFrame([(s, d, k, i / 16) for i, (s, d) in enumerate(pairs) for k in ("X", "Y")], "src string, dst string, etype string, confidence double")
+    seeds = ["a", "f", "z"]
+    want = set()
+    for seed in seeds:
+        seen, level = {seed}, {seed}
+        for depth in (1, 2, 3):
+            found = {}
+            for i, (s, d) in enumerate(pairs):
+                if s in level and d not in seen:
+                    found[d] = max(found.get(d, 0), i / 16)
+            want |= {(seed, d, depth, "X", c) for d, c in found.items()}
+            seen, level = seen | set(found), set(found)
+    asked = spark.createDataFrame([(s,) for s in [*seeds, "a"]], "seed string")
+    for few in (0, 2, 100):
+        assert {tuple(r) for r in frontier.walk(edges, asked, 3, few=few).collect()} == want
+    assert frontier.few_values(edges, "dst", 5) is None and frontier.few_values(edges, "dst", 100).count() == 6
