@@ -121,3 +121,19 @@ def test_backfill_looks_for_longer_names_first(spark, monkeypatch):
     got = matching.backfilled(nodes, batch, "id", "external", "q", "s")
     assert sorted(map(tuple, got.collect()), key=str) == [("a", "s", "substring"), ("b", "t", "substring"), ("c", "p", "substring"), ("d", "t", "substring"), ("e", "q", "exact"), (None, "q", "exact")]
     assert seen == [5, 4, 2, 1]
+
+
+def test_lists_of_long_names_hold_nothing_else(spark):
+    """Names that share all grams of seven with other texts meet those texts only that hold them whole; names of all sizes are found."""
+    ids = spark.range(2000).select(F.col("id").alias("_row"), F.concat(F.lit("src/"), (F.col("id") % 40 + 10).cast("string"), F.lpad((F.col("id") / 40).cast("int").cast("string"), 9, "0")).alias("_text")).localCheckpoint()
+    names = spark.range(400).select(F.concat((F.col("id") % 40 + 10).cast("string"), F.lpad((F.col("id") / 40).cast("int").cast("string"), 8, "0")).alias("_name"))
+    near, sure = matching.near_names(ids, names, 50_000)
+    texts, wanted = ids.collect(), [r[0] for r in names.collect()]
+    want = sorted((t[0], n) for t in texts for n in wanted if n in t[1])
+    assert not sure and want and sorted((r[0], r[1]) for r in near.collect()) == want
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdé_0") for _ in range(400))
+    parts = [text[i : i + n] for n in range(1, 90) for i in (0, 400 - n, rng.randrange(400 - n))]
+    rows = spark.createDataFrame([(1, text), (2, text[:70]), (3, text[200:]), (4, "ab")], "t long, text string")
+    got = matching.substring_join(rows, spark.createDataFrame([(p,) for p in dict.fromkeys(parts)], "name string"), "text", "name")
+    assert sorted((r.t, r.name) for r in got.collect()) == sorted((t, n) for t, x in rows.collect() for n in dict.fromkeys(parts) if n.strip("_") and ilike(x, n))

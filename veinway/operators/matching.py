@@ -11,11 +11,52 @@ from pyspark.sql import functions as F
 from veinway.lineage import pinned
 
 
-#: The longest gram, in bytes: with its size it fills a whole number of eight bytes, so equal numbers are equal grams.
+#: The longest gram, in bytes, that is a number as it is: with its size it fills a whole number of eight bytes, so equal numbers are equal grams.
 LONGEST = 7
+#: The sizes of grams. Those above LONGEST are numbers by a hash of 56 bits below the size's place among these.
+SIZES = [*range(1, 17), *range(20, 33, 4), *range(40, 65, 8)]
 #: The sieve of grams that are looked for: so many bits (8 MB), whatever the number of names.
 SIEVE_BITS = 26
 MIXER = 0x9E3779B97F4A7C15
+ALL_BITS = (1 << 64) - 1
+
+
+def folded(left, right):
+    """A hash of two, for numbers (below 2^64) and for arrays of them alike."""
+    one = isinstance(left, int)
+    mixer, shift, cut = (MIXER, 32, ALL_BITS) if one else (np.uint64(MIXER), np.uint64(32), np.uint64(ALL_BITS))
+    x = left * mixer + right & cut
+    x = (x ^ x >> shift) * mixer & cut
+    return x ^ x >> shift
+
+
+def block_number(block: bytes) -> int:
+    """The number of 8, 16, 32 or 64 bytes."""
+    half = len(block) // 2
+    return int.from_bytes(block, "big") if half == 4 else folded(block_number(block[:half]), block_number(block[half:]))
+
+
+def gram_number(gram: bytes) -> int:
+    """The number of a gram of one of the SIZES; a long one is that of the two blocks, of the largest power of two, at its ends."""
+    n = len(gram)
+    if n <= LONGEST:
+        return n << 56 | int.from_bytes(gram, "big")
+    width = 1 << n.bit_length() - 1
+    return SIZES.index(n) + 1 << 56 | folded(block_number(gram[:width]), block_number(gram[n - width :])) & (1 << 56) - 1
+
+
+def numbers_by_size(d: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the sizes, ascending, the numbers of all grams of bytes d by their place, as gram_number gives them."""
+    value, width = np.zeros(len(d), np.uint64), 8
+    for n in range(1, min(sizes[-1], 8) + 1):
+        value = value[: max(0, len(d) - n + 1)] << np.uint64(8) | d[n - 1 :]
+        if n <= LONGEST and n in sizes:
+            yield n, value | np.uint64(n << 56)
+    for n in sizes:
+        if LONGEST < n <= len(d):
+            while width * 2 <= n:
+                value, width = folded(value[:-width], value[width:]), width * 2
+            yield n, folded(value[: len(d) - n + 1], value[n - width :]) & np.uint64((1 << 56) - 1) | np.uint64(SIZES.index(n) + 1 << 56)
 
 
 def literal_grams(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,11 +68,12 @@ def literal_grams(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list, list, list] = ([], [], [], [])
         for name in batch.column(0).to_pylist():
             parts = re.split(b"[%_]", name.encode())
-            n = min(LONGEST, max(map(len, parts)))
+            most = max(map(len, parts))
+            n = max((size for size in SIZES if size <= most), default=0)
             whole = len(parts) == 1 and len(parts[0]) <= LONGEST
             for gram in sorted({part[i : i + n] for part in parts for i in range(len(part) - n + 1)}) if n else ():
-                number = n << 56 | int.from_bytes(gram, "big")
-                for column, value in zip(out, (name, number, (number * MIXER & (1 << 64) - 1) >> 64 - SIEVE_BITS, whole), strict=True):
+                number = gram_number(gram)
+                for column, value in zip(out, (name, number, (number * MIXER & ALL_BITS) >> 64 - SIEVE_BITS, whole), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], ["_name", "_gram", "_slot", "_whole"])
 
@@ -41,7 +83,7 @@ def sieve(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
     words = wanted.groupBy(F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(bit(F.col("_slot").bitwiseAND(63))).alias("bits"), F.bit_or(bit(F.shiftright("_gram", 56))).alias("sizes")).toArrow()
     sizes = int(np.bitwise_or.reduce(words["sizes"].to_numpy())) if len(words) else 0
-    return words["word"].to_numpy(), words["bits"].to_numpy().view(np.uint64), [n for n in range(1, LONGEST + 1) if sizes >> n & 1]
+    return words["word"].to_numpy(), words["bits"].to_numpy().view(np.uint64), [n for i, n in enumerate(SIZES, 1) if sizes >> i & 1]
 
 
 def gram_lists(body: DataFrame, kept: tuple[np.ndarray, np.ndarray, list[int]], most_bytes: int = 1 << 20) -> DataFrame:
@@ -62,15 +104,10 @@ def gram_lists(body: DataFrame, kept: tuple[np.ndarray, np.ndarray, list[int]],
                 d = data[ends[first] : ends[last]].astype(np.uint64)
                 of = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
                 left = ends[of + 1] - ends[first] - np.arange(len(d))  # bytes of the text from here on
-                value = np.zeros(len(d), np.uint64)
                 found_rows, found = [], []
-                for n in range(1, sizes[-1] + 1):
-                    value = value[: len(d) - n + 1] << np.uint64(8) | d[n - 1 :]
-                    if n not in sizes or not len(value):
-                        continue
-                    number = value | np.uint64(n << 56)
+                for n, number in numbers_by_size(d, sizes):
                     slot = number * np.uint64(MIXER) >> np.uint64(64 - SIEVE_BITS)
-                    at = np.flatnonzero((words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool) & (left[: len(value)] >= n))
+                    at = np.flatnonzero((words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool) & (left[: len(number)] >= n))
                     found_rows.append(of[at])
                     found.append(number[at])
                 r, g = np.concatenate(found_rows or [of[:0]]), np.concatenate(found or [d[:0]])
@@ -111,9 +148,9 @@ def held_names(body: DataFrame, names: DataFrame, rows_a_task: int) -> DataFrame
 def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str, rows_a_task: int = 50_000) -> DataFrame:
     """All pairs of a row of `texts` and a row of `names` with text ILIKE '%' || name || '%'; the columns of both sides.
 
-    An inverted index maps grams of up to seven bytes to texts; of a text only grams that pass a sieve of
+    An inverted index maps grams of up to 64 bytes to texts; of a text only grams that pass a sieve of
     the names' grams are written. A name looks at one list only, that of the rarest gram of its literal parts,
-    which are as long as the longest part allows; a gram that is the whole name needs no comparing, other texts on the list are
+    which are as long as the longest part allows; a gram of up to seven bytes that is the whole name needs no comparing, other texts on the list are
     compared. A list of more than `rows_a_task` texts is dealt over several tasks. `%` and `_` in a name match
     as they do in LIKE; a name without any other character matches nothing, nor does a null. A
     backslash in a name is an ordinary character. Names that are equal but for case share one search.
