@@ -1,5 +1,7 @@
 """Column lineage of SQL statements, held against what can be read off them."""
 
+import pyarrow as pa
+
 from veinway.operators import statements
 
 
@@ -58,3 +60,21 @@ def test_statement_kinds(spark):
     assert got[1].tables == ["t"] and sorted(got[1].columns) == ["a", "b"] and got[1].tier == "prepared_statement" and got[2].columns == ["c"]
     assert got[6].tables == ["t", "u"] and got[8].tables == ["z"] and got[7].tables == []
     assert statements.parsed(spark.createDataFrame([], "stmt_id long, sql string")).count() == 0
+
+
+def test_equal_texts_are_read_once(monkeypatch):
+    seen, read = [], statements.read
+    monkeypatch.setattr(statements, "read", lambda sql: (seen.append(sql), read(sql))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["SELECT a FROM t", None, "SELECT a FROM t", "INSERT INTO u SELECT b FROM t", "SELECT a FROM t"])], ["stmt_id", "sql"])
+    (out,) = statements.first_of_texts(iter([batch]))
+    assert seen == ["SELECT a FROM t", "", "INSERT INTO u SELECT b FROM t"]
+    assert out["text_id"].to_pylist() == ["0.0", "0.1", "0.0", "0.2", "0.0"] and out["target"].to_pylist() == [None, None, None, "u", None]
+    assert [bool(f) for f in out["facts"].to_pylist()] == [True, False, False, True, False] and out["facts"][2].as_py() is None
+
+
+def test_lineage_of_repeated_texts_and_keys(spark):
+    """Each statement has the lineage of its text, those that repeat a text or a key too."""
+    sql = ["SELECT v.a FROM v", "CREATE VIEW v AS SELECT x AS a FROM t", "SELECT v.a FROM v", "CREATE VIEW v AS SELECT x AS a FROM t"]
+    assert lineage(spark, *sql) == {(i, "a"): {"t.x"} for i in range(4)}
+    rows = spark.createDataFrame([(7, "SELECT s.a AS p FROM (SELECT x AS a FROM t) s"), (7, "SELECT s.a AS q FROM (SELECT y AS a FROM u) s"), (8, "SELECT s.a AS p FROM (SELECT x AS a FROM t) s")], "stmt_id long, sql string")
+    assert sorted(map(tuple, statements.column_lineage(rows).collect())) == [(7, "p", "t", "x"), (7, "q", "u", "y"), (8, "p", "t", "x")]

@@ -10,7 +10,9 @@ inserts to stored tables, level by level.
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -290,26 +292,49 @@ def read(sql: str) -> tuple[str, str | None, list[str], list[str], list[tuple[st
     return kind, target, list(r.tables), list(r.columns), r.facts
 
 
-FACTS = "kind string, target string, tables array<string>, columns array<string>, facts array<struct<owner:string,name:string,via:string,column:string,several:boolean>>"
+FACTS = "array<struct<owner:string,name:string,via:string,column:string,several:boolean>>"
+FACT = pa.struct([("owner", pa.string()), ("name", pa.string()), ("via", pa.string()), ("column", pa.string()), ("several", pa.bool_())])
+READ = {"kind": pa.string(), "target": pa.string(), "tables": pa.list_(pa.string()), "columns": pa.list_(pa.string()), "facts": pa.list_(FACT)}
+
+
+def read_once(texts: pa.Array) -> tuple[dict[str, pa.Array], pa.Array]:
+    """What `read` says of each different text, and `tier`; and which of these each of the texts is."""
+    coded = texts.fill_null("").dictionary_encode()
+    different = coded.dictionary.to_pylist()
+    rows = list(zip(*map(read, different), strict=True)) or [()] * len(READ)
+    rows[-1] = [[dict(zip(("owner", "name", "via", "column", "several"), f, strict=True)) for f in facts] for facts in rows[-1]]
+    said = {name: pa.array(values, kind) for (name, kind), values in zip(READ.items(), rows, strict=True)}
+    said["tier"] = pa.array(["prepared_statement" if re.search(r"\?|:[a-zA-Z_]\w*", t) else "literal_string" for t in different], pa.string())
+    return said, coded.indices
 
 
 def parsed(statements: DataFrame, key: str = "stmt_id", sql: str = "sql") -> DataFrame:
     """(key, kind, target, tables, columns, facts, tier) of each statement. A null text is of kind OTHER and has no facts.
 
-    tier is `prepared_statement` where the text has placeholders (? or :name), else `literal_string`.
+    tier is `prepared_statement` where the text has placeholders (? or :name), else `literal_string`. Of
+    equal texts in an Arrow batch one is read.
     """
     key_type = statements.schema[key].dataType.simpleString()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [read(t or "") for t in batch[sql]]
-            out = pd.DataFrame(rows, columns=["kind", "target", "tables", "columns", "facts"])
-            out["facts"] = [[dict(zip(("owner", "name", "via", "column", "several"), f, strict=True)) for f in r] for r in out["facts"]]
-            out["tier"] = ["prepared_statement" if re.search(r"\?|:[a-zA-Z_]\w*", t or "") else "literal_string" for t in batch[sql]]
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
+            said, which = read_once(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(values.take(which) for values in said.values())], [key, *said])
+
+    return statements.select(key, sql).mapInArrow(each, f"`{key}` {key_type}, kind string, target string, tables array<string>, columns array<string>, facts {FACTS}, tier string")
 
-    return statements.select(key, sql).mapInPandas(each, f"`{key}` {key_type}, {FACTS}, tier string")
+
+def first_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text_id, target, facts) for (key, sql): equal texts of a batch have one text_id; only the first of them has a target and facts."""
+    task, done = TaskContext.get(), 0
+    for batch in batches:
+        said, which = read_once(batch.column(1))
+        ids = pa.array([f"{task.partitionId() if task else 0}.{done + i}" for i in range(len(said["facts"]))], pa.string())
+        done += len(ids)
+        firsts = np.zeros(len(which), bool)
+        firsts[np.unique(which.to_numpy(), return_index=True)[1]] = True
+        only = pa.array(which.to_numpy(), pa.int32(), mask=~firsts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids.take(which), said["target"].take(only), said["facts"].take(only)], [batch.schema.names[0], "text_id", "target", "facts"])
 
 
 def column_lineage(statements: DataFrame, catalog: DataFrame | None = None, key: str = "stmt_id", sql: str = "sql") -> DataFrame:
@@ -319,12 +344,13 @@ def column_lineage(statements: DataFrame, catalog: DataFrame | None = None, key:
     a cycle ends where it closes. `catalog` (table, column) settles columns without a qualifier and
     stars over several sources: a source that is known to have the column is preferred to one whose
     columns are not known. A star over a table without known columns stays '*'. A result that is
-    made of no column has no row.
+    made of no column has no row. Lineage is followed once for equal texts of an Arrow batch.
     """
-    read_all = pinned(parsed(statements, key, sql))
-    part = F.concat(F.col(key).cast("string"), F.lit("#"))
+    key_type = statements.schema[key].dataType.simpleString()
+    read_all = pinned(statements.select(key, sql).mapInArrow(first_of_texts, f"`{key}` {key_type}, text_id string, target string, facts {FACTS}"))
+    part = F.concat(F.col("text_id"), F.lit("#"))
     owner = lambda c: F.when(F.col(c).startswith("t:") | (F.col(c) == ""), F.col(c)).otherwise(F.concat(part, F.col(c)))
-    facts = read_all.select(key, F.explode("facts").alias("f")).select(key, "f.*")
+    facts = read_all.select("text_id", F.explode("facts").alias("f")).select("text_id", "f.*")
     facts = facts.select(owner("owner").alias("owner"), "name", owner("via").alias("via"), F.col("column").alias("via_column"), "several").filter("via <> ''")
     fills = read_all.filter("target IS NOT NULL").select(F.concat(F.lit("t:"), "target").alias("owner"), F.lit("*").alias("name"), F.concat(part, F.lit("s0")).alias("via"), F.lit("*").alias("via_column"), F.lit(False).alias("several"))
     edges = pinned(facts.unionByName(fills).distinct())
