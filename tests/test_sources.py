@@ -4,6 +4,7 @@ import json
 import random
 
 from veinway.operators import source_edges
+from veinway.plans import source_queries
 from veinway.sources import blame, openapi
 
 
@@ -92,3 +93,12 @@ def test_endpoints_are_met_by_method_and_path(spark):
     code = spark.createDataFrame([(1, "GET //a//{id}"), (2, "@PostMapping('/b/')"), (3, "post /b"), (4, "GET /b"), (5, None), (6, "get"), (7, "@RequestMapping('/b')"), (8, "GET /"), (9, "@GetMapping(value = \"/a/{id}\")")], "id int, signature string")
     got = source_edges.documented(ops, code)
     assert sorted((r.operation_id, r.endpoint) for r in got.collect()) == [("one", 1), ("one", 9), ("root", 8), ("two", 2), ("two", 3)]
+
+
+def test_interface_documents_are_written_by_many_tasks_and_read_once(spark, monkeypatch):
+    """References are followed on stored schemas."""
+    docs = source_queries.documents(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() >= 16
+    named, stored, pinned = openapi.schemas(openapi.parsed(docs)), [], openapi.pinned
+    monkeypatch.setattr(openapi, "pinned", lambda df: (stored.append(df.columns), pinned(df))[1])
+    assert openapi.resolved(named).count() == 8 * docs.count() and named.columns in stored

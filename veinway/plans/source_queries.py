@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinway.operators import source_edges
-from veinway.plans.graph_tables import table
+from veinway.plans.graph_tables import spread, table
 from veinway.plans.registry import query
 from veinway.sources import blame, openapi
 
@@ -53,7 +53,7 @@ DOCUMENT = """{"openapi": "3.1.0", "paths": {"/customers/%d": {
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, content): an interface document for each customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
     return c.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("file"), F.format_string(DOCUMENT, "c_custkey", "c_custkey", "c_mktsegment", "c_nationkey", "c_mktsegment").alias("content"))
 
 

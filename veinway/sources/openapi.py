@@ -6,6 +6,7 @@ its objects are exploded by key, and references between schemas are followed by
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veinway.lineage import pinned
 
@@ -88,8 +89,8 @@ def schemas(docs: DataFrame) -> DataFrame:
     new = fields(docs, "doc", "$.components.schemas", "file").withColumn("rank", F.lit(0))
     old = fields(docs, "doc", "$.definitions", "file").withColumn("rank", F.lit(1))
     rows = new.unionByName(old).filter(F.schema_of_variant("value").startswith("OBJECT"))
-    best = rows.groupBy("file", F.col("key").alias("name")).agg(F.min("rank").alias("rank"))
-    return rows.withColumnRenamed("key", "name").join(best, ["file", "name", "rank"]).select(
+    best = rows.withColumnRenamed("key", "name").withColumn("best", F.min("rank").over(Window.partitionBy("file", "name"))).filter("rank = best")
+    return best.select(
         "file", "name", F.coalesce(text("value", "$.type"), F.lit("object")).alias("type"),
         F.coalesce(F.try_variant_get("value", "$.required", "array<string>"), F.array().cast("array<string>")).alias("required"), F.col("value").alias("schema"),
     )
@@ -116,8 +117,10 @@ def resolved(named: DataFrame) -> DataFrame:
 
     depth is the least number of references; `missing` tells that no schema has that name, `cyclic` that
     a schema is part of itself. Schemas of different files don't meet. References are followed to the
-    fixpoint, with all pairs that were found before taken off, so a cycle ends where it closes.
+    fixpoint, with all pairs that were found before taken off, so a cycle ends where it closes. The named
+    schemas are stored, so documents are not read again for each place of a reference.
     """
+    named = pinned(named)
     steps = pinned(references(named))
     frontier = found = pinned(steps.withColumn("depth", F.lit(1)))
     depth = 1
