@@ -102,3 +102,19 @@ def test_interface_documents_are_written_by_many_tasks_and_read_once(spark, monk
     named, stored, pinned = openapi.schemas(openapi.parsed(docs)), [], openapi.pinned
     monkeypatch.setattr(openapi, "pinned", lambda df: (stored.append(df.columns), pinned(df))[1])
     assert openapi.resolved(named).count() == 8 * docs.count() and named.columns in stored
+
+
+def test_blame_reads_without_python(spark):
+    """Odd headers, times and nulls; no Python worker sees the lines."""
+    a, b = "A" * 40, "b" * 40
+    said = ["\tnone", "author ", "author-mail <<x>", "\tmail only", f"{a} 1 1", "author Ann", "author-time 1_0 ", "\tann", None, f"{b}", "author-time 999999999999", "author B b", "\t", f"{a[:39]} 1", "\tstill b", f"{a} 2 2", "author", "\tno name", "author-time x", "\t\tx"]
+    rows = [(f, i, raw) for f in ("f", None) for i, raw in enumerate(said)]
+    got = blame.blame_lines(spark.createDataFrame(rows, "file string, n long, raw string"))
+    want = [
+        (1, "", "", "", 0, "none"), (2, "x", "x", "", 0, "mail only"), (3, "Ann", "", a, 10, "ann"), (4, "B b", "", b, 0, ""), (5, "B b", "", b, 0, "still b"),
+        (6, "", "", a, 10, "no name"), (7, "", "", a, 0, "\tx"),
+    ]
+    found = sorted(((r.file or "", r.line_no, r.author, r.author_mail, r.commit_sha, int(r.commit_time.timestamp()), r.content) for r in got.collect()))
+    assert found == sorted((f, *w) for f in ("", "f") for w in want)
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan

@@ -1,56 +1,38 @@
 """Line-by-line authorship from the porcelain output of git blame."""
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
-
-HEX = set("0123456789abcdef")
-
-
-@udtf(returnType="file string, line_no int, author string, author_mail string, commit_sha string, commit_time timestamp, content string")
-class Blame:
-    """Reads the output lines (file, n, raw) of one file in order, and gives a row for each source line.
-
-    A header begins with a commit's 40 hex digits; what it says of the author holds for the lines
-    behind it. Where a commit comes again without its author, what was said first is taken.
-    """
-
-    def __init__(self):
-        self.file, self.line, self.sha, self.known = None, 0, "", {}
+from pyspark.sql.window import Window
 
-    def eval(self, row):
-        if row["file"] != self.file:
-            self.__init__()
-            self.file = row["file"]
-        raw = row["raw"] or ""
-        if raw.startswith("\t"):
-            self.line += 1
-            said = self.known.get(self.sha, {})
-            mail = said.get("author-mail", "").strip("<>")
-            yield self.file, self.line, said.get("author") or mail, mail, self.sha, self.time(said.get("author-time")), raw[1:]
-            return
-        head, _, rest = raw.partition(" ")
-        if len(head) == 40 and set(head.lower()) <= HEX:
-            self.sha = head
-            self.known.setdefault(head, {})
-        elif head in ("author", "author-mail", "author-time"):
-            self.known.setdefault(self.sha, {})[head] = rest
-
-    @staticmethod
-    def time(seconds):
-        try:
-            return datetime.fromtimestamp(int(seconds), tz=timezone.utc)
-        except (TypeError, ValueError, OverflowError, OSError):
-            return datetime.fromtimestamp(0, tz=timezone.utc)
+#: The seconds of the years 1 to 9999.
+EARLIEST, LATEST = -62_135_596_800, 253_402_300_799
 
 
 def blame_lines(output: DataFrame) -> DataFrame:
     """(file, line_no, author, author_mail, commit_sha, commit_time, content) of porcelain lines (file, n, raw), n giving their order.
 
-    The lines of a file lie in one partition and are read in order, one at a time. A line without a
-    commit has the sha ''; a time that is none is 1970; a null line counts as empty; an empty table is an empty result.
+    A header begins with a commit's 40 hex digits; what it says of the author holds for the lines
+    behind it. Where a commit comes again without its author, what was said last is taken. The lines of a
+    file lie in one partition. A line without a commit has the sha ''; a time that is none, or beyond the
+    years 1 to 9999, is 1970; a null line counts as empty; an empty table is an empty result.
     """
-    ordered = output.select(F.col("file").cast("string").alias("file"), "n", "raw")
-    return Blame(ordered.asTable().partitionBy("file").orderBy("n"))
+    raw = F.coalesce("raw", F.lit(""))
+    head, rest = F.substring_index("raw", " ", 1), F.regexp_replace("raw", r"(?s)^[^ ]* ?", "")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    in_file = Window.partitionBy("file").orderBy("n").rowsBetween(*so_far)
+    of_commit = Window.partitionBy("file", "sha").orderBy("n").rowsBetween(*so_far)
+    is_line, is_header = F.col("raw").startswith("\t"), head.rlike(r"^[0-9a-fA-F]{40}\z")
+    rows = output.select(F.col("file").cast("string").alias("file"), "n", raw.alias("raw"))
+    rows = rows.withColumns({
+        "line_no": F.sum(is_line.cast("int")).over(in_file).cast("int"), "sha": F.coalesce(F.last(F.when(is_header, head), ignorenulls=True).over(in_file), F.lit("")),
+    })
+    said = lambda what: F.last(F.when(head == what, rest), ignorenulls=True).over(of_commit)
+    known = rows.withColumns({"author": said("author"), "mail": said("author-mail"), "time": said("author-time")}).filter(is_line)
+    number = F.when(F.col("time").rlike(r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*\z"), F.regexp_replace("time", r"[\s_]", ""))
+    seconds = F.expr("try_cast(number AS BIGINT)")
+    mail = F.regexp_replace(F.coalesce("mail", F.lit("")), r"^[<>]+|[<>]+\z", "")
+    known = known.withColumn("number", number).withColumns({"seconds": F.when(seconds.between(EARLIEST, LATEST), seconds), "mail": mail})
+    return known.select(
+        "file", "line_no", F.coalesce(F.nullif("author", F.lit("")), "mail").alias("author"), F.col("mail").alias("author_mail"), F.col("sha").alias("commit_sha"),
+        F.timestamp_seconds(F.coalesce("seconds", F.lit(0))).alias("commit_time"), F.substring("raw", 2, 1 << 30).alias("content"),
+    )
