@@ -26,6 +26,7 @@ def blame_lines(output: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "line_no": F.sum(is_line.cast("int")).over(in_file).cast("int"), "sha": F.coalesce(F.last(F.when(is_header, head), ignorenulls=True).over(in_file), F.lit("")),
     })
+    rows = rows.filter(is_line | head.isin("author", "author-mail", "author-time"))  # the rest is not looked at again
     said = lambda what: F.last(F.when(head == what, rest), ignorenulls=True).over(of_commit)
     known = rows.withColumns({"author": said("author"), "mail": said("author-mail"), "time": said("author-time")}).filter(is_line)
     number = F.when(F.col("time").rlike(r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*\z"), F.regexp_replace("time", r"[\s_]", ""))
