@@ -213,3 +213,37 @@ def test_dense_queries_are_compared_a_slice_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MOST_ASKED", 3)
     for apart, want in whole.items():
         assert len(want) == 24 and rows(retrieval.dense_top_k(v, asked, 3, apart=apart)) == want
+
+
+def test_a_sieve_keeps_all_asked_and_shuffles_nothing(spark):
+    asked = spark.range(0, 3000, 3).select(F.concat(F.lit("o:"), F.col("id").cast("string")).alias("id"))
+    told = spark.range(20000).select(F.lit(1).alias("a"), F.concat(F.lit("o:"), F.col("id").cast("string")).alias("src"))
+    few, exact = frontier.among(asked, 5000)
+    assert exact and few(told, "src").count() == 1000
+    keep, exact = frontier.among(asked, 10)
+    got = keep(told, "src")
+    assert not exact and got.columns == ["a", "src"] and 1000 <= got.count() <= 1040
+    assert got.join(asked, F.col("src") == F.col("id"), "left_semi").count() == 1000
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert frontier.among(asked.limit(0), -1)[0](told, "src").count() == 0
+
+
+def test_traversals_by_sieve_and_with_repeated_edges(spark, monkeypatch):
+    """Edges that repeat and lack ends, read again at each level, with ids sent and by the sieve."""
+    pairs = [("n1", "r"), ("c1", "n1"), ("c2", "n1"), ("c2", "n2"), ("o1", "c1"), ("o2", "c2"), ("o2", "p"), ("x", "y"), ("n2", "n2"), (None, "n1"), ("n1", None)]
+    edges = spark.createDataFrame([(a, b, "CALLS", 0.5) for a, b in pairs + pairs[:5]], "src string, dst string, etype string, confidence double")
+    seeds = ["n1", "n2"]
+    near = {(s, s) for s in seeds} | {(a, b) for a, b in pairs if a in seeds} | {(b, a) for a, b in pairs if b in seeds}
+    want = sorted({(s, a, b) for s, x in near for a, b in pairs if x is not None and x in (a, b)}, key=str)
+    asked = spark.createDataFrame([(s,) for s in seeds], "seed string")
+    ids = spark.createDataFrame([("o1",), ("o2",)], "id string")
+    scores = []
+    for few in (100, 0):
+        monkeypatch.setattr(frontier.among, "__defaults__", (few,))
+        assert sorted(map(tuple, graph.two_hop(edges, asked).collect()), key=str) == want
+        got = graph.closure(edges, ids, store=False).collect()
+        assert len(got) == 9 and {r.id for r in got} == {"o1", "o2", "c1", "c2", "p", "n1", "n2", "r", None}
+        assert {(r.seed, r.node, r.depth) for r in frontier.walk(edges, ids.withColumnRenamed("id", "seed"), 2, few=few, store=False).collect()} == {
+            ("o1", "c1", 1), ("o1", "n1", 2), ("o2", "c2", 1), ("o2", "p", 1), ("o2", "n1", 2), ("o2", "n2", 2)}
+        scores.append(sorted(map(tuple, graph.betweenness(edges.select("src", "dst"), ids, graph.ends(edges)).filter("score > 0").collect())))
+    assert scores[0] == scores[1] and [i for i, _ in scores[0]] == ["c1", "c2", "n1"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veinway.lineage import pinned
-from veinway.operators.frontier import walk
+from veinway.operators.frontier import among, walk
 from veinway.operators.upserts import swapped
 
 def with_owner(found: DataFrame, owners: DataFrame) -> DataFrame:
@@ -28,24 +28,35 @@ def ranked(scores: DataFrame, score: str, n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "id")))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
+def ends(edges: DataFrame) -> DataFrame:
+    """(id) of everything at either end of an edge, stored; edges without an end are left out."""
+    return pinned(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, score): share of shortest paths through each node, from the pivots (id), scaled up to all nodes as sources.
 
     Brandes' sums, a level at a time for all pivots at once. Forwards, each level holds for each
     pivot and node how many shortest paths lead there; backwards, a node gets from each node a
     step further the share of that one's paths that it is on. State is one row for each pivot and
-    node that it reaches; edges are stored once and nothing passes the driver but counts. Pivots
-    that are in no edge count for nothing; edges without an end are left out.
+    node that it reaches; each level reads the edges and goes on with those that may leave its nodes,
+    so edges that are dear to work out should be stored; they may repeat. `nodes` are their ends, where the caller
+    has them. Pivots that are in no edge count for nothing; edges without an end are left out.
     """
-    pairs = pinned(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    nodes = pinned(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-    starts = pinned(pivots.select("id").distinct().join(nodes, "id", "left_semi"))
+    pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    nodes = ends(edges) if nodes is None else nodes
+    wanted = pinned(pivots.select("id").distinct())
+    keep, exact = among(wanted)
+    starts = pinned(keep(nodes, "id") if exact else keep(nodes, "id").join(wanted, "id", "left_semi"))
     n, asked = nodes.count(), starts.count()
     level = starts.select(F.col("id").alias("pivot"), F.col("id").alias("node"), F.lit(1.0).alias("paths"))
-    visited, levels = level.select("pivot", "node"), [level]
+    visited, levels, leaving = level.select("pivot", "node"), [level], []
     while True:
+        keep, exact = among(level.select("node"))
+        near = keep(pairs, "src").distinct()
+        leaving.append(pinned(near) if exact else near)
         reached = (
-            level.join(pairs, F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            level.join(leaving[-1], F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
             .join(visited, ["pivot", "node"], "left_anti")
         )
         level = pinned(reached)
@@ -55,10 +66,10 @@ def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
         visited = visited.unionAll(level.select("pivot", "node"))
     part: DataFrame | None = None
     parts = []
-    for nearer, further in zip(levels[-2::-1], levels[:0:-1], strict=True):
+    for nearer, further, near in zip(levels[-2::-1], levels[:0:-1], leaving[-2::-1], strict=True):
         shares = further.join(part, ["pivot", "node"], "left") if part is not None else further.withColumn("part", F.lit(None).cast("double"))
         each = shares.select("pivot", F.col("node").alias("dst"), ((1 + F.coalesce("part", F.lit(0.0))) / F.col("paths")).alias("each"))
-        back = each.join(pairs, "dst").groupBy("pivot", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
+        back = each.join(near, "dst").groupBy("pivot", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
         part = pinned(nearer.join(back, ["pivot", "node"]).select("pivot", "node", (F.col("paths") * F.col("each")).alias("part")))
         parts.append(part.filter("pivot <> node"))
     total = starts.limit(0).select("id", F.lit(0.0).alias("part")) if not parts else None
