@@ -102,14 +102,18 @@ def criticality(members: DataFrame, risks: DataFrame, fan_in: DataFrame, secure:
 
 
 def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Distinct edges (seed, src, dst) at a seed or at one of its direct neighbours, either way."""
-    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionAll(edges.select("dst", "src"))
-    near = seeds.select("seed", F.col("seed").alias("x")).unionAll(
-        both.join(seeds.select("seed"), F.col("x") == F.col("seed")).select("seed", F.col("y").alias("x"))
-    ).distinct()
-    pairs = edges.select("src", "dst").distinct()
-    at = lambda end: near.join(pairs, F.col("x") == F.col(end)).select("seed", "src", "dst")
-    return at("src").unionAll(at("dst")).distinct()
+    """Distinct edges (seed, src, dst) at a seed or at one of its direct neighbours, either way. Edges may repeat.
+
+    Edges that meet by their target are one for each (seed, src, dst) where they met; of those that meet by
+    their source, the ones whose target is a neighbour as well are among them already.
+    """
+    pairs, asked = edges.select("src", "dst"), pinned(seeds.select("seed").distinct())
+    keep, _ = among(asked)
+    side = lambda x, y: keep(pairs, x).select(F.col(x).alias("seed"), F.col(y).alias("x")).join(asked, "seed", "left_semi")
+    near = pinned(asked.select("seed", F.col("seed").alias("x")).unionAll(side("src", "dst")).unionAll(side("dst", "src")).distinct())
+    keep, _ = among(near.select("x"))
+    at = lambda end: keep(pairs, end).join(near, F.col("x") == F.col(end)).select("seed", "src", "dst").distinct()
+    return at("dst").unionAll(at("src").join(near.select("seed", F.col("x").alias("dst")), ["seed", "dst"], "left_anti").select("seed", "src", "dst"))
 
 
 def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
