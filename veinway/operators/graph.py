@@ -80,9 +80,9 @@ def betweenness(edges: DataFrame, pivots: DataFrame, nodes: DataFrame | None = N
     return total.groupBy("id").agg(F.round(F.sum("part") / size, 8).alias("score"))
 
 
-def flows(edges: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:
-    """(entry, node, depth, position): calls reached from each entry, in order of discovery; flows of one node are left out."""
-    reached = walk(edges.filter(F.col("etype") == "CALLS"), entries.select(F.col("id").alias("seed")), max_depth)
+def flows(edges: DataFrame, entries: DataFrame, max_depth: int, store: bool = True) -> DataFrame:
+    """(entry, node, depth, position): calls reached from each entry, in order of discovery; flows of one node are left out. `store` is that of `walk`."""
+    reached = walk(edges.filter(F.col("etype") == "CALLS"), entries.select(F.col("id").alias("seed")), max_depth, store=store)
     found = reached.select(F.col("seed").alias("entry"), "node", "depth")
     starts = found.select("entry").distinct().select("entry", F.col("entry").alias("node"), F.lit(0).alias("depth"))
     every = starts.unionByName(found)
