@@ -116,13 +116,18 @@ def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return at("dst").unionAll(at("src").join(near.select("seed", F.col("x").alias("dst")), ["seed", "dst"], "left_anti").select("seed", "src", "dst"))
 
 
-def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id) of everything that the entries reach, to the fixpoint, however far away it is."""
+def closure(edges: DataFrame, entries: DataFrame, store: bool = True) -> DataFrame:
+    """(id) of everything that the entries reach, to the fixpoint, however far away it is.
+
+    Only edges that may leave what was reached last are shuffled. `store` tells that edges, which are read for each step,
+    are dear to work out, so that is done once. Edges may repeat.
+    """
     visited = frontier = pinned(entries.select("id").distinct())
-    edges = pinned(edges.select("src", "dst").distinct())
+    edges = pinned(edges.select("src", "dst")) if store else edges.select("src", "dst")
     while True:
+        keep, _ = among(frontier)
         frontier = pinned(
-            frontier.join(edges, F.col("id") == F.col("src"), "inner").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
+            frontier.join(keep(edges, "src"), F.col("id") == F.col("src"), "inner").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
         )
         if frontier.isEmpty():
             break
@@ -130,17 +135,18 @@ def closure(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return visited
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame, keep: Column, attach: list[str], most_dropped: float = 0.9) -> DataFrame:
+def reachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame, keep: Column, attach: list[str], most_dropped: float = 0.9, store: bool = True) -> DataFrame:
     """Nodes that entries reach, that attach to those by a reverse edge of given types, or that are always kept.
 
     Where there are no entries, or more than `most_dropped` of the nodes would go, all nodes stay.
+    `store` is that of `closure`.
     """
     if entries.isEmpty():
         return nodes
-    core = closure(edges, entries)
+    core = closure(edges, entries, store)
     attached = edges.filter(F.col("etype").isin(attach)).join(core, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id"))
-    wanted = core.unionAll(attached).distinct()
-    kept = pinned(nodes.join(wanted, "id", "left_semi").unionByName(nodes.filter(keep).join(wanted, "id", "left_anti")))
+    wanted = core.unionAll(attached).distinct().withColumn("_wanted", F.lit(True))
+    kept = pinned(nodes.join(wanted, "id", "left").filter(F.col("_wanted").isNotNull() | keep).select(*nodes.columns))
     total, left = nodes.count(), kept.count()
     return nodes if total and (total - left) / total > most_dropped else kept
 
