@@ -68,3 +68,12 @@ def test_redaction_covers_every_finding(spark):
     rows = [(1, "mail a.b@c.org or 10.0.0.1, card 4111 1111 1111 1111."), (2, None), (3, "nothing"), (4, "123-45-6789é")]
     got = {r.id: r.t for r in spark.createDataFrame(rows, "id int, text string").select("id", privacy.redacted(F.col("text")).alias("t")).collect()}
     assert got == {1: "mail [REDACTED:email] or [REDACTED:ip_address], card [REDACTED:credit_card].", 2: None, 3: "nothing", 4: "[REDACTED:ssn]é"}
+
+
+def test_a_batch_is_masked_a_slice_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["é" * 40, None, "", "a@b.org " * 30, "x", None]).slice(0, 6)
+    monkeypatch.setattr(privacy, "SLICE_BYTES", 90)
+    assert [len(s) for s in privacy.slices(texts)] == [3, 1, 2] and [t for s in privacy.slices(texts.slice(1)) for t in s.to_pylist()] == texts.to_pylist()[1:]
+    assert list(privacy.slices(texts.slice(0, 0))) == []

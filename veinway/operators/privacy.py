@@ -3,9 +3,11 @@
 import ipaddress
 import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,22 +148,36 @@ def pii_spans(df: DataFrame, id_column: str, text: str, names: DataFrame | None
     return found.filter("kind <> 'personal_name'").unionByName(named)
 
 
+#: A batch's texts are Python strings so many bytes at a time.
+SLICE_BYTES = 1 << 20
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about SLICE_BYTES, one text at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
 def redacted(text: Column) -> Column:
     """The text with `[REDACTED:kind]` in the place of every pattern's finding; of overlapping ones the first, then longest, counts. Null stays null."""
 
+    def mask(body: str | None) -> str | None:
+        if body is None:
+            return None
+        parts, at = [], 0
+        for kind, start, end, _ in sorted(pattern_spans(body), key=lambda f: (f[1], -f[2])):
+            if start >= at:
+                parts += [body[at:start], f"[REDACTED:{kind}]"]
+                at = end
+        return "".join([*parts, body[at:]])
+
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            body = t.as_py()
-            if body is not None:
-                parts, at = [], 0
-                for kind, start, end, _ in sorted(pattern_spans(body), key=lambda f: (f[1], -f[2])):
-                    if start >= at:
-                        parts += [body[at:start], f"[REDACTED:{kind}]"]
-                        at = end
-                body = "".join([*parts, body[at:]])
-            out.append(body)
-        return pa.array(out, pa.string())
+        return pa.concat_arrays([pa.array([mask(t.as_py()) for t in some], pa.string()) for some in slices(texts)] or [pa.array([], pa.string())])
 
     return masked(text)
