@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
 from tests.oracle import same
-from veinway.operators import graph, matching
+from veinway.operators import frontier, graph, matching
 from veinway.plans import registry
 
 
@@ -85,6 +85,35 @@ def test_betweenness_on_random_graphs(spark):
     assert graph.betweenness(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([("a",)], "id string")).count() == 0
 
 
+def test_betweenness_from_every_node(spark, monkeypatch):
+    """Cycles, self-loops, targets within one step and several levels, with ids sent and by the sieve."""
+    rng = random.Random(5)
+    for size, n, few in ((7, 16, 100), (16, 30, 100), (16, 30, 0)):
+        monkeypatch.setattr(frontier.among, "__defaults__", (few,))
+        edges = [(str(a), str(b)) for a, b in {(rng.randrange(size), rng.randrange(size)) for _ in range(n)}]
+        got = graph.betweenness(spark.createDataFrame([*edges, edges[0], ("1", None)], "src string, dst string"), None)
+        assert {r.id: round(r.score, 6) for r in got.collect()} == shares(edges, {x for e in edges for x in e})
+
+
+def test_bridges_of_more_than_5000_nodes_count_every_source(spark, tmp_path):
+    """Each of 5,200 orders is a source: a customer and a supplier of one order are bridges too."""
+    n = 5200
+    customer, supplier = [min(o % 50, 2) if o else 3 for o in range(n)], [o % 2 if o != 7 else 2 for o in range(n)]
+    day = "TIMESTAMP_NTZ '2001-01-01 00:00:00'"
+    spark.createDataFrame(list(enumerate(customer)), "o_orderkey long, o_custkey long").selectExpr("*", f"{day} AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = spark.createDataFrame(list(enumerate(supplier)), "l_orderkey long, l_suppkey long")
+    lines.selectExpr("*", "l_suppkey AS l_partkey", "0.0D AS l_discount", f"{day} AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(4)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(3)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, 0), (1, 0)], "n_nationkey long, n_regionkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    edges = [(f"o:{o}", f"c:{c}") for o, c in enumerate(customer)] + [(f"o:{o}", f"{x}:{s}") for o, s in enumerate(supplier) for x in "sp"]
+    edges += [(f"c:{i}", f"n:{i % 2}") for i in range(4)] + [(f"s:{i}", f"n:{i % 2}") for i in range(3)] + [("n:0", "r:0"), ("n:1", "r:0")]
+    want = shares(edges, {x for e in edges for x in e})
+    assert len(want) == 9
+    got = registry.QUERIES["bridge_betweenness"](spark, str(tmp_path))
+    assert {r.id: round(r.score, 6) for r in got.collect()} == want
+
+
 def test_parts_meet_every_document_row(spark, tmp_path):
     """Rows that repeat a doc_id count each, a part that two names match counts once, and a part without a brand has no sized name."""
     docs = [(1, "brand#1x5 and redo"), (1, "REDO"), (2, "brand#1_5"), (3, None), (None, "redo 7")]

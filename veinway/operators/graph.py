@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veinway.lineage import pinned
-from veinway.operators.frontier import among, walk
+from veinway.operators.frontier import FEW, among, walk
 from veinway.operators.upserts import swapped
 
 def with_owner(found: DataFrame, owners: DataFrame) -> DataFrame:
@@ -29,53 +29,69 @@ def ranked(scores: DataFrame, score: str, n: int) -> DataFrame:
 
 
 def ends(edges: DataFrame) -> DataFrame:
-    """(id) of everything at either end of an edge, stored; edges without an end are left out."""
-    return pinned(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    """(id, inner) of everything at either end of an edge, stored; inner is what edges both enter and leave. Edges without an end are left out."""
+    both = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(
+        F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(True).alias("left")), F.struct(F.col("dst").alias("id"), F.lit(False).alias("left")))).alias("end")
+    )
+    return pinned(both.groupBy("end.id").agg((F.bool_or("end.left") & ~F.bool_and("end.left")).alias("inner")))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, score): share of shortest paths through each node, from the pivots (id), scaled up to all nodes as sources.
+def betweenness(edges: DataFrame, pivots: DataFrame | None, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, score): share of shortest paths through each node, from the pivots (id), scaled up to all nodes as sources; None takes every node.
 
     Brandes' sums, a level at a time for all pivots at once. Forwards, each level holds for each
     pivot and node how many shortest paths lead there; backwards, a node gets from each node a
-    step further the share of that one's paths that it is on. State is one row for each pivot and
-    node that it reaches; each level reads the edges and goes on with those that may leave its nodes,
-    so edges that are dear to work out should be stored; they may repeat. `nodes` are their ends, where the caller
+    step further the share of that one's paths that it is on. Nodes that edges enter and leave alone lie
+    on a path, so the first level holds those; whether a node was reached in one step, the edges themselves tell.
+    State is one row for each pivot and such node that it reaches, and for each further node; steps after the
+    first go over the edges that leave inner nodes, which are stored. Edges are read four times, so
+    those that are dear to work out should be stored; they may repeat. `nodes` are their `ends`, where the caller
     has them. Pivots that are in no edge count for nothing; edges without an end are left out.
     """
-    pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
     nodes = ends(edges) if nodes is None else nodes
-    wanted = pinned(pivots.select("id").distinct())
-    keep, exact = among(wanted)
-    starts = pinned(keep(nodes, "id") if exact else keep(nodes, "id").join(wanted, "id", "left_semi"))
-    n, asked = nodes.count(), starts.count()
-    level = starts.select(F.col("id").alias("pivot"), F.col("id").alias("node"), F.lit(1.0).alias("paths"))
-    visited, levels, leaving = level.select("pivot", "node"), [level], []
+    n = asked = nodes.count()
+    started = pairs
+    if pivots is not None:
+        wanted = pinned(pivots.select("id").distinct())
+        asked = nodes.join(wanted, "id", "left_semi").count()
+        keep, exact = among(wanted)
+        started = keep(pairs, "src") if exact else keep(pairs, "src").join(wanted.withColumnRenamed("id", "src"), "src", "left_semi")
+    keep, _ = among(pinned(nodes.filter("inner").select("id")))
+    inner = near = pinned(keep(pairs, "src").distinct())
+    keep_met, _ = among(inner.select("dst"))
+    direct = pinned(keep_met(started, "dst").select(F.col("src").alias("pivot"), F.col("dst").alias("node")))
+    level = pinned(keep(started, "dst").distinct().select(F.col("src").alias("pivot"), F.col("dst").alias("node"), F.lit(1.0).alias("paths")))
+    levels, leaving = [level], []
     while True:
-        keep, exact = among(level.select("node"))
-        near = keep(pairs, "src").distinct()
-        leaving.append(pinned(near) if exact else near)
-        reached = (
-            level.join(leaving[-1], F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            .join(visited, ["pivot", "node"], "left_anti")
-        )
-        level = pinned(reached)
+        small = near.count()
+        if not small:
+            break
+        near = F.broadcast(near) if small <= FEW else near
+        keep, _ = among(near.select("dst"))  # visits of what this step may reach
+        visited = keep(direct, "node")
+        for each in levels[1:]:
+            visited = visited.unionAll(keep(each.select("pivot", "node"), "node"))
+        reached = level.join(near, F.col("node") == F.col("src")).filter("pivot <> dst").groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = pinned(reached.join(visited, ["pivot", "node"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        visited = visited.unionAll(level.select("pivot", "node"))
-    part: DataFrame | None = None
-    parts = []
-    for nearer, further, near in zip(levels[-2::-1], levels[:0:-1], leaving[-2::-1], strict=True):
-        shares = further.join(part, ["pivot", "node"], "left") if part is not None else further.withColumn("part", F.lit(None).cast("double"))
-        each = shares.select("pivot", F.col("node").alias("dst"), ((1 + F.coalesce("part", F.lit(0.0))) / F.col("paths")).alias("each"))
-        back = each.join(near, "dst").groupBy("pivot", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
-        part = pinned(nearer.join(back, ["pivot", "node"]).select("pivot", "node", (F.col("paths") * F.col("each")).alias("part")))
-        parts.append(part.filter("pivot <> node"))
-    total = starts.limit(0).select("id", F.lit(0.0).alias("part")) if not parts else None
-    for p in parts:
-        rows = p.select(F.col("node").alias("id"), "part")
+        leaving.append(near)
+        keep, _ = among(level.select("node"))
+        near = pinned(keep(inner, "src"))
+    further, total = levels[-1].withColumn("part", F.lit(0.0)), None
+    for at in range(len(leaving) - 1, -1, -1):
+        each = further.select("pivot", F.col("node").alias("dst"), ((1 + F.col("part")) / F.col("paths")).alias("each"))
+        steps = levels[at].join(leaving[at], F.col("node") == F.col("src")).select("pivot", "node", "dst", "paths").join(each, ["pivot", "dst"])
+        parts = steps.select("pivot", "node", "paths", (F.col("paths") * F.col("each")).alias("part"))
+        if at:  # the nodes of the level before need those without a step further as well
+            every = parts.unionAll(levels[at].withColumn("part", F.lit(0.0)))
+            parts = further = pinned(every.groupBy("pivot", "node").agg(F.max("paths").alias("paths"), F.sum("part").alias("part")))
+        rows = parts.select(F.col("node").alias("id"), "part").filter("part > 0")
         total = rows if total is None else total.unionAll(rows)
+    if total is None:
+        total = nodes.limit(0).select("id", F.lit(0.0).alias("part"))
     size = max(1, (n - 1) * (n - 2)) * max(1, asked) / max(1, n)
     return total.groupBy("id").agg(F.round(F.sum("part") / size, 8).alias("score"))
 
