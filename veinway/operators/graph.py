@@ -83,11 +83,11 @@ def betweenness(edges: DataFrame, pivots: DataFrame | None, nodes: DataFrame | N
     further, total = levels[-1].withColumn("part", F.lit(0.0)), None
     for at in range(len(leaving) - 1, -1, -1):
         each = further.select("pivot", F.col("node").alias("dst"), ((1 + F.col("part")) / F.col("paths")).alias("each"))
-        steps = levels[at].join(leaving[at], F.col("node") == F.col("src")).select("pivot", "node", "dst", "paths").join(each, ["pivot", "dst"])
-        parts = steps.select("pivot", "node", "paths", (F.col("paths") * F.col("each")).alias("part"))
-        if at:  # the nodes of the level before need those without a step further as well
-            every = parts.unionAll(levels[at].withColumn("part", F.lit(0.0)))
-            parts = further = pinned(every.groupBy("pivot", "node").agg(F.max("paths").alias("paths"), F.sum("part").alias("part")))
+        how = "left" if at else "inner"  # the level before needs nodes without a step further as well
+        steps = levels[at].join(leaving[at], F.col("node") == F.col("src"), how).select("pivot", "node", "dst", "paths").join(each, ["pivot", "dst"], how)
+        parts = steps.select("pivot", "node", "paths", (F.col("paths") * F.coalesce("each", F.lit(0.0))).alias("part"))
+        if at:
+            parts = further = pinned(parts.groupBy("pivot", "node").agg(F.max("paths").alias("paths"), F.sum("part").alias("part")))
         rows = parts.select(F.col("node").alias("id"), "part").filter("part > 0")
         total = rows if total is None else total.unionAll(rows)
     if total is None:
